@@ -10,6 +10,7 @@ from siltstone.operators.eager import eager_join_aggregate, longest_gap_by_key
 from siltstone.operators.features import entity_features, features_long
 from siltstone.operators.sessions import SessionTable, split_batches
 from siltstone.operators.shred import adjacency, entity_table, object_nodes
+from siltstone.operators.timestamps import clock_zone, normalise
 from siltstone.session import scratch_path, table
 
 SESSION_GAP_US = 1_800_000_000
@@ -82,6 +83,14 @@ def p4_session_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clocks = table(spark, sf_dir, "datasets").select("dataset", clock_zone(F.col("event_time_offset")).alias("clock"), "date_order")
+    lines = table(spark, sf_dir, "feed_records").select("record_id", "dataset", "time_field", "ts", "received_at").join(clocks, "dataset", "left")
+    zone = F.when(F.col("time_field") == "UtcTime", "+00:00").when(F.col("time_field") == "EventTime", F.col("clock"))
+    found = normalise(lines, "ts", zone, F.col("date_order"), F.col("received_at"))
+    return found.where(F.col("ts_us").isNotNull()).select("record_id", "ts_us")
+
+
 _HOST = r"nullif(nullif(upper(trim(split_part(trim({c}), '.', 1))), ''), '-')"
 _USER = r"nullif(nullif(trim(lower(regexp_replace(trim(user_name), '^(quillmere\.example|quillmere)\\|@(quillmere\.example|quillmere)$', '', 'i'))), ''), '-')"
 _KEYED = f"""keyed as (
@@ -100,6 +109,7 @@ QUERIES = {
     "p3_host_rows": p3_host_rows,
     "p4_found": p4_found,
     "p4_session_lengths": p4_session_lengths,
+    "p5_found": p5_found,
 }
 
 _SESSIONS = f"""sessions as (
