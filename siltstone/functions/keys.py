@@ -42,6 +42,6 @@ def one_per_record(df: DataFrame, record: str, *order: str) -> DataFrame:
     delivered very often does not gather in one task.
     """
     key = F.coalesce(F.col(record), F.concat_ws("\u0000", F.lit(""), *(F.col(c).cast("string") for c in order)))
-    by = Window.partitionBy("_record").orderBy(*order)
-    ranked = df.withColumn("_record", key).withColumn("_rank", F.row_number().over(by))
-    return ranked.where("_rank = 1").drop("_rank", "_record")
+    by = Window.partitionBy("__record").orderBy(*order)
+    ranked = df.withColumn("__record", key).withColumn("__rank", F.row_number().over(by))
+    return ranked.where("__rank = 1").drop("__rank", "__record")

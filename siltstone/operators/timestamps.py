@@ -154,8 +154,8 @@ def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     A one-element explode keeps the optimizer from copying the expressions into every later use,
     which for a chain of dependent columns would grow the plan exponentially.
     """
-    row = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_pin")
-    return df.select("*", row).select(*df.columns, *(F.col("_pin").getField(n).alias(n) for n in columns))
+    row = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("__ts_pin")
+    return df.select("*", row).select(*df.columns, *(F.col("__ts_pin").getField(n).alias(n) for n in columns))
 
 
 def normalise(df: DataFrame, text: str, zone: Column, date_order: Column, received: Column, to: str = "ts_us") -> DataFrame:
@@ -165,12 +165,12 @@ def normalise(df: DataFrame, text: str, zone: Column, date_order: Column, receiv
     'mdy' or 'dmy' for slashed dates. Digits beyond microseconds are dropped.
     """
     upper = F.regexp_replace(F.upper(trimmed(F.col(text))), "−", "-")
-    got = pinned(df, {"_text": upper, "_zone0": zone, "_order": F.lower(trimmed(date_order)), "_rec": F.unix_micros(received)})
-    got = pinned(got, {"_f": _fields(F.col("_text"))})
-    f = {n: F.nullif(F.col("_f")[i], F.lit("")) for i, n in enumerate(FIELDS, 1)}
+    got = pinned(df, {"__ts_text": upper, "__ts_zone0": zone, "__ts_order": F.lower(trimmed(date_order)), "__ts_rec": F.unix_micros(received)})
+    got = pinned(got, {"__ts_f": _fields(F.col("__ts_text"))})
+    f = {n: F.nullif(F.col("__ts_f")[i], F.lit("")) for i, n in enumerate(FIELDS, 1)}
     number = {n: f[n].try_cast("int") for n in ("y", "m", "d", "a", "b", "h", "mi", "s")}
-    month = F.coalesce(number["m"], _lookup(MONTHS, f["mon"]), F.when(F.col("_order") == "mdy", number["a"]).when(F.col("_order") == "dmy", number["b"]))
-    day = F.coalesce(number["d"], F.when(F.col("_order") == "mdy", number["b"]).when(F.col("_order") == "dmy", number["a"]))
+    month = F.coalesce(number["m"], _lookup(MONTHS, f["mon"]), F.when(F.col("__ts_order") == "mdy", number["a"]).when(F.col("__ts_order") == "dmy", number["b"]))
+    day = F.coalesce(number["d"], F.when(F.col("__ts_order") == "mdy", number["b"]).when(F.col("__ts_order") == "dmy", number["a"]))
     hour = F.when(f["ap"].isNull(), number["h"]).when(number["h"].between(1, 12), number["h"] % 12 + F.when(f["ap"] == "PM", 12).otherwise(0))
     second = F.coalesce(number["s"], F.lit(0))
     fraction = F.coalesce(F.rpad(F.substring(f["f"], 1, 6), 6, "0").try_cast("bigint"), F.lit(0).cast("bigint"))
@@ -183,27 +183,27 @@ def normalise(df: DataFrame, text: str, zone: Column, date_order: Column, receiv
         .when(digits.rlike(r"^[+-]\d{4}$"), F.when(F.substring(digits, 1, 1) == "-", -1).otherwise(1) * (F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")))
         .otherwise(F.try_element_at(named, f["z"]))
     )
-    got = pinned(got, {"_m": month, "_d": day, "_t": time_us, "_off": minutes, "_has_zone": f["z"].isNotNull() | f["off"].isNotNull()})
-    offset_us = F.col("_off").cast("bigint") * F.lit(60 * SECOND_US)
+    got = pinned(got, {"__ts_m": month, "__ts_d": day, "__ts_t": time_us, "__ts_off": minutes, "__ts_has_zone": f["z"].isNotNull() | f["off"].isNotNull()})
+    offset_us = F.col("__ts_off").cast("bigint") * F.lit(60 * SECOND_US)
 
     def instant(wall: Column) -> Column:
-        return F.when(F.col("_has_zone"), F.when(F.abs(F.col("_off")) < 18 * 60, wall - offset_us)).when(F.col("_zone0").isNotNull(), zoned_instant(wall, F.col("_zone0"), F.col("_rec")))
+        return F.when(F.col("__ts_has_zone"), F.when(F.abs(F.col("__ts_off")) < 18 * 60, wall - offset_us)).when(F.col("__ts_zone0").isNotNull(), zoned_instant(wall, F.col("__ts_zone0"), F.col("__ts_rec")))
 
     # A missing year: the latest year in which the date exists and its earliest reading is not after receipt.
-    day_number = F.floor((F.col("_rec") + F.lit(DAY_US)) / F.lit(DAY_US)).cast("int")
-    got = pinned(got, {"_near": F.year(F.date_from_unix_date(day_number))})
+    day_number = F.floor((F.col("__ts_rec") + F.lit(DAY_US)) / F.lit(DAY_US)).cast("int")
+    got = pinned(got, {"__ts_near": F.year(F.date_from_unix_date(day_number))})
 
     def earliest(wall: Column) -> Column:
-        local = F.when(F.col("_zone0").isNotNull(), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(wall), F.col("_zone0"))))
-        return F.when(F.col("_has_zone"), wall - offset_us).otherwise(local)
-
-    past = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda back: _wall(F.col("_near") - back, F.col("_m"), F.col("_d"), F.col("_t")))
-    yearless = F.try_element_at(F.filter(past, lambda w: F.coalesce(earliest(w) <= F.col("_rec"), F.lit(False))), F.lit(1))
-    dated = _wall(number["y"], F.col("_m"), F.col("_d"), F.col("_t"))
-    got = pinned(got, {"_wall": F.when(F.col("_f")[0] == "syslog", yearless).otherwise(dated)})
-    weekday = F.pmod(F.floor(F.col("_wall") / F.lit(DAY_US)) + 3, F.lit(7)) + 1
+        local = F.when(F.col("__ts_zone0").isNotNull(), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(wall), F.col("__ts_zone0"))))
+        return F.when(F.col("__ts_has_zone"), wall - offset_us).otherwise(local)
+
+    past = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda back: _wall(F.col("__ts_near") - back, F.col("__ts_m"), F.col("__ts_d"), F.col("__ts_t")))
+    yearless = F.try_element_at(F.filter(past, lambda w: F.coalesce(earliest(w) <= F.col("__ts_rec"), F.lit(False))), F.lit(1))
+    dated = _wall(number["y"], F.col("__ts_m"), F.col("__ts_d"), F.col("__ts_t"))
+    got = pinned(got, {"__ts_wall": F.when(F.col("__ts_f")[0] == "syslog", yearless).otherwise(dated)})
+    weekday = F.pmod(F.floor(F.col("__ts_wall") / F.lit(DAY_US)) + 3, F.lit(7)) + 1
     agrees = f["wd"].isNull() | F.coalesce(_lookup(WEEKDAYS, f["wd"]) == weekday, F.lit(False))
-    found = F.coalesce(number_instant(F.col("_text")), F.when(agrees, instant(F.col("_wall"))))
-    got = pinned(got, {"_found": found})
-    out = got.withColumn(to, F.when(F.col("_rec").isNull() | (F.col("_found") <= F.col("_rec")), F.col("_found")))
-    return out.drop("_text", "_zone0", "_order", "_rec", "_f", "_m", "_d", "_t", "_off", "_has_zone", "_near", "_wall", "_found")
+    found = F.coalesce(number_instant(F.col("__ts_text")), F.when(agrees, instant(F.col("__ts_wall"))))
+    got = pinned(got, {"__ts_found": found})
+    out = got.withColumn(to, F.when(F.col("__ts_rec").isNull() | (F.col("__ts_found") <= F.col("__ts_rec")), F.col("__ts_found")))
+    return out.drop("__ts_text", "__ts_zone0", "__ts_order", "__ts_rec", "__ts_f", "__ts_m", "__ts_d", "__ts_t", "__ts_off", "__ts_has_zone", "__ts_near", "__ts_wall", "__ts_found")
