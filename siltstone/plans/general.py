@@ -122,7 +122,21 @@ _SESSIONS = f"""sessions as (
           where host is not null and user_name is not null and ts is not null) where rn = 1)))
   group by host, user_name, no)"""
 
+_DOC = "case when json_valid({c}) then case when json_type({c}::json) = 'VARCHAR' then json_extract_string({c}::json, '$') else {c} end end"
+_WALK = f"""with recursive docs as (select id, doc, v from (
+  select id, 'ocsf' doc, {_DOC.format(c="ocsf")} v from telemetry union all select id, 'raw', {_DOC.format(c="raw")} from telemetry) where json_valid(v) and json_type(v::json) in ('OBJECT', 'ARRAY')),
+walk(id, doc, v, path, near, label, ordinal) as (
+  select id, doc, v::json, '', '/', null::varchar, null::bigint from docs
+  union all
+  select w.id, w.doc, e.value, w.path || '/' || e.key, case when json_type(w.v) = 'OBJECT' then case when w.path = '' then '/' else w.path end else w.near end,
+    case when json_type(w.v) = 'OBJECT' then e.key else w.label end, case when json_type(w.v) = 'ARRAY' then e.key::bigint end
+  from walk w, json_each(w.v) e where e.type in ('OBJECT', 'ARRAY'))"""
+_SCALAR = "case when json_type(v, '$.{a}') not in ('OBJECT', 'ARRAY', 'NULL') then json_extract_string(v, '$.{a}') end a_{a}"
+
 ORACLES = {
+    "p1_found": f"{_WALK} select id, doc, path node_path, near parent_path from walk where json_type(v) = 'OBJECT' and path <> ''",
+    "p1_process_entities": f"""{_WALK} select id, doc, path node_path, near parent_path, ordinal, {", ".join(_SCALAR.format(a=a) for a in ("pid", "uid", "name", "cmd_line"))}
+from walk where json_type(v) = 'OBJECT' and path <> '' and label = 'process' and doc = 'ocsf'""",
     "p2_found": f"""with {_KEYED}
 select host, event_code, count(*)::bigint n_events, coalesce(max(gap), 0)::bigint max_gap_us from (
   select *, at_us - lag(at_us) over (partition by host, event_code order by at_us) gap from keyed)
