@@ -462,7 +462,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TEXT_QUERY = "encoded powershell script observed on the endpoint during shift handover"
 _STOP = "[" + ", ".join(f"'{w}'" for w in search.STOP_WORDS) + "]"
-_STEMS = rf"list_transform(list_filter(regexp_extract_all(lower({{t}}), '[\p{{{{L}}}}\p{{{{N}}}}]{{{{2,}}}}'), lambda w: not list_contains({_STOP}, w)), lambda w: regexp_replace(w, '^(.{{{{3,}}}}?)(?:ing|ed|es|s)$', '\1'))".replace("{{{{", "{{").replace("}}}}", "}}")
+_STEMS = rf"list_transform(list_filter(regexp_extract_all(lower({{t}}), '[\p{{{{L}}}}\p{{{{N}}}}]{{{{2,}}}}'), lambda w: not list_contains({_STOP}, w)), lambda w: regexp_replace(w, '^(.{{{{3,}}}}?)(?:ing|ed|es|s|e)$', '\1'))".replace("{{{{", "{{").replace("}}}}", "}}")
 _KEYWORD = f"""q as (select list_distinct({_STEMS.format(t="'" + _TEXT_QUERY + "'")}) w), st as (select doc_id, {_STEMS.format(t="text")} s from documents where text is not null),
 kw as (select doc_id, round(len(list_distinct(h)) + len(h) / (len(h) + len(s)), 9) score from (select doc_id, s, list_filter(s, lambda x: list_contains(w, x)) h from st, q) where len(h) > 0),
 kr as (select *, row_number() over (order by score desc, doc_id) as rank from kw order by score desc, doc_id limit 50)"""

@@ -129,7 +129,7 @@ def test_greedy_equals_global(spark):
 
 
 def test_exact_and_near_duplicates(spark):
-    line = "C:\\Windows\\System32\\cmd.exe /c powershell -enc aaaa bbbb cccc dddd eeee ffff gggg hhhh iiii jjjj kkkk llll mmmm nnnn oooo pppp qqqq rrrr ssss tttt uuuu vvvv 10.0.0.%d"
+    line = "cmd.exe /c powershell -enc " + " ".join(f"word{k}" for k in range(80)) + " 10.0.0.%d"
     rows = [(1, "R", "H", "u", "p", at(0), "x"), (2, "R", "H", "u", "p", at(20), "x"), (10, "R", "H", "u", "p1", at(600), line % 1), (11, "R", "H", "u", "p2", at(720), line % 2), (12, "R", "H", "u", "p3", at(1021), line % 1)]
     got = {x["id"]: x["canonical_id"] for x in dedup.mark_greedy(spark.createDataFrame(rows, ALERT)).collect()}
     assert got == {1: None, 2: 1, 10: None, 11: 10, 12: None}  # 12: 421 s after 10, and 11 is no canonical one
@@ -444,7 +444,7 @@ def test_streams(spark):
     target = scratch_path(spark, "t")
     windows.into_table(stream, target, "uid", ["id"], scratch_path(spark, "c2")).awaitTermination(120)
     assert spark.read.parquet(target).count() == 40
-    for name, df in (("b", windows.beacon_counts(stream, ["h"], "ts")), ("s", windows.sessions(stream, ["h"], "ts")), ("d", windows.first_deliveries(stream, "uid", "ts"))):
+    for name, df in (("b", windows.beacon_counts(stream, ["h"], "ts")), ("s", windows.sessions(stream, ["h"], "ts")), ("d", windows.first_deliveries(stream, "uid", "ts", "1 day"))):
         q = df.writeStream.format("memory").queryName(f"q_{name}").outputMode("append").option("checkpointLocation", scratch_path(spark, "c")).trigger(availableNow=True).start()
         q.awaitTermination(120)
     assert spark.table("q_d").count() == 40
