@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -48,46 +47,55 @@ EXTRA_IGNORABLE = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *rang
 JOINED = ("<initial>", "<medial>", "<final>", "<isolated>")
 SAME_WIDTHLESS = ("<wide>", "<narrow>", "<noBreak>")
 SWITCH_PENALTY = 8.0
+_ASCII_TOKEN = re.compile("[A-Za-z]+")
 _TOKEN = re.compile(r"(?:[^\W\d_][\u0300-\u036f]*)+")
 _MARKS = re.compile(r"[\u0300-\u036f]+")
 _CONTROL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f]")
 _CACHE_MOST = 500_000
 
 
-@lru_cache(maxsize=1)
-def compatibility() -> dict[int, str | None]:
-    """Translation of single characters, by rule from their Unicode properties."""
-    ignorable = set(EXTRA_IGNORABLE)
-    out: dict[int, str | None] = {}
-    for cp in range(sys.maxunicode + 1):
-        ch = chr(cp)
-        kind = unicodedata.category(ch)
-        if kind == "Cf" or cp in ignorable or (kind == "Cc" and ch not in "\t\n\v\f\r\x1c\x1d\x1e\x85"):
-            out[cp] = None
-        elif kind == "Zs" or ch in "\t\v\f":
-            if ch != " ":
-                out[cp] = " "
-        elif kind in ("Zl", "Zp") or ch in "\x1c\x1d\x1e\x85":
-            out[cp] = "\n"
-        else:
-            tag, _, rest = unicodedata.decomposition(ch).partition(" ")
-            if tag in SAME_WIDTHLESS or tag in JOINED:
-                out[cp] = unicodedata.normalize("NFKC", ch)
-            elif tag == "<compat>" and kind[0] == "L" and " " in rest and all(unicodedata.category(chr(int(x, 16)))[0] == "L" for x in rest.split()):
-                out[cp] = unicodedata.normalize("NFKC", ch)
-    out[0x0261] = "g"
-    out[0x04C0] = "І"  # the palochka has the shape of a capital I
-    return out
+@lru_cache(maxsize=None)
+def compatible(ch: str) -> str:
+    """What one character becomes, by rule from its Unicode properties; itself if nothing applies."""
+    if ch == "\u0261":
+        return "g"
+    if ch == "\u04c0":
+        return "\u0406"  # the palochka has the shape of a capital I
+    kind = unicodedata.category(ch)
+    if kind == "Cf" or ord(ch) in EXTRA_IGNORABLE or (kind == "Cc" and ch not in "\t\n\v\f\r\x1c\x1d\x1e\x85"):
+        return ""
+    if kind == "Zs" or ch in "\t\v\f":
+        return " "
+    if kind in ("Zl", "Zp") or ch in "\r\x1c\x1d\x1e\x85":
+        return "\n"
+    tag, _, rest = unicodedata.decomposition(ch).partition(" ")
+    if tag in SAME_WIDTHLESS or tag in JOINED:
+        return unicodedata.normalize("NFKC", ch)
+    if tag == "<compat>" and kind[0] == "L" and " " in rest and all(unicodedata.category(chr(int(x, 16)))[0] == "L" for x in rest.split()):
+        return unicodedata.normalize("NFKC", ch)
+    return ch
+
+
+def plain(text: str) -> str:
+    """Compatibility forms with accents decomposed; characters are replaced by distinct character, not one by one."""
+    if text.isascii() and not _CONTROL.search(text):
+        return text
+    text = text.replace("\r\n", "\n")
+    for ch in sorted(set(text)):
+        new = compatible(ch)
+        if new != ch:
+            text = text.replace(ch, new)
+    return text if text.isascii() else unicodedata.normalize("NFD", text)
 
 
 @lru_cache(maxsize=1)
-def classes() -> tuple[dict[int, str], dict[str, tuple[str, ...]]]:
+def classes() -> tuple[dict[str, str], dict[str, tuple[str, ...]]]:
     """Letters to the prototype of their shape, and prototypes to their letters by script."""
     to, by = {}, {}
     for row in LOOK_ALIKES:
         first = next(x for x in row if x)
         by[first] = row
-        to |= {ord(x): first for x in row if x and x != first}
+        to |= {x: first for x in row if x and x != first}
     return to, by
 
 
@@ -99,13 +107,21 @@ def script(ch: str) -> str:
 
 
 def shape(text: str) -> str:
-    """The text as it looks: compatibility forms, decomposed accents, one prototype per letter shape."""
-    if not text.isascii() or _CONTROL.search(text):
-        text = unicodedata.normalize("NFD", text.replace("\r\n", "\n").replace("\r", "\n").translate(compatibility()))
-        return text.translate(classes()[0])
+    """The text as it looks: plain, with one prototype per letter shape."""
+    text = plain(text)
+    if text.isascii():
+        return text
+    to = classes()[0]
+    for ch in sorted(to.keys() & set(text)):
+        text = text.replace(ch, to[ch])
     return text
 
 
+def letter_tokens(text: str) -> list[str]:
+    """Runs of letters with their accents."""
+    return (_ASCII_TOKEN if text.isascii() else _TOKEN).findall(text)
+
+
 def bigram_counts(documents: DataFrame, text: str) -> DataFrame:
     """Counts (a, b, n) of neighbouring letters in tokens written in one script, over all rows.
 
@@ -129,9 +145,7 @@ def bigram_counts(documents: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    if not t.isascii():
-                        t = unicodedata.normalize("NFD", t.translate(compatibility()))
-                    words.update(_TOKEN.findall(t))
+                    words.update(letter_tokens(plain(t)))
             if len(words) > _CACHE_MOST:
                 fold()
         fold()
@@ -218,13 +232,18 @@ class Canonicaliser:
         shapes = [None if t is None else shape(t) for t in texts]
         if len(self.known) > _CACHE_MOST:
             self.known.clear()
-        new = {w for t in shapes if t for w in _TOKEN.findall(t)} - self.known.keys()
+        tokens = [set(letter_tokens(t)) if t else () for t in shapes]
+        new = set().union(*tokens) - self.known.keys()
         if new:
             words = sorted(new)
             self.known |= zip(words, self.model.best(words))
-        known = self.known
-        out = [t and _TOKEN.sub(lambda m: known[m.group()], t) for t in shapes]
-        return [t if not t or t.isascii() else unicodedata.normalize("NFC", t) for t in out]
+        known, out = self.known, []
+        for t, own in zip(shapes, tokens):
+            # Most texts are written in the prototypes' script and come out as they are.
+            if any(known[w] != w for w in own):
+                t = _TOKEN.sub(lambda m: known[m.group()], t)
+            out.append(t if not t or t.isascii() else unicodedata.normalize("NFC", t))
+        return out
 
 
 def train(documents: DataFrame, text: str) -> Model:
