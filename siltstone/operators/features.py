@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import write_read
+
 DAY_US = 86_400_000_000
 
 
-def feature_blocks(events: DataFrame, entity: str, kind: str, at_us: str, latest_us, n_blocks: int, recent_us: int) -> list[DataFrame]:
-    """A table per block of event types: entity and a map from type to (n, n_recent, last_us, idle_us).
+def feature_blocks(events: DataFrame, entity: str, kind: str, at_us: str, latest_us, n_blocks: int, recent_us: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The entities with events, and a table per block of event types: entity and a map from type to (n, n_recent, last_us, idle_us).
 
     Types are spread over blocks by hash, so the blocks need no list of types. The counts are
-    combined map-side by (entity, type), then bucketed by entity once; every block reads that one
-    exchange and is bucketed alike, so joining blocks needs no further shuffle.
+    combined map-side by (entity, type) and written to the shared folder once, as otherwise every
+    block would compute them anew. All blocks are bucketed alike by entity, so joining them needs no
+    further shuffle.
     """
     per_type = events.groupBy(entity, kind).agg(
         F.count(F.lit(1)).alias("n"),
@@ -21,12 +24,10 @@ def feature_blocks(events: DataFrame, entity: str, kind: str, at_us: str, latest
         F.max(at_us).alias("last_us"),
     )
     buckets = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucketed = per_type.withColumn("_block", F.pmod(F.xxhash64(kind), F.lit(n_blocks))).repartition(buckets, entity)
+    counted = write_read(per_type.withColumn("_block", F.pmod(F.xxhash64(kind), F.lit(n_blocks))), "features")
     entry = F.struct(F.col(kind), F.struct("n", "n_recent", "last_us", (latest_us - F.col("last_us")).alias("idle_us")))
-    return [
-        bucketed.where(F.col("_block") == b).groupBy(entity).agg(F.map_from_entries(F.collect_list(entry)).alias(f"block_{b}"))
-        for b in range(n_blocks)
-    ]
+    blocks = [counted.where(F.col("_block") == b).repartition(buckets, entity).groupBy(entity).agg(F.map_from_entries(F.collect_list(entry)).alias(f"block_{b}")) for b in range(n_blocks)]
+    return counted.select(entity).distinct().repartition(buckets, entity), blocks
 
 
 def entity_features(
@@ -38,14 +39,11 @@ def entity_features(
     gets a total of 0 and null blocks. Rows with a null entity, type or time count nowhere. A row's
     width is bounded by the number of types, not of events.
     """
-    buckets = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = events.select(entity, kind, at_us).where(F.col(entity).isNotNull() & F.col(kind).isNotNull() & F.col(at_us).isNotNull())
-    blocks = feature_blocks(whole, entity, kind, at_us, latest_us, n_blocks, recent_us)
-    if entities is None:
-        out = whole.select(entity).distinct()
-    else:
-        out = entities.select(entity).where(F.col(entity).isNotNull()).distinct()
-    out = out.repartition(buckets, entity)
+    out, blocks = feature_blocks(whole, entity, kind, at_us, latest_us, n_blocks, recent_us)
+    if entities is not None:
+        buckets = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        out = entities.select(entity).where(F.col(entity).isNotNull()).distinct().repartition(buckets, entity)
     for block in blocks:
         out = out.join(block, entity, "left")
     values = F.flatten(F.array(*(F.coalesce(F.map_values(f"block_{b}"), F.array()) for b in range(n_blocks))))
