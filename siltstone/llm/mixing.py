@@ -113,7 +113,7 @@ def permuted_column(index: Column, size: Column, key: Column) -> Column:
     def place(index: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
         return pd.Series(permuted(index.to_numpy(np.int64), size.to_numpy(np.int64), key.to_numpy(np.int64).view(np.uint64)))
 
-    return place(index, size, key)
+    return place.asNondeterministic()(index, size, key)  # else a join would evaluate it twice
 
 
 def mix(blocks: DataFrame, tokens: dict[str, int], targets: dict[str, tuple[float, int]], seed: int = 0, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -131,7 +131,8 @@ def mix(blocks: DataFrame, tokens: dict[str, int], targets: dict[str, tuple[floa
     rows = drawn.repartition(F.col("shard")).withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     rows = rows.withColumn("_size", sizes.cast("bigint")).withColumn("repeat", F.floor(F.col("slot") / F.col("_size")))
     rows = rows.withColumn("block", permuted_column(F.pmod(F.col("slot"), F.col("_size")), F.col("_size"), F.xxhash64("source", "repeat", F.lit(seed))))
-    return rows.select("shard", "slot", "source", "repeat", "block").join(blocks, ["source", "block"])
+    # The slots are counted out from a small table, so their size estimate is far too low to broadcast them by.
+    return rows.select("shard", "slot", "source", "repeat", "block").hint("merge").join(blocks, ["source", "block"])
 
 
 def document_uses(mixture: DataFrame) -> DataFrame:
