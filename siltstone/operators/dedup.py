@@ -39,8 +39,9 @@ def mark_greedy(alerts: DataFrame, window_s: int = 300, least_similarity: float
     and does not register its key.
 
     A decision looks back by at most window_s, or one key bucket (60 s), so each (rule, host, user)
-    group splits wherever a longer silence lies; the pieces are independent and spread over tasks. A
-    group's alerts stream through in order, and only the canonical ones of the window are held.
+    group splits wherever a longer silence lies, and the pieces are independent. The silences are found
+    on time cells, not on rows. A piece is one task's work: where alerts of one rule, host and user go
+    on without a silence, greedy order leaves nothing to split.
     """
     rows = alerts.select("id", *KEYS, F.unix_micros("ts").alias("at"), exact_key(F.col("rule_id"), F.col("host"), F.col("user_norm"), F.col("process_uid"), F.col("ts")).alias("dedup_key"), tokens(F.col("command_line")).alias("_t"))
     rows = rows.withColumns({"n_tokens": F.size("_t"), "sig": F.when(F.size("_t") >= least_tokens, signature(F.col("_t")))}).drop("_t")
@@ -64,10 +65,16 @@ def mark_greedy(alerts: DataFrame, window_s: int = 300, least_similarity: float
             canon.append(owner)
         return pd.DataFrame({"id": pdf["id"].to_numpy(), "dedup_key": pdf["dedup_key"].to_numpy(), "is_duplicate": dup, "canonical_id": pd.array(canon, dtype="Int64")})
 
-    line = Window.partitionBy(*KEYS).orderBy("at", "id")
-    far = F.col("at") - F.lag("at").over(line) > max(window_s, 60) * 1_000_000
-    rows = rows.withColumn("_new", F.when(far, 1).otherwise(0))
-    rows = rows.withColumn("piece", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    reach = max(window_s, 60) * 1_000_000
+    rows = rows.withColumn("_cell", F.floor(F.col("at") / F.lit(reach)))
+    cells = rows.groupBy(*KEYS, "_cell").agg(F.min("at").alias("_lo"), F.max("at").alias("_hi"))
+    line = Window.partitionBy(*KEYS).orderBy("_cell")
+    far = F.when(F.col("_lo") - F.lag("_hi").over(line) > reach, 1).otherwise(0)
+    cells = cells.withColumn("_new", far).withColumn("piece", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    same = F.lit(True)
+    for c in [*KEYS, "_cell"]:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    rows = rows.alias("l").join(cells.select(*KEYS, "_cell", "piece").alias("r"), same).select("l.*", "r.piece").drop("_cell")
     return rows.groupBy(*KEYS, "piece").applyInPandas(step, schema)
 
 

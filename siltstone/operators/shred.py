@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from json.decoder import scanstring
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -253,7 +253,7 @@ def entity_table(nodes: DataFrame, key: str, label: str, attributes: list[str])
     return objects.join(wide, [key, "doc", "node"], "left").select(key, "doc", "node_path", "parent_path", "ordinal", *(F.col(f"a_{a}") for a in attributes))
 
 
-def scalar_values(nodes: DataFrame, key: str, value: Column | None = None) -> DataFrame:
+def scalar_values(nodes: DataFrame, key: str) -> DataFrame:
     """The scalars of arrays as a child table: (key, doc, parent_path, label, ordinal, scalar)."""
     held = nodes.where(F.col("kind").isin("string", "number", "boolean") & F.col("ordinal").isNotNull())
     return held.select(key, "doc", "parent_path", "label", "ordinal", "scalar")

@@ -9,7 +9,7 @@ from siltstone.functions.keys import code_key, host_key, one_per_record, user_ke
 from siltstone.operators.eager import eager_join_aggregate, longest_gap_by_key
 from siltstone.operators.features import entity_features, features_long
 from siltstone.operators.sessions import SessionTable, split_batches
-from siltstone.operators.shred import adjacency, entity_table, object_nodes
+from siltstone.operators.shred import adjacency, entity_table, object_nodes, scalar_values
 from siltstone.operators.timestamps import clock_zone, normalise
 from siltstone.session import scratch_path, table
 
@@ -21,9 +21,32 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return object_nodes(nodes).select("id", "doc", "node_path", "parent_path")
 
 
+_ALL_NODES = ["node", "parent", "label", "ordinal", "kind", "node_path", "parent_path", "scalar"]
+
+
+def _entities(spark: SparkSession, sf_dir: str, label: str, attributes: list[str]) -> DataFrame:
+    return entity_table(adjacency(table(spark, sf_dir, "telemetry"), "id", ["ocsf"], _ALL_NODES), "id", label, attributes)
+
+
 def p1_process_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = adjacency(table(spark, sf_dir, "telemetry"), "id", ["ocsf"], ["node", "parent", "label", "ordinal", "kind", "node_path", "parent_path", "scalar"])
-    return entity_table(nodes, "id", "process", ["pid", "uid", "name", "cmd_line"])
+    return _entities(spark, sf_dir, "process", ["pid", "uid", "name", "cmd_line"])
+
+
+def p1_parent_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir, "parent_process", ["pid", "uid", "name"])
+
+
+def p1_file_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir, "file", ["path", "name"])
+
+
+def p1_user_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir, "user", ["name", "domain", "uid"])
+
+
+def p1_array_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scalars in arrays of the records, as a child table."""
+    return scalar_values(adjacency(table(spark, sf_dir, "telemetry"), "id", ["ocsf", "raw"], _ALL_NODES), "id")
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +126,10 @@ _KEYED = f"""keyed as (
 QUERIES = {
     "p1_found": p1_found,
     "p1_process_entities": p1_process_entities,
+    "p1_parent_entities": p1_parent_entities,
+    "p1_file_entities": p1_file_entities,
+    "p1_user_entities": p1_user_entities,
+    "p1_array_values": p1_array_values,
     "p2_found": p2_found,
     "p2_alert_pressure": p2_alert_pressure,
     "p3_found": p3_found,
@@ -133,10 +160,20 @@ walk(id, doc, v, path, near, label, ordinal) as (
   from walk w, json_each(w.v) e where e.type in ('OBJECT', 'ARRAY'))"""
 _SCALAR = "case when json_type(v, '$.{a}') not in ('OBJECT', 'ARRAY', 'NULL') then json_extract_string(v, '$.{a}') end a_{a}"
 
+
+def _entity_sql(label: str, attributes: list[str]) -> str:
+    return f"""{_WALK} select id, doc, path node_path, near parent_path, ordinal, {", ".join(_SCALAR.format(a=a) for a in attributes)}
+from walk where json_type(v) = 'OBJECT' and path <> '' and label = '{label}' and doc = 'ocsf'"""
+
+
 ORACLES = {
     "p1_found": f"{_WALK} select id, doc, path node_path, near parent_path from walk where json_type(v) = 'OBJECT' and path <> ''",
-    "p1_process_entities": f"""{_WALK} select id, doc, path node_path, near parent_path, ordinal, {", ".join(_SCALAR.format(a=a) for a in ("pid", "uid", "name", "cmd_line"))}
-from walk where json_type(v) = 'OBJECT' and path <> '' and label = 'process' and doc = 'ocsf'""",
+    "p1_process_entities": _entity_sql("process", ["pid", "uid", "name", "cmd_line"]),
+    "p1_parent_entities": _entity_sql("parent_process", ["pid", "uid", "name"]),
+    "p1_file_entities": _entity_sql("file", ["path", "name"]),
+    "p1_user_entities": _entity_sql("user", ["name", "domain", "uid"]),
+    "p1_array_values": f"""{_WALK} select w.id, w.doc, case when w.path = '' then '/' else w.near end parent_path, w.label, e.key::bigint ordinal, json_extract_string(e.value, '$') scalar
+from walk w, json_each(w.v) e where json_type(w.v) = 'ARRAY' and e.type not in ('OBJECT', 'ARRAY', 'NULL')""",
     "p2_found": f"""with {_KEYED}
 select host, event_code, count(*)::bigint n_events, coalesce(max(gap), 0)::bigint max_gap_us from (
   select *, at_us - lag(at_us) over (partition by host, event_code order by at_us) gap from keyed)
