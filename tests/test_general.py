@@ -186,6 +186,7 @@ STAMPS = [
     ("1714557600123", None, None, "2024-05-02", us("2024-05-01T10:00:00.123")),
     ("1714557600123456", None, None, "2024-05-02", us("2024-05-01T10:00:00.123456")),
     ("133590312001234567", None, None, "2024-05-02", us("2024-05-01T10:00:00.123456")),
+    ("133910246502008297", None, None, "2025-06-01", 1746551050200829),
     ("2024-02-30 10:00:00", "+00:00", None, "2024-05-02", None),
     ("2024-05-01 25:00:00", "+00:00", None, "2024-05-02", None),
     ("2024-05-01 10:00:60", "+00:00", None, "2024-05-02", None),
