@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLANK = r"[\s ​﻿]+"
+#: Blanks of all kinds, and the two characters without width that stand for one.
+BLANKS = " \t\n\x0b\x0c\r\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u200b\ufeff"
 
 
 def trimmed(value: Column) -> Column:
     """Without blanks of any kind at both ends."""
-    return F.regexp_replace(value, rf"^{BLANK}|{BLANK}$", "")
+    return F.btrim(value, F.lit(BLANKS))
 
 
 def present(value: Column) -> Column:
     """Null for the spellings of a missing value: null, '-' and empty."""
-    return F.when(value.isin("", "-"), F.lit(None)).otherwise(value)
+    return F.nullif(F.nullif(value, F.lit("")), F.lit("-"))
 
 
 def host_key(host: Column) -> Column:

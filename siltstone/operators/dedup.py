@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,30 +43,34 @@ def mark_greedy(alerts: DataFrame, window_s: int = 300, least_similarity: float
 
     A decision looks back by at most window_s, or one key bucket (60 s), so each (rule, host, user)
     group splits wherever a longer silence lies, and the pieces are independent. The silences are found
-    on time cells, not on rows. A piece is one task's work: where alerts of one rule, host and user go
-    on without a silence, greedy order leaves nothing to split.
+    on time cells, not on rows. A piece is one task's work, streamed in order with only the canonical
+    alerts and keys within reach held: where alerts of one rule, host and user go on without a silence,
+    greedy order leaves nothing to split.
     """
     rows = alerts.select("id", *KEYS, F.unix_micros("ts").alias("at"), exact_key(F.col("rule_id"), F.col("host"), F.col("user_norm"), F.col("process_uid"), F.col("ts")).alias("dedup_key"), tokens(F.col("command_line")).alias("_t"))
     rows = rows.withColumns({"n_tokens": F.size("_t"), "sig": F.when(F.size("_t") >= least_tokens, signature(F.col("_t")))}).drop("_t")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("dedup_key", T.StringType()), T.StructField("is_duplicate", T.BooleanType()), T.StructField("canonical_id", T.LongType())])
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"], kind="stable")
-        seen: dict[str, int] = {}
-        held: list[tuple[int, int, object]] = []
-        dup, canon = [], []
-        for row in pdf.itertuples(index=False):
-            owner = seen.get(row.dedup_key)
-            if owner is None and row.n_tokens >= least_tokens:
-                held = [h for h in held if row.at - h[0] <= window_s * 1_000_000]
-                owner = next((h[1] for h in held if (h[2] == row.sig).sum() / PERMUTATIONS >= least_similarity), None)
-            if owner is None:
-                seen[row.dedup_key] = row.id
-                if row.n_tokens >= least_tokens:
-                    held.append((row.at, row.id, row.sig))
-            dup.append(owner is not None)
-            canon.append(owner)
-        return pd.DataFrame({"id": pdf["id"].to_numpy(), "dedup_key": pdf["dedup_key"].to_numpy(), "is_duplicate": dup, "canonical_id": pd.array(canon, dtype="Int64")})
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, seen, held = None, {}, deque()
+        for pdf in batches:
+            dup, canon = [], []
+            for row in pdf.itertuples(index=False):
+                if (own := (row.rule_id, row.host, row.user_norm, row.piece)) != group:
+                    group, seen, held = own, {}, deque()
+                while held and row.at - held[0][0] > reach:
+                    _, _, _, key = held.popleft()
+                    seen.pop(key, None)
+                owner = seen.get(row.dedup_key)
+                if owner is None and row.n_tokens >= least_tokens:
+                    near = (h for h in held if h[2] is not None and row.at - h[0] <= window_s * 1_000_000)
+                    owner = next((h[1] for h in near if (h[2] == row.sig).sum() / PERMUTATIONS >= least_similarity), None)
+                if owner is None:
+                    seen[row.dedup_key] = row.id
+                    held.append((row.at, row.id, row.sig if row.n_tokens >= least_tokens else None, row.dedup_key))
+                dup.append(owner is not None)
+                canon.append(owner)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "dedup_key": pdf["dedup_key"].to_numpy(), "is_duplicate": dup, "canonical_id": pd.array(canon, dtype="Int64")})
 
     reach = max(window_s, 60) * 1_000_000
     rows = rows.withColumn("_cell", F.floor(F.col("at") / F.lit(reach)))
@@ -75,7 +82,7 @@ def mark_greedy(alerts: DataFrame, window_s: int = 300, least_similarity: float
     for c in [*KEYS, "_cell"]:
         same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
     rows = rows.alias("l").join(cells.select(*KEYS, "_cell", "piece").alias("r"), same).select("l.*", "r.piece").drop("_cell")
-    return rows.groupBy(*KEYS, "piece").applyInPandas(step, schema)
+    return rows.repartition(*KEYS, "piece").sortWithinPartitions(*KEYS, "piece", "at", "id").mapInPandas(stream, schema)
 
 
 def apply_marks(alerts: DataFrame, marks: DataFrame) -> DataFrame:

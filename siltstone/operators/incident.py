@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.normalize import is_machine_account, routable_ip, windows_path
 from siltstone.functions.keys import host_key, user_key
+from siltstone.session import write_read
 
 # Points of the priority score and the rules that earn them.
 FACTORS = (
@@ -134,12 +135,13 @@ def evidence(events: DataFrame, alerts: DataFrame, group: str, cap: int = EVIDEN
     alerting process. From tier 1 on, what exceeds cap in the order (tier, ts, id) is cut.
 
     events: id, ts, host, user_norm, process_uid, parent_uid, event_code; alerts: event_id, group,
-    ts, host, user_norm, process_uid. Candidates meet events on equal keys with the span as residual;
+    ts, host, user_norm, process_uid. Both are written once, as four joins read
+    them. Candidates meet events on equal keys with the span as residual;
     the limits are window limits that apply before the shuffle too.
     """
-    us = F.unix_micros("ts")
+    ev = write_read(events.select("id", F.unix_micros("ts").alias("at"), "host", "user_norm", "process_uid", "parent_uid", "event_code"), "fields")
+    alerts = write_read(alerts.select("event_id", group, "ts", "host", "user_norm", "process_uid"), "alerting")
     span = alerts.groupBy(group).agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi"))
-    ev = events.select("id", us.alias("at"), "host", "user_norm", "process_uid", "parent_uid", "event_code")
     zero = alerts.select(group, F.col("event_id").alias("id")).where("id is not null").distinct().join(ev.select("id", "at"), "id", "left").withColumn("tier", F.lit(0))
     uids = alerts.where("process_uid is not null").select(group, "process_uid").distinct().join(span, group)
     pad = PROCESS_PAD_S * 1_000_000
