@@ -15,9 +15,9 @@ def values(spark, expression, inputs, kind="string"):
 
 
 CASES = {
-    "user": (lambda c: user_key(c, ("dmevals.local", "dmevals")), ["DMEVALS\\pbeesly", "dschrute@DMEVALS.LOCAL", "dmevals.local\\mscott", "UTICA$", "DMEVALS\\UTICA$", "-", None, "", " NT AUTHORITY\\SYSTEM", "DMEVALS\\"],
+    "user": (lambda c: user_key(c, ("corp.example", "corp")), ["CORP\\pbeesly", "dschrute@CORP.EXAMPLE", "corp.example\\mscott", "UTICA$", "CORP\\UTICA$", "-", None, "", " NT AUTHORITY\\SYSTEM", "CORP\\"],
              ["pbeesly", "dschrute", "mscott", "utica$", "utica$", None, None, None, "nt authority\\system", None]),
-    "host": (host_key, ["UTICA.dmevals.local", " newyork", "wec.internal.cloudapp.net. ", None, "-", "", "\t", ".x"], ["UTICA", "NEWYORK", "WEC", None, None, None, None, None]),
+    "host": (host_key, ["UTICA.corp.example", " newyork", "wec.internal.cloudapp.net. ", None, "-", "", "\t", ".x"], ["UTICA", "NEWYORK", "WEC", None, None, None, None, None]),
     "code": (code_key, ["12", " 7 ", "", "-", None], ["12", "7", None, None, None]),
     "uid": (process_uid, ["{74328515-2c3c}", "74328515-2C3C", " {a} ", "-", None, "{}"], ["74328515-2C3C", "74328515-2C3C", "A", None, None, None]),
     "path": (windows_path, ["\\Device\\HarddiskVolume2\\Windows\\System32\\lsass.exe", "C:\\Windows\\CMD.exe ", None], ["c:\\windows\\system32\\lsass.exe", "c:\\windows\\cmd.exe", None]),
