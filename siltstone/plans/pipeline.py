@@ -22,7 +22,13 @@ class Pipeline:
 
 
 def marked_alerts(events: DataFrame, codes: tuple[str, ...] | None = None) -> DataFrame:
-    """Numbered alerts of the events with exact duplicates marked."""
+    """Numbered alerts of the events with exact and near-duplicates marked in one greedy pass."""
+    alerts = rules.number_alerts(rules.detect(events, codes=codes))
+    return dedup.apply_marks(alerts, dedup.mark_greedy(alerts))
+
+
+def exact_alerts(events: DataFrame, codes: tuple[str, ...] | None = None) -> DataFrame:
+    """Numbered alerts of the events, every hit by itself, with exact duplicates alone marked."""
     alerts = rules.number_alerts(rules.detect(events, codes=codes))
     key = dedup.exact_key(F.col("rule_id"), F.col("host"), F.col("user_norm"), F.col("process_uid"), F.col("ts"))
     return dedup.mark_exact(alerts.withColumn("dedup_key", key))

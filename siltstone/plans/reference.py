@@ -157,7 +157,8 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.marked_alerts(table(spark, sf_dir, "telemetry"))
+    """The exact step by itself, as the SQL of the queries below has it; the pipeline marks near-duplicates too."""
+    return pipeline.exact_alerts(table(spark, sf_dir, "telemetry"))
 
 
 _KEYED = (
@@ -293,6 +294,14 @@ def incident_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incident.incidents(_clustered(spark, sf_dir), "incident_id").select("incident_id", "priority", "status")
 
 
+@query()
+def pipeline_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline's alerts with their marks and the component that each, duplicates too, belongs to."""
+    done = pipeline.run(spark, sf_dir)
+    rows = done.alerts.join(done.clusters, "id", "left")
+    return rows.select("id", "event_id", "rule_id", "severity", "dedup_key", "is_duplicate", "canonical_id", "component")
+
+
 @query()
 def pipeline_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pipeline.run(spark, sf_dir).incidents

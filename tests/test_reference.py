@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.event_text import event_line
 from siltstone.operators import accuracy, audit, beacon, correlate, dedup, incident, rules, search, upsert, validate
+from siltstone.plans import pipeline
 from siltstone.session import scratch_path
 from siltstone.sources import catalogues, lines
 from siltstone.sources.records import parse_records, reject_counts, with_record
@@ -137,6 +138,16 @@ def test_exact_and_near_duplicates(spark):
     assert {x["id"]: x["canonical_id"] for x in dedup.mark_exact(keyed).collect()} == {1: None, 2: 1, 10: None, 11: None, 12: None}
 
 
+def test_pipeline_marks_near_duplicates(spark):
+    line = "c:\\programdata\\a.exe " + " ".join(f"word{k}" for k in range(80)) + " 10.0.0.%d"
+    start = lambda k, path: ("1", {"host": "H", "process_name": path, "command_line": line % k}, {}, set())
+    events = event_rows(spark, [start(1, "c:\\programdata\\a.exe"), start(2, "c:\\programdata\\a.exe")]).withColumn("ts", F.expr("ts + make_interval(0, 0, 0, 0, 0, 0, id * 120)"))
+    marked = pipeline.marked_alerts(events)
+    assert [(r["id"], r["event_id"], r["is_duplicate"], r["canonical_id"]) for r in marked.orderBy("id").collect()] == [(1, 0, False, None), (2, 1, True, 1)]
+    assert {tuple(r) for r in correlate.correlate(marked).collect()} == {(1, 1), (2, 1)}  # no user, process or address in common
+    assert [r["is_duplicate"] for r in pipeline.exact_alerts(events).collect()] == [False, False]
+
+
 # --- correlation ---------------------------------------------------------------------------------
 
 ITEM = "id bigint, rule_id string, ts timestamp, host string, user_norm string, process_uid string, file_path string, src_ip string, dst_ip string, is_duplicate boolean, canonical_id bigint"
