@@ -1,4 +1,4 @@
-"""The deterministic pipeline as one lazy plan: detect, deduplicate, correlate, roll up, collect evidence."""
+"""The deterministic pipeline as one lazy plan: detect, gather beacons, deduplicate, correlate, roll up, collect evidence."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import correlate, dedup, incident, rules
+from siltstone.operators import beacon, correlate, dedup, incident, rules
 from siltstone.session import table, write_read
 
 
@@ -21,9 +21,14 @@ class Pipeline:
     evidence: DataFrame
 
 
+def found_alerts(events: DataFrame, codes: tuple[str, ...] | None = None) -> DataFrame:
+    """Alerts of the events, script-host connections as one alert per beacon session. Hits are written once."""
+    return beacon.session_alerts(write_read(rules.detect(events, codes=codes), "hits"))
+
+
 def marked_alerts(events: DataFrame, codes: tuple[str, ...] | None = None) -> DataFrame:
     """Numbered alerts of the events with exact and near-duplicates marked in one greedy pass."""
-    alerts = rules.number_alerts(rules.detect(events, codes=codes))
+    alerts = rules.number_alerts(found_alerts(events, codes))
     return dedup.apply_marks(alerts, dedup.mark_greedy(alerts))
 
 

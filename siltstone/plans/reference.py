@@ -226,6 +226,16 @@ def _beacons(rows: DataFrame, keys: list[str], id_col: str, bucket_s: int) -> Da
     return out.withColumns({"mean_gap": F.round("mean_gap", 3), "std_gap": F.round("std_gap", 3)})
 
 
+_SESSIONS = _beacon_sql("select host, process_uid, dst_peer, dst_port, id, epoch_us(ts) at_us from hits where rule_id = 'CUR-013' and ts is not null", "host, process_uid, dst_peer, dst_port", 300)
+
+
+@query(f"""{_DETECT}, sessions as ({_SESSIONS})
+select rule_id, severity, count(*)::bigint n from (select rule_id, severity from hits where rule_id <> 'CUR-013' or ts is null union all select 'CUR-013', severity from sessions) group by all""")
+def pipeline_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts by rule as the pipeline raises them: rule_counts counts hits, here connections count by session."""
+    return pipeline.found_alerts(table(spark, sf_dir, "telemetry")).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(_beacon_sql("select event_type, user_id, event_id id, epoch_us(ts) at_us from events", "event_type, user_id", 86400))
 def beacon_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _beacons(table(spark, sf_dir, "events"), ["event_type", "user_id"], "event_id", 86400)

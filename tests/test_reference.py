@@ -245,6 +245,16 @@ def test_beacons(spark):
     assert (got["h", "x"]["is_regular"], got["h", "x"]["severity"]) == (False, "medium") and (None, None) in got
 
 
+def test_pipeline_gathers_beacons(spark):
+    connect = ("3", {"host": "H", "process_name": "c:\\w\\cmd.exe", "dst_ip": "10.0.0.9"}, {"dst_endpoint": {"port": 8080}}, set())
+    late = ("3", {**connect[1], "dst_ip": "10.0.0.8"}, connect[2], set())
+    rows = event_rows(spark, [connect] * 12 + [late] * 3 + [("7045", {"host": "H"}, {}, set()), connect])
+    events = rows.withColumn("ts", F.when(F.col("id") < 16, F.col("ts") + F.make_dt_interval(secs=F.col("id") * 9)))
+    got = pipeline.marked_alerts(events).orderBy("event_id").select("event_id", "rule_id", "severity", "dst_ip").collect()
+    # Twelve regular connections are one alert, three to another peer one, the last has no time and stays.
+    assert [tuple(r) for r in got] == [(0, "CUR-013", "high", "10.0.0.9"), (12, "CUR-013", "medium", "10.0.0.8"), (15, "CUR-007", "high", None), (16, "CUR-013", "medium", "10.0.0.9")]
+
+
 def test_evidence_budget(spark):
     events = [Row(id=i, ts=at(i), host="H", user_norm="u", process_uid="P" if i < 40 else None, parent_uid="P" if i > 90 else None, event_code="4656" if i % 2 else "1") for i in range(100)]
     schema = "id bigint, ts timestamp, host string, user_norm string, process_uid string, parent_uid string, event_code string"
