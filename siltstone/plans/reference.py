@@ -502,6 +502,34 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.reciprocal_rank_fusion(near, words, "doc_id", 20).withColumn("score", F.round("score", 9))
 
 
+_NEAR_ALL = _NEAR.replace(f"q.vec_id in ({', '.join(map(str, _QUERY_IDS))})", "q.vec_id % 50 = 0")
+_KEYWORD_ALL = f"""st as (select doc_id, {_STEMS.format(t="text")} s from documents where text is not null), qs as (select doc_id query_id, list_distinct(s) w from st where doc_id % 50 = 0),
+kw as (select query_id, doc_id, round(len(list_distinct(h)) + len(h) / (len(h) + len(s)), 9) score from (select query_id, doc_id, s, list_filter(s, lambda x: list_contains(w, x)) h from st, qs) where len(h) > 0),
+kr as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from kw) where rank <= 50)"""
+
+
+def _all_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return search.vector_topk_all(rows, "vec_id", "embedding", rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+
+
+@query(f"with {_NEAR_ALL} select query_id, vec_id, rank::int as rank, round(distance, 6) + 0.0 distance from best where rank <= 50")
+def vector_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 50 as a query."""
+    return _all_near(spark, sf_dir).select("query_id", "vec_id", "rank", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
+
+
+@query(f"""with {_KEYWORD_ALL}, {_NEAR_ALL}, v as (select query_id, vec_id doc_id, rank from best where rank <= 50), s as (
+  select query_id, doc_id, coalesce(1.0::double / (60 + v.rank), 0) + coalesce(1.0::double / (60 + kr.rank), 0) score from v full outer join kr using (query_id, doc_id))
+select query_id, doc_id, round(score, 9) score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) where rank <= 20""")
+def hybrid_rrf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every id divisible by 50 as a query, by its vector and its document's text, where it has them."""
+    docs = table(spark, sf_dir, "documents")
+    words = search.keyword_rank_all(docs, "doc_id", "text", docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+    out = search.reciprocal_rank_fusion(_all_near(spark, sf_dir).withColumnRenamed("vec_id", "doc_id"), words, "doc_id", 20, by=["query_id"])
+    return out.withColumn("score", F.round("score", 9))
+
+
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '\b[\w.-]+\.quillmere\.example\b', '', 'gi'), '\b\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?::\d+)?\b', '', 'g'), '\b\d{{1,2}}:\d{{2}}(?::\d{{2}})?(?:\.\d+)?\b', '', 'g'), '\s+', ' ', 'g'))"
 _CODE_MAP = "case event_code " + " ".join(f"when '{k}' then '{v}'" for k, v in search.CODE_WORDS.items()) + " end"
 

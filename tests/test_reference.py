@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.event_text import event_line
 from siltstone.operators import accuracy, audit, beacon, correlate, dedup, incident, rules, search, upsert, validate
-from siltstone.plans import pipeline
+from siltstone.plans import pipeline, reference
 from siltstone.session import scratch_path
 from siltstone.sources import catalogues, lines
 from siltstone.sources.records import parse_records, reject_counts, with_record
@@ -310,6 +310,25 @@ def test_keywords_and_enrichment(spark):
     assert got == "Logon from now x WinRM remote management RPC DCOM network connection"
 
 
+def test_every_fiftieth_row_is_a_query(spark, tmp_path):
+    r = random.Random(7)
+    rows = [(i, [r.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)], f"alpha w{i % 7} w{i % 11}") for i in range(160)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, text string").select("vec_id", "embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame(rows, "doc_id bigint, embedding array<float>, text string").select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for x in reference.vector_topk_all(spark, str(tmp_path)).orderBy("rank").collect():
+        got.setdefault(x["query_id"], []).append(x["vec_id"])
+    assert set(got) == {q for q in (0, 50, 100, 150) if any(rows[q][1])}
+    items = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, text string")
+    for q in got:
+        alone = search.vector_topk(items, "vec_id", "embedding", rows[q][1]).orderBy("rank").collect()
+        assert got[q] == [x["vec_id"] for x in alone]
+    words = search.keyword_rank_all(items, "vec_id", "text", items.where("vec_id = 50").selectExpr("vec_id query_id", "text")).orderBy("rank").collect()
+    assert [(x["vec_id"], x["score"]) for x in words] == [(x["vec_id"], x["score"]) for x in search.keyword_rank(items, "vec_id", "text", rows[50][2]).orderBy("rank").collect()]
+    fused = reference.hybrid_rrf_all(spark, str(tmp_path)).groupBy("query_id").count().collect()
+    assert {tuple(x) for x in fused} == {(q, 20) for q in (0, 50, 100, 150)}
+
+
 # --- audit, accuracy, sinks ------------------------------------------------------------------------
 
 
