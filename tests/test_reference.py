@@ -461,6 +461,16 @@ def test_records(spark):
     assert {r["reject"]: r["n"] for r in counts.collect()} == {"": 3, "no time": 1, "unreadable": 2, "no channel": 1}
 
 
+def test_values_of_every_layout(spark, tmp_path):
+    data = {"ProcessId": "0x1f", "port": "80", "Hashes": "MD5=A"}
+    docs = [{"Channel": "c", **data}, {"winlog": {"channel": "c", "event_data": data}}, {"Event": {"System": {"EventID": 1}, "EventData": {"Data": [{"Name": k, "Value": v} for k, v in data.items()]}}}]
+    texts = [json.dumps(d) for d in docs]
+    rows = list(enumerate([*texts, json.dumps(texts[0]), "{broken"]))
+    spark.createDataFrame(rows, "id bigint, raw string").write.parquet(str(tmp_path / "telemetry.parquet"))
+    assert sorted(map(tuple, reference.numeric_parse_all(spark, str(tmp_path)).collect())) == [(0, 31, 80), (1, 31, 80), (2, 31, 80), (3, 31, 80), (4, None, None)]
+    assert sorted(map(tuple, reference.hashes_parse_all(spark, str(tmp_path)).collect())) == [(i, "MD5", "A") for i in range(4)]
+
+
 def test_event_line(spark):
     raw = json.dumps({"DestinationPort": "8080", "Channel": "x"})
     row = spark.createDataFrame([(999999, at(450), "S", None, "3", None, None, None, None, None, "198.51.100.66", raw)], "id bigint, ts timestamp, host string, user_name string, event_code string, process_name string, parent_process string, command_line string, file_path string, src_ip string, dst_ip string, raw string")
