@@ -675,7 +675,7 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id, array_to_string(list_sort(list_distinct(list_filter(cited, lambda x: list_contains(coalesce(ids, []), x)))), ',') valid from c left join e using (incident_id)""")
 def citation_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text is not null and incident_id is not null")
-    cited = F.transform(F.regexp_extract_all("text", F.lit(r"\b([0-9]{1,6})\b"), F.lit(1)), lambda x: x.cast("bigint"))
+    cited = F.transform(F.regexp_extract_all("text", F.lit(r"\b([0-9]+)\b"), F.lit(1)), lambda x: x.try_cast("bigint"))
     # Cited ids meet the evidence as pairs: an incident's evidence is never one array.
     pairs = docs.select("incident_id", "doc_id", F.explode(F.array_distinct(cited)).alias("id"))
     found = pairs.join(table(spark, sf_dir, "telemetry").select("incident_id", "id"), ["incident_id", "id"]).groupBy("doc_id").agg(F.array_sort(F.collect_set("id")).alias("valid"))

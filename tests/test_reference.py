@@ -398,6 +398,13 @@ def test_validation(spark):
     assert [r["answer"] for r in asked.orderBy("p").collect()] == ["A", "B"]
 
 
+def test_citations_of_any_length(spark, tmp_path):
+    spark.createDataFrame([(1, 9), (1, 1234567), (1, 9999999999)], "incident_id bigint, id bigint").write.parquet(str(tmp_path / "telemetry.parquet"))
+    text = "events 9, 1234567, 9999999999, 7654321 and 123456789012345678901234567890"
+    spark.createDataFrame([(5, 1, text)], "doc_id bigint, incident_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in reference.citation_validate(spark, str(tmp_path)).collect()] == [(5, "9,1234567,9999999999")]
+
+
 @pytest.mark.parametrize("text,wanted", [
     ('{"sentences":[{"s":1},{"s":2},{"s":', [{"s": 1}, {"s": 2}]), ('```json\n[{"p":"C:\\Windows\\x"}]\n```', [{"p": "C:\\Windows\\x"}]), ('{"a":{"b":1}}', [{"a": {"b": 1}}]), ("no json", []), (None, []),
 ])
