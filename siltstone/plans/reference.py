@@ -13,7 +13,7 @@ from siltstone.functions.normalize import is_correlating_user, is_machine_accoun
 from siltstone.operators import accuracy, audit, beacon, correlate, dedup, incident, rules, search, upsert, validate
 from siltstone.plans import pipeline
 from siltstone.session import table, write_read
-from siltstone.sources.records import parse_records, with_record
+from siltstone.sources.records import parse_records, reject_counts, with_record
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -403,12 +403,15 @@ def numeric_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", parse.number_value(F.col("r.ProcessId")).alias("pid"), parse.port_value(F.col("r.port")).alias("port"))
 
 
-@query()
-def record_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "telemetry").withColumn("dataset", F.split_part("uid", F.lit("/"), F.lit(1)))
     rows = rows.join(table(spark, sf_dir, "datasets").select("dataset", "event_time_offset"), "dataset", "left")
-    out = parse_records(rows, "uid", "raw", F.col("event_time_offset"), F.col("ingested_at"))
-    return out.withColumns({"file_hashes": F.to_json("file_hashes"), "unmapped": F.to_json("unmapped")}).drop("raw")
+    return parse_records(rows, "uid", "raw", F.col("event_time_offset"), F.col("ingested_at"))
+
+
+@query()
+def record_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir).withColumns({"file_hashes": F.to_json("file_hashes"), "unmapped": F.to_json("unmapped")}).drop("raw")
 
 
 @query("""with d as (select *, case when json_valid(raw) then case when json_type(raw::json) = 'VARCHAR' then json_extract_string(raw::json, '$') else raw end end r from telemetry),
@@ -419,6 +422,12 @@ def reject_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.when(F.col("m").isNotNull(), "").otherwise("unreadable").alias("reject")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by each reason that record_parse gives; reject_counting tells readable from unreadable ones only."""
+    return reject_counts(_parsed(spark, sf_dir))
+
+
 @query()
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_record(table(spark, sf_dir, "telemetry").where("incident_id is not null"), "raw", "m")

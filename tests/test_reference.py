@@ -478,6 +478,16 @@ def test_values_of_every_layout(spark, tmp_path):
     assert sorted(map(tuple, reference.hashes_parse_all(spark, str(tmp_path)).collect())) == [(i, "MD5", "A") for i in range(4)]
 
 
+def test_every_reject_reason_is_counted(spark, tmp_path):
+    base = {"Channel": "Security", "EventID": 4720, "EventTime": "2020-05-01 08:00:00"}
+    docs = [json.dumps(base), "{broken", json.dumps({**base, "Channel": None}), json.dumps({**base, "EventID": None}), json.dumps({**base, "EventTime": None})]
+    rows = [(f"a/{i}", d, at(0)) for i, d in enumerate(docs)] + [("b/9", docs[0], at(0))]
+    spark.createDataFrame(rows, "uid string, raw string, ingested_at timestamp").write.parquet(str(tmp_path / "telemetry.parquet"))
+    spark.createDataFrame([("a", "-04:00"), ("b", None)], "dataset string, event_time_offset string").write.parquet(str(tmp_path / "datasets.parquet"))
+    got = {r["reject"]: r["n"] for r in reference.reject_reasons(spark, str(tmp_path)).collect()}
+    assert got == {"": 1, "unreadable": 1, "no channel": 1, "no event number": 1, "no time": 2}  # b has no zone
+
+
 def test_event_line(spark):
     raw = json.dumps({"DestinationPort": "8080", "Channel": "x"})
     row = spark.createDataFrame([(999999, at(450), "S", None, "3", None, None, None, None, None, "198.51.100.66", raw)], "id bigint, ts timestamp, host string, user_name string, event_code string, process_name string, parent_process string, command_line string, file_path string, src_ip string, dst_ip string, raw string")
