@@ -1,8 +1,10 @@
-"""Deeply nested JSON documents as an adjacency table, and entity tables pivoted from it.
+"""Deeply nested JSON documents as an adjacency table, and entity tables derived from it.
 
-`adjacency` turns every document into rows (node, parent, label, ordinal, scalar): one per object,
-array and scalar at any depth. `entity_table` joins object nodes with their scalar children and
-pivots those into a flat table that keeps the link to the enclosing object and to the source row.
+`adjacency` shreds every document into rows (node, parent, label, ordinal, kind, scalar): one per object,
+array and scalar at any depth; the root is node 0 and has no row. `stored_adjacency` writes that table
+to the shared folder, so each document is parsed once, whatever is derived from it afterwards.
+`node_paths` follows the parent links of the container nodes; `entity_table` joins object nodes with
+their scalar children, pivoted into columns, and keeps the link to the enclosing object and the row.
 
 Defined results: a null, empty or unreadable document gives no row; a document stored as a JSON
 string that holds the document (once or several times over) counts as that document; of equal keys
@@ -22,17 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.session import write_read
+
 NODE_COLUMNS = {
     "node": T.LongType(),
     "parent": T.LongType(),
     "label": T.StringType(),
     "ordinal": T.LongType(),
     "kind": T.StringType(),
-    "node_path": T.StringType(),
-    "parent_path": T.StringType(),
-    "parent_object": T.LongType(),
     "scalar": T.StringType(),
 }
+KINDS = ("object", "array", "string", "number", "boolean", "null")
 _ROWS_PER_BATCH = 50_000
 _NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?")
 _WORDS = {"true": True, "false": False, "null": None}
@@ -119,9 +121,7 @@ def _parse_deep(text: str):
 
 def parse_document(text: str | None):
     """The object or array a document holds, or None."""
-    for _ in range(64):
-        if not isinstance(text, str):
-            break
+    while isinstance(text, str):  # every unwrapping is shorter than what it came from
         try:
             text = json.loads(text, parse_constant=_reject)
         except RecursionError:
@@ -134,45 +134,58 @@ def parse_document(text: str | None):
     return text if isinstance(text, (dict, list)) else None
 
 
-def _scalar(value) -> tuple[str, str | None]:
-    if value is None:
-        return "null", None
-    if value is True or value is False:
-        return "boolean", "true" if value else "false"
-    if isinstance(value, str):
-        return "string", value
-    return "number", str(value) if isinstance(value, int) else repr(value)
-
+class _Rows:
+    """Columns of adjacency rows, filled node by node; the numbers of a document run from 1 without holes."""
 
-def document_nodes(root, scalars: bool = True) -> Iterator[tuple]:
-    """Rows in the order of NODE_COLUMNS for everything below the root (node 0).
+    def __init__(self) -> None:
+        self.parent, self.label, self.ordinal, self.kind, self.scalar = [], [], [], [], []
 
-    parent is the enclosing container, parent_object and parent_path the closest enclosing object,
-    the root standing in where only arrays are around.
-    """
-    count = 0
-    stack = [(root, 0, "", None, 0, "/")]
-    while stack:
-        value, node, path, label, near, near_path = stack.pop()
-        named = isinstance(value, dict)
-        for key, child in value.items() if named else enumerate(value):
-            kind = type(child)
-            if kind is dict or kind is list:
+    def add_document(self, root) -> Iterator[int]:
+        """Append all nodes below root; the count so far is yielded whenever a batch is full."""
+        parent, label, ordinal, kind, scalar = self.parent.append, self.label.append, self.ordinal.append, self.kind.append, self.scalar.append
+        count, stack = 0, [(root, 0, None)]
+        while stack:
+            value, node, own = stack.pop()
+            named = type(value) is dict
+            for key, child in value.items() if named else enumerate(value):
                 count += 1
-                below = f"{path}/{key}"
-                own = key if named else label
-                if kind is dict:
-                    yield count, node, own, None if named else key, "object", below, near_path, near, None
-                    if child:
-                        stack.append((child, count, below, own, count, below))
+                parent(node)
+                if named:
+                    label(key)
+                    ordinal(None)
                 else:
-                    yield count, node, own, None if named else key, "array", below, near_path, near, None
+                    label(own)
+                    ordinal(key)
+                is_a = type(child)
+                if is_a is str:
+                    kind(2)
+                    scalar(child)
+                elif is_a is dict or is_a is list:
+                    kind(0 if is_a is dict else 1)
+                    scalar(None)
                     if child:
-                        stack.append((child, count, below, own, near, near_path))
-            elif scalars:
-                count += 1
-                name, shown = _scalar(child)
-                yield count, node, key if named else label, None if named else key, name, f"{path}/{key}", near_path, near, shown
+                        stack.append((child, count, key if named else own))
+                elif child is None:
+                    kind(5)
+                    scalar(None)
+                elif is_a is bool:
+                    kind(4)
+                    scalar("true" if child else "false")
+                else:
+                    kind(3)
+                    scalar(str(child) if is_a is int else repr(child))
+            if len(self.parent) >= _ROWS_PER_BATCH:
+                yield count
+        yield count
+
+
+def document_nodes(root) -> list[tuple]:
+    """Rows in the order of NODE_COLUMNS for everything below the root (node 0)."""
+    rows = _Rows()
+    for _ in rows.add_document(root):
+        pass
+    kinds = [KINDS[k] for k in rows.kind]
+    return list(zip(range(1, len(kinds) + 1), rows.parent, rows.label, rows.ordinal, kinds, rows.scalar))
 
 
 def _array(values: list, kind: pa.DataType) -> pa.Array:
@@ -182,31 +195,31 @@ def _array(values: list, kind: pa.DataType) -> pa.Array:
         return pa.array([v.encode("utf-8", "replace").decode() if isinstance(v, str) else v for v in values], kind)
 
 
-def adjacency(df: DataFrame, key: str, documents: list[str], columns: list[str] | None = None, scalars: bool = True) -> DataFrame:
-    """Adjacency table of the named JSON columns: key, doc and the chosen NODE_COLUMNS.
+def adjacency(df: DataFrame, key: str, documents: list[str]) -> DataFrame:
+    """Adjacency table of the named JSON columns: key, doc and NODE_COLUMNS.
 
     One pass without a shuffle: each task parses its own rows and streams nodes out in bounded
-    batches. Only the key and document columns are read. columns and scalars leave out what a
-    caller does not use, so that it is neither built nor sent.
+    batches. Only the key and document columns are read. An array's elements carry its label and their
+    position as ordinal; members of an object have no ordinal.
     """
-    names = columns or list(NODE_COLUMNS)
-    picks = [list(NODE_COLUMNS).index(c) for c in names]
-    kinds = [pa.int64() if isinstance(NODE_COLUMNS[c], T.LongType) else pa.string() for c in names]
-    key_field = df.schema[key]
-    schema = T.StructType([T.StructField(key, key_field.dataType), T.StructField("doc", T.StringType()), *(T.StructField(c, NODE_COLUMNS[c]) for c in names)])
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("doc", T.StringType()), *(T.StructField(c, t) for c, t in NODE_COLUMNS.items())])
 
     def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.set_int_max_str_digits(0)
+        kinds = pa.array(KINDS)
         where: list[int] = []
-        doc: list[str] = []
-        rows: list[tuple] = []
-
-        def built(keys: pa.Array) -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [()] * len(NODE_COLUMNS)
-            arrays = [keys.take(pa.array(where, pa.int64())), pa.array(doc, pa.string())]
-            arrays += [_array(list(columns[i]), kind) for i, kind in zip(picks, kinds)]
-            where.clear(), doc.clear(), rows.clear()
-            return pa.RecordBatch.from_arrays(arrays, [key, "doc", *names])
+        numbers: list[int] = []
+        rows = _Rows()
+
+        def built(keys: pa.Array, name: str) -> pa.RecordBatch:
+            n = len(rows.parent)
+            arrays = [
+                keys.take(pa.array(where, pa.int64())), pa.repeat(name, n), pa.array(numbers, pa.int64()), pa.array(rows.parent, pa.int64()), _array(rows.label, pa.string()),
+                pa.array(rows.ordinal, pa.int64()), kinds.take(pa.array(rows.kind, pa.int8())), _array(rows.scalar, pa.string()),
+            ]
+            for column in (where, numbers, rows.parent, rows.label, rows.ordinal, rows.kind, rows.scalar):
+                column.clear()  # emptied, not replaced: a document in the middle goes on filling them
+            return pa.RecordBatch.from_arrays(arrays, schema.names)
 
         for batch in batches:
             keys = batch.column(0)
@@ -215,36 +228,75 @@ def adjacency(df: DataFrame, key: str, documents: list[str], columns: list[str]
                     root = parse_document(text)
                     if root is None:
                         continue
-                    before = len(rows)
-                    for row in document_nodes(root, scalars):
-                        rows.append(row)
-                        if len(rows) >= _ROWS_PER_BATCH:
-                            where.extend([i] * (len(rows) - before))
-                            doc.extend([name] * (len(rows) - before))
-                            yield built(keys)
-                            before = 0
-                    where.extend([i] * (len(rows) - before))
-                    doc.extend([name] * (len(rows) - before))
-            if rows:
-                yield built(keys)
+                    done = 0
+                    for count in rows.add_document(root):
+                        where.extend([i] * (count - done))
+                        numbers.extend(range(done + 1, count + 1))
+                        done = count
+                        if len(rows.parent) >= _ROWS_PER_BATCH:
+                            yield built(keys, name)
+                if rows.parent:
+                    yield built(keys, name)
 
     return df.select(key, *documents).mapInArrow(shred, schema)
 
 
+def stored_adjacency(df: DataFrame, key: str, documents: list[str]) -> DataFrame:
+    """The adjacency table, written to the shared folder once and read back."""
+    return write_read(adjacency(df, key, documents), "adjacency")
+
+
 def object_nodes(nodes: DataFrame) -> DataFrame:
-    """The object nodes of an adjacency table."""
+    """The object nodes of an adjacency table or of its paths."""
     return nodes.where(F.col("kind") == "object")
 
 
-def entity_table(nodes: DataFrame, key: str, label: str, attributes: list[str]) -> DataFrame:
+def node_paths(nodes: DataFrame, key: str) -> DataFrame:
+    """Every container node with its paths: key, doc, node, label, ordinal, kind, node_path, parent_path.
+
+    node_path joins the labels, or positions in arrays, from the root down; parent_path is the path of
+    the closest enclosing object, '/' for the root. The containers of one document meet in one task
+    (a document came in one row, so they are bounded) and are resolved in the order of their numbers,
+    in which parents come first: one shuffle and one pass whatever the depth, where joins on the parent
+    link would take one for each level.
+    """
+    kept = [key, "doc", "node", "parent", "label", "ordinal", "kind"]
+    rows = nodes.where(F.col("kind").isin("object", "array")).select(kept).repartition(key, "doc").sortWithinPartitions(key, "doc", "node")
+    of = {f.name: f for f in rows.schema}
+    text = T.StringType()
+    schema = T.StructType([*(of[c] for c in (key, "doc", "node", "label", "ordinal", "kind")), T.StructField("node_path", text), T.StructField("parent_path", text)])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, path, near = None, {}, {}
+        for batch in batches:
+            paths, parents = [], []
+            columns = [batch.column(i).to_pylist() for i in range(len(kept))]
+            for own_key, doc, node, parent, label, ordinal, kind in zip(*columns):
+                if (own_key, doc) != current:
+                    current, path, near = (own_key, doc), {0: ""}, {0: "/"}
+                step = f"{path[parent]}/{label if ordinal is None else ordinal}"
+                above = near[parent]
+                path[node] = step
+                near[node] = step if kind == "object" else above
+                paths.append(step)
+                parents.append(above)
+            arrays = [batch.column(i) for i in (0, 1, 2, 4, 5, 6)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(paths, pa.string()), pa.array(parents, pa.string())], schema.names)
+
+    return rows.mapInArrow(follow, schema)
+
+
+def entity_table(nodes: DataFrame, key: str, label: str, attributes: list[str], paths: DataFrame | None = None) -> DataFrame:
     """Flat table of the objects held under label, a column per scalar attribute, linked to the parent.
 
-    Scalar children are reduced to one row per object before the shuffle, as the nodes of a document
-    lie together, and joined to the object nodes on (key, doc, node). An attribute that an object
-    lacks, or that is no scalar there, is null. Attribute columns are prefixed with `a_`, so no name
-    clashes with the link columns.
+    nodes is a stored adjacency table, as it is read twice: for the object nodes with their paths
+    (paths, if they are there already), and for the scalar children. Those are reduced to one row per
+    object before the shuffle, as the nodes of a document lie together, and joined to the object nodes
+    on (key, doc, node). An attribute that an object lacks, or that is no scalar there, is null.
+    Attribute columns are prefixed with `a_`, so no name clashes with the link columns.
     """
-    objects = object_nodes(nodes).where(F.col("label") == label).select(key, "doc", "node", "node_path", "parent_path", "ordinal")
+    paths = node_paths(nodes, key) if paths is None else paths
+    objects = object_nodes(paths).where(F.col("label") == label).select(key, "doc", "node", "node_path", "parent_path", "ordinal")
     # An object's scalar children carry its node as parent; the scalars of its arrays do not.
     held = nodes.where(F.col("kind").isin("string", "number", "boolean") & F.col("label").isin(attributes) & F.col("ordinal").isNull())
     wide = held.groupBy(key, "doc", F.col("parent").alias("node")).agg(
@@ -253,7 +305,14 @@ def entity_table(nodes: DataFrame, key: str, label: str, attributes: list[str])
     return objects.join(wide, [key, "doc", "node"], "left").select(key, "doc", "node_path", "parent_path", "ordinal", *(F.col(f"a_{a}") for a in attributes))
 
 
-def scalar_values(nodes: DataFrame, key: str) -> DataFrame:
-    """The scalars of arrays as a child table: (key, doc, parent_path, label, ordinal, scalar)."""
+def scalar_values(nodes: DataFrame, key: str, paths: DataFrame | None = None) -> DataFrame:
+    """The scalars of arrays as a child table: (key, doc, parent_path, label, ordinal, scalar).
+
+    parent_path is the path of the closest object around the array.
+    """
+    paths = node_paths(nodes, key) if paths is None else paths
     held = nodes.where(F.col("kind").isin("string", "number", "boolean") & F.col("ordinal").isNotNull())
-    return held.select(key, "doc", "parent_path", "label", "ordinal", "scalar")
+    arrays = paths.where(F.col("kind") == "array").select(key, "doc", F.col("node").alias("parent"), "parent_path")
+    # A root that is an array has no row; its elements lie under '/'.
+    joined = held.join(arrays, [key, "doc", "parent"], "left")
+    return joined.select(key, "doc", F.coalesce("parent_path", F.lit("/")).alias("parent_path"), "label", "ordinal", "scalar")

@@ -9,23 +9,23 @@ from siltstone.functions.keys import code_key, host_key, one_per_record, user_ke
 from siltstone.operators.eager import eager_join_aggregate, longest_gap_by_key
 from siltstone.operators.features import entity_features, features_long
 from siltstone.operators.sessions import SessionTable, split_batches
-from siltstone.operators.shred import adjacency, entity_table, object_nodes, scalar_values
+from siltstone.operators.shred import entity_table, node_paths, object_nodes, scalar_values, stored_adjacency
 from siltstone.operators.timestamps import clock_zone, normalise
 from siltstone.session import scratch_path, table
 
 SESSION_GAP_US = 1_800_000_000
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = adjacency(table(spark, sf_dir, "telemetry"), "id", ["ocsf", "raw"], ["kind", "node_path", "parent_path"], scalars=False)
-    return object_nodes(nodes).select("id", "doc", "node_path", "parent_path")
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_adjacency(table(spark, sf_dir, "telemetry"), "id", ["ocsf", "raw"])
 
 
-_ALL_NODES = ["node", "parent", "label", "ordinal", "kind", "node_path", "parent_path", "scalar"]
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return object_nodes(node_paths(_nodes(spark, sf_dir), "id")).select("id", "doc", "node_path", "parent_path")
 
 
 def _entities(spark: SparkSession, sf_dir: str, label: str, attributes: list[str]) -> DataFrame:
-    return entity_table(adjacency(table(spark, sf_dir, "telemetry"), "id", ["ocsf"], _ALL_NODES), "id", label, attributes)
+    return entity_table(_nodes(spark, sf_dir), "id", label, attributes)
 
 
 def p1_process_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def p1_user_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_array_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scalars in arrays of the records, as a child table."""
-    return scalar_values(adjacency(table(spark, sf_dir, "telemetry"), "id", ["ocsf", "raw"], _ALL_NODES), "id")
+    return scalar_values(_nodes(spark, sf_dir), "id")
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +218,7 @@ select record_id, inst::bigint from numbers where inst <= rec"""
 
 def _entity_sql(label: str, attributes: list[str]) -> str:
     return f"""{_WALK} select id, doc, path node_path, near parent_path, ordinal, {", ".join(_SCALAR.format(a=a) for a in attributes)}
-from walk where json_type(v) = 'OBJECT' and path <> '' and label = '{label}' and doc = 'ocsf'"""
+from walk where json_type(v) = 'OBJECT' and path <> '' and label = '{label}'"""
 
 
 ORACLES = {

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_REGISTERED: set[str] = set()
+
 
 def build_session(app: str = "siltstone", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for (UTC, AQE, Arrow)."""
@@ -47,8 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder name below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh folder name below the shared folder, in a folder of this application that is deleted when its driver ends."""
+    home = f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+    if home not in _REGISTERED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(home)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _REGISTERED.add(home)
+    return f"{home}/{label}-{uuid.uuid4().hex}"
 
 
 def write_read(df: DataFrame, label: str) -> DataFrame:
@@ -59,6 +68,15 @@ def write_read(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(df: DataFrame) -> None:
+    """Delete the files of a write_read table that nothing reads any more."""
+    spark = df.sparkSession
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if "/scratch-" in name:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one Parquet table; zone-less timestamps become UTC instants."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.operators.eager import eager_join_aggregate, longest_gap_by_key
 from siltstone.operators.features import entity_features, features_long
 from siltstone.operators.sessions import SessionTable, local_sessions, split_batches
-from siltstone.operators.shred import _parse_deep, adjacency, entity_table, object_nodes, parse_document
+from siltstone.operators.shred import _parse_deep, adjacency, document_nodes, entity_table, node_paths, object_nodes, parse_document, scalar_values
 from siltstone.operators.timestamps import clock_zone, normalise
 from siltstone.session import scratch_path
 
@@ -19,7 +19,7 @@ from siltstone.session import scratch_path
 
 def objects(spark, documents):
     rows = spark.createDataFrame(list(enumerate(documents)), "id bigint, ocsf string").withColumn("node", F.lit("clash"))
-    return sorted((r["id"], r["node_path"], r["parent_path"]) for r in object_nodes(adjacency(rows, "id", ["ocsf"])).collect())
+    return sorted((r["id"], r["node_path"], r["parent_path"]) for r in object_nodes(node_paths(adjacency(rows, "id", ["ocsf"]), "id")).collect())
 
 
 def test_objects_of_all_shapes(spark):
@@ -38,7 +38,26 @@ def test_objects_of_all_shapes(spark):
 
 
 def test_no_documents(spark):
-    assert objects(spark, []) == [] if False else adjacency(spark.createDataFrame([], "id bigint, d string"), "id", ["d"]).count() == 0
+    nodes = adjacency(spark.createDataFrame([], "id bigint, d string"), "id", ["d"])
+    assert nodes.count() == node_paths(nodes, "id").count() == entity_table(nodes, "id", "a", ["b"]).count() == 0
+
+
+def test_adjacency_rows_and_wide_documents(spark):
+    assert document_nodes({"a": [1, {"b": None}], "c": True}) == [
+        (1, 0, "a", None, "array", None), (2, 0, "c", None, "boolean", "true"), (3, 1, "a", 0, "number", "1"), (4, 1, "a", 1, "object", None), (5, 4, "b", None, "null", None),
+    ]
+    wide = json.dumps({"x": [{"n": i} for i in range(60_000)], "y": {"z": list(range(60_000))}})  # more nodes than a batch holds
+    nodes = adjacency(spark.createDataFrame([(1, wide), (2, '{"k":{}}')], "id bigint, d string"), "id", ["d"])
+    paths = {(r["id"], r["node_path"]) for r in object_nodes(node_paths(nodes, "id")).collect()}
+    assert paths == {(1, f"/x/{i}") for i in range(60_000)} | {(1, "/y"), (2, "/k")}
+    assert scalar_values(nodes, "id").where("parent_path = '/y'").count() == 60_000
+
+
+def test_many_wrappings():
+    text = "[{}]"
+    for _ in range(8):
+        text = json.dumps(text)
+    assert parse_document(text) == [{}]
 
 
 def test_very_deep_and_very_long():
