@@ -153,9 +153,12 @@ def model(spark):
     return lookalikes.train(spark.createDataFrame([(t,) for t in [*TEXTS * 5, None]], "text string"), "text")
 
 
+ALIKE = ("A\u0410\u0391\u13aa", "B\u0412\u0392", "C\u0421", "E\u0415\u0395", "H\u041d\u0397", "M\u041c\u039c", "O\u041e\u039f\u0555", "P\u0420\u03a1", "T\u0422\u03a4", "a\u0430", "c\u0441", "e\u0435", "i\u0456", "o\u043e\u03bf\u0585", "p\u0440", "s\u0455", "x\u0445", "\u0443y")
+
+
 def disguise(text, seed):
     r, out = random.Random(seed), []
-    by = {x: [y for y in row if y and y != x] for row in lookalikes.LOOK_ALIKES for x in row if x}
+    by = {x: [y for y in row if y != x] for row in ALIKE for x in row}
     for ch in unicodedata.normalize(r.choice(["NFC", "NFD"]), text):
         if ch in by and by[ch] and r.random() < 0.4:
             ch = r.choice(by[ch])
@@ -187,6 +190,38 @@ def test_visible_differences_stay(model, a, b):
     assert x != y
 
 
+def test_the_lattice_decides(spark, monkeypatch):
+    """A stroke without case is an l or an I, as its neighbours say: without the search such texts are lost."""
+    words = ["login allowed while pulling files", "hello world all well", "WINDOWS INFO FIRST MISSING", "INITIAL SHIFT"] * 5
+    model = lookalikes.train(spark.createDataFrame([(w,) for w in words], "text string"), "text")
+    texts = ["hello world", "he\u01c0\u01c0o wor\u01c0d", "WINDOWS INFO", "W\u01c0NDOWS \u01c0NFO"]
+    a, b, c, d = lookalikes.Canonicaliser(model)(texts)
+    assert a == b == texts[0] and c == d == texts[2]
+    monkeypatch.setattr(lookalikes.Model, "viterbi", lambda self, lattices: [[row[0] for row in rows] for rows in lattices])
+    a, b, c, d = lookalikes.Canonicaliser(model)(texts)
+    assert a != b or c != d
+
+
+def test_readings_come_from_the_corpus(spark):
+    """A Cyrillic corpus reads an ambiguous word in Cyrillic, a Latin one in Latin; both spellings get one form."""
+    cyrillic = lookalikes.train(spark.createDataFrame([("\u0441\u043e\u0441\u043d\u0430 \u0440\u043e\u0441\u0430 \u043e\u0441\u0430 \u043a\u043e\u0441\u0430",)] * 9 + [("the end",)], "text string"), "text")
+    latin = lookalikes.train(spark.createDataFrame([("cocoa ocean coca",)] * 9 + [("\u043d\u043e\u0447\u044c",)], "text string"), "text")
+    both = ["oca", "\u043e\u0441\u0430", "\u043ec\u0430"]
+    assert set(lookalikes.Canonicaliser(cyrillic)(both)) == {"\u043e\u0441\u0430"}
+    assert set(lookalikes.Canonicaliser(latin)(both)) == {"oca"}
+
+
+def test_members_and_split_forms(spark):
+    rows = [(i, f"t{i % 40}", "f") for i in range(200)] + [(500, "u", "g"), (501, "u", "g"), (502, None, "h"), (503, "v", None)]
+    keys = spark.createDataFrame(rows, "doc_id bigint, t string, f string").withColumn("n_rows", F.lit(0))
+    want = {(a, b) for a, ta, fa in rows for b, tb, fb in rows if a < b and fa and fa == fb and ta and tb and ta != tb}
+    for block in (1024, 7):
+        got = [tuple(r) for r in lookalikes.look_alike_pairs(keys, "doc_id", "t", "f", block).collect()]
+        assert len(got) == len(want) and set(got) == want
+    members = {r["id"]: (r["class_id"], r["n_links"]) for r in lookalikes.look_alike_members(keys, "doc_id", "t", "f").collect()}
+    assert members == {**{i: (0, 195) for i in range(200)}, 500: (500, 0), 501: (500, 0)}
+
+
 def test_pairs(spark, model):
     rows = [(1, "cafe one"), (2, "c\u0430fe one"), (3, "cafe one"), (4, "cafe\u00a0one"), (5, "cafe two"), (6, None), (7, "")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("form", lookalikes.consistent_form(F.col("text"), model))
