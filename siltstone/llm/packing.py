@@ -1,9 +1,12 @@
 """Filling fixed-capacity containers: bound-certified repacking.
 
 Items are packed by best-fit decreasing within bounded partitions. Dual feasible functions give a lower
-bound on each partition's containers; a partition that meets its bound is certified and final. Those
-with a gap exchange the items of their unfilled containers: these are pooled, dealt to fewer
-partitions and packed again, until all are certified or a round gains nothing.
+bound on each partition's containers, and on all of a spec. A partition that meets its bound is certified.
+Partitions with a gap give up the items of all their unfilled containers, certified ones those of their
+emptiest container only, as rounding up to whole containers leaves one such in each. What is given up
+is dealt anew, so that partitions exchange items, and packed again. A spec is done when it meets its own
+bound (certified), or when a round saves no container: then the packing before it stays. Every other
+round saves at least one, so no limit on rounds is needed.
 
 An item longer than a container is split: full containers first, its remainder is an item like any
 other. Nothing else is split. Items of size 0 or null give no piece.
@@ -12,24 +15,40 @@ other. Nothing else is split. Items of size 0 or null give no piece.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from itertools import count as counting
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.session import write_read
 
-PARTITION_ITEMS = 100_000
-MAX_ROUNDS = 4
-_PACKED = "spec_id int, capacity int, part bigint, item_id bigint, piece int, start bigint, size bigint, bin int, bin_size bigint, n_bins int, bound int"
+#: Items of a partition: what one call packs. Small enough for many partitions, large enough to fill containers well.
+PARTITION_ITEMS = 4096
+_PACKED = "spec_id int, capacity int, part bigint, item_id bigint, piece int, start bigint, size bigint, bin int, bin_size bigint, n_bins int, bound int, lead boolean, tail boolean"
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Containers that any packing needs, by two families of dual feasible functions (integers only)."""
-    if not len(sizes):
+@dataclass
+class Packing:
+    """pieces: spec_id, item_id, piece, start, size, container (a name unique in its spec).
+
+    rounds, a row per spec and round: n_parts, n_certified (partitions that met their bound), n_items,
+    and n_before and n_after, the containers of these items before and after (no value in round 0).
+    bounds: spec_id, least_containers, the dual-feasible bound over all items of the spec.
+    """
+
+    pieces: DataFrame
+    rounds: DataFrame
+    bounds: DataFrame
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """Containers that any packing needs of count[s] items of size s, by two families of dual feasible functions (integers only)."""
+    count = count.astype(np.int64)
+    if not count.any():
         return 0
-    count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
     x = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * x).sum()) // capacity)
     many, weight = np.concatenate([[0], count.cumsum()]), np.concatenate([[0], (count * x).cumsum()])
@@ -46,6 +65,11 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return best
 
 
+def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+    """bound_of_counts of a list of sizes."""
+    return bound_of_counts(np.bincount(sizes, minlength=capacity + 1), capacity)
+
+
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Container number of every item; each goes, largest first, where the least space stays."""
     order = np.argsort(-sizes, kind="stable")
@@ -78,7 +102,9 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     capacity, sizes = int(pdf["capacity"].iloc[0]), pdf["size"].to_numpy(dtype=np.int64)
     placed = best_fit_decreasing(sizes, capacity)
     used = np.bincount(placed, weights=sizes).astype(np.int64)
-    return pdf.assign(bin=placed, bin_size=used[placed], n_bins=len(used), bound=lower_bound(sizes, capacity))
+    lead = np.zeros(len(sizes), dtype=bool)
+    lead[np.unique(placed, return_index=True)[1]] = True
+    return pdf.assign(bin=placed, bin_size=used[placed], n_bins=len(used), bound=lower_bound(sizes, capacity), lead=lead, tail=placed == used.argmin())
 
 
 def pieces(items: DataFrame, id_col: str, size_col: str, specs: list[tuple[int, int]]) -> DataFrame:
@@ -95,65 +121,90 @@ def pieces(items: DataFrame, id_col: str, size_col: str, specs: list[tuple[int,
     return rows.select("spec_id", "capacity", "item_id", F.col("piece").cast("int").alias("piece"), start.alias("start"), size.alias("size"), (size == F.col("capacity")).alias("whole"))
 
 
-def pack(items: DataFrame, id_col: str, size_col: str, specs: list[tuple[int, int]], partition_items: int = PARTITION_ITEMS, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """A row per piece: spec_id, item_id, piece, start, size, container (a name unique in its spec).
+def spec_bounds(cut: DataFrame) -> DataFrame:
+    """(spec_id, least_containers) of pieces: the dual-feasible bound over all of a spec, from the counts by size."""
+    counts = cut.groupBy("spec_id", "capacity", "size").agg(F.count(F.lit(1)).alias("n"))
+
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        capacity = int(pdf["capacity"].iloc[0])
+        count = np.bincount(pdf["size"].to_numpy(np.int64), weights=pdf["n"].to_numpy(np.float64), minlength=capacity + 1)
+        return pd.DataFrame({"spec_id": pdf["spec_id"].iloc[:1], "least_containers": [bound_of_counts(count.round(), capacity)]})
+
+    return counts.groupBy("spec_id").applyInPandas(bound, "spec_id int, least_containers bigint")
+
 
-    partition_items bounds what one task packs, whatever the number of rows; sizes are dealt to
-    partitions by hash, so equal or repeated items do not gather. Only the counts per partition come
-    to the driver.
+def _by_spec(values: dict[int, int]) -> Column:
+    return F.create_map(*(F.lit(int(x)) for kv in values.items() for x in kv))[F.col("spec_id")]
+
+
+def pack(items: DataFrame, id_col: str, size_col: str, specs: list[tuple[int, int]], partition_items: int = PARTITION_ITEMS) -> Packing:
+    """Pack the pieces of all items for every spec.
+
+    partition_items bounds what is packed at once, whatever the number of rows; items are dealt to
+    partitions by hash, so equal or repeated ones do not gather. Pieces, partitions and their gaps stay
+    in tables; only a row of sums per spec comes to the driver in each round.
     """
     if not specs:
         raise ValueError("no container specs")
+    spark = items.sparkSession
     cut = write_read(pieces(items, id_col, size_col, specs), "pieces")
-    alone = cut.where("whole").select("spec_id", "item_id", "piece", "start", "size", F.concat_ws("-", F.lit("full"), "item_id", "piece").alias("container"))
-    done: list[DataFrame] = [alone]
+    bounds = write_read(spec_bounds(cut), "bounds")
+    least = {r["spec_id"]: r["least_containers"] for r in bounds.collect()}
+    sums = cut.groupBy("spec_id").agg(F.count_if("whole").alias("whole"), F.count_if(~F.col("whole")).alias("n")).collect()
+    done = [cut.where("whole").select("spec_id", "item_id", "piece", "start", "size", F.concat_ws("-", F.lit("full"), "item_id", "piece").alias("container"))]
     pool = cut.where("not whole").drop("whole")
+    finished = {r["spec_id"]: r["whole"] for r in sums}  # containers that no round touches any more
+    waiting = {r["spec_id"]: r["n"] for r in sums if r["n"]}
     before: dict[int, int] = {}
     held: DataFrame | None = None
-    for round_ in range(max_rounds):
-        counts = {r["spec_id"]: r["n"] for r in pool.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if not counts:
+    log = []
+    for round_ in counting():
+        if not waiting:
             break
-        parts = {s: math.ceil(n / partition_items) for s, n in counts.items()}
-        n_parts = F.create_map(*(F.lit(int(x)) for kv in parts.items() for x in kv))[F.col("spec_id")]
+        n_parts = _by_spec({s: math.ceil(n / partition_items) for s, n in waiting.items()})
         dealt = pool.withColumn("part", F.pmod(F.xxhash64("item_id", "piece", F.lit(round_)), n_parts))
         cols = ["spec_id", "capacity", "part", "item_id", "piece", "start", "size"]
         packed = write_read(dealt.select(cols).groupBy("spec_id", "part").applyInPandas(_pack, _PACKED), f"packed-{round_}")
-        per_part = packed.groupBy("spec_id", "part").agg(F.max("n_bins").alias("n_bins"), F.max("bound").alias("bound")).collect()
-        total = {s: sum(r["n_bins"] for r in per_part if r["spec_id"] == s) for s in counts}
-        # A repacking is taken only where it needs fewer containers than the pool had.
-        worse = [s for s in total if round_ and total[s] >= before[s]]
-        if held is not None:
-            keep = held.where(F.col("spec_id").isin(worse)) if worse else held.limit(0)
-            done.append(_named(keep, round_ - 1))
-        packed = packed.where(~F.col("spec_id").isin(worse)) if worse else packed
-        open_ = [(r["spec_id"], r["part"]) for r in per_part if r["n_bins"] > r["bound"] and r["spec_id"] not in worse]
-        # One gap partition left of a spec has no other to exchange with, and the same items pack alike.
-        again = {s for s, _ in open_ if sum(x == s for x, _ in open_) > 1}
-        open_ = [(s, p) for s, p in open_ if s in again]
-        if not open_ or round_ == max_rounds - 1:
-            done.append(_named(packed, round_))
-            break
-        gaps = packed.sparkSession.createDataFrame(open_, "spec_id int, part bigint").withColumn("_gap", F.lit(True))
-        marked = packed.join(gaps, ["spec_id", "part"], "left")
-        moving = F.coalesce(F.col("_gap"), F.lit(False)) & (F.col("bin_size") < F.col("capacity"))
-        done.append(_named(marked.where(~moving), round_))
-        held = write_read(marked.where(moving).drop("_gap"), f"moving-{round_}")
-        before = {r["spec_id"]: r["n"] for r in held.groupBy("spec_id").agg(F.count_distinct("part", "bin").alias("n")).collect()}
+        moving = (F.col("bin_size") < F.col("capacity")) & (F.col("tail") | (F.col("n_bins") > F.col("bound")))
+        parts = packed.groupBy("spec_id", "part").agg(
+            F.first("n_bins").alias("bins"), F.first("bound").alias("bound"), F.count_if(moving).alias("n"), F.count_if(moving & F.col("lead")).alias("bins_moving")
+        )
+        sums = parts.groupBy("spec_id").agg(
+            F.count(F.lit(1)).alias("parts"), F.count_if(F.col("bins") <= F.col("bound")).alias("certified"), F.sum("bins").alias("bins"), F.sum("n").alias("n"), F.sum("bins_moving").alias("bins_moving")
+        ).collect()
+        log += [(r["spec_id"], round_, r["parts"], r["certified"], waiting[r["spec_id"]], before.get(r["spec_id"]), r["bins"]) for r in sums]
+        # A repacking is taken only where it needs fewer containers than the items had.
+        worse = [r["spec_id"] for r in sums if round_ and r["bins"] >= before[r["spec_id"]]]
+        if worse:
+            done.append(_named(held.where(F.col("spec_id").isin(worse)), round_ - 1))
+            packed = packed.where(~F.col("spec_id").isin(worse))
+        # Certified as a whole, or packed in one piece with nothing to exchange: done.
+        again = [r for r in sums if r["spec_id"] not in worse and r["parts"] > 1 and r["bins_moving"] > 1 and finished[r["spec_id"]] + r["bins"] > least[r["spec_id"]]]
+        for r in again:
+            finished[r["spec_id"]] += r["bins"] - r["bins_moving"]
+        waiting, before = {r["spec_id"]: r["n"] for r in again}, {r["spec_id"]: r["bins_moving"] for r in again}
+        leaves = moving & F.col("spec_id").isin(list(waiting))
+        done.append(_named(packed.where(~leaves), round_))
+        held = packed.where(leaves)
         pool = held.select("spec_id", "capacity", "item_id", "piece", "start", "size")
     out = done[0]
     for df in done[1:]:
         out = out.unionByName(df)
-    return out
+    return Packing(out, spark.createDataFrame(log, "spec_id int, round int, n_parts bigint, n_certified bigint, n_items bigint, n_before bigint, n_after bigint"), bounds)
 
 
 def _named(packed: DataFrame, round_: int) -> DataFrame:
     return packed.select("spec_id", "item_id", "piece", "start", "size", F.concat_ws("-", F.lit(f"r{round_}"), "part", "bin").alias("container"))
 
 
-def packing_report(packed: DataFrame, specs: list[tuple[int, int]]) -> DataFrame:
-    """Per spec: containers, pieces, tokens, share of the room used, and the lower bound tokens / capacity."""
-    capacity = F.create_map(*(F.lit(int(x)) for kv in specs for x in kv))[F.col("spec_id")]
-    out = packed.groupBy("spec_id", "container").agg(F.sum("size").alias("used"), F.count(F.lit(1)).alias("n"))
-    out = out.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_pieces"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"))
-    return out.withColumns({"fill": F.col("n_tokens") / (F.col("n_containers") * capacity), "least_containers": F.ceil(F.col("n_tokens") / capacity)})
+def packing_report(packing: Packing, specs: list[tuple[int, int]]) -> DataFrame:
+    """Per spec: containers, pieces, tokens, the fullest container, share of the room used, the containers packed in an
+    exchange (n_exchanged), the dual-feasible lower bound least_containers, and whether it is met (certified)."""
+    capacity = _by_spec(dict(specs))
+    out = packing.pieces.groupBy("spec_id", "container").agg(F.sum("size").alias("used"), F.count(F.lit(1)).alias("n"))
+    first = F.startswith("container", F.lit("full-")) | F.startswith("container", F.lit("r0-"))
+    out = out.groupBy("spec_id").agg(
+        F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_pieces"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"), F.count_if(~first).alias("n_exchanged")
+    )
+    out = out.join(packing.bounds, "spec_id")
+    return out.withColumns({"fill": F.col("n_tokens") / (F.col("n_containers") * capacity), "certified": F.col("n_containers") == F.col("least_containers")})

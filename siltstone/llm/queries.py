@@ -60,15 +60,35 @@ def _specs(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
     return [(r["spec_id"], r["capacity_tokens"]) for r in _settings(table(spark, sf_dir, "pack_specs").where("spec_id is not null and capacity_tokens > 0"))]
 
 
+def _packing(spark: SparkSession, sf_dir: str) -> packing.Packing:
+    return packing.pack(_sized(spark, sf_dir), "doc_id", "n", _specs(spark, sf_dir))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every piece of every document, for every spec."""
-    packed = packing.pack(_sized(spark, sf_dir), "doc_id", "n", _specs(spark, sf_dir))
+    packed = _packing(spark, sf_dir).pieces
     return packed.select("spec_id", F.col("item_id").alias("doc_id"), "piece", F.col("start").alias("start_token"), F.col("size").alias("n_tokens"), "container")
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    specs = _specs(spark, sf_dir)
-    return packing.packing_report(packing.pack(_sized(spark, sf_dir), "doc_id", "n", specs), specs)
+    return packing.packing_report(_packing(spark, sf_dir), _specs(spark, sf_dir))
+
+
+def p7_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each round of packing and exchange did, by spec."""
+    return _packing(spark, sf_dir).rounds
+
+
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every packing must hold, by spec: documents packed, containers overfull, documents split that fit, pieces that do not join."""
+    capacity = F.create_map(*(F.lit(x) for s, c in _specs(spark, sf_dir) for x in (s, c)))[F.col("spec_id")]
+    rows = write_read(p7_containers(spark, sf_dir), "containers")
+    full = rows.groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("n")).groupBy("spec_id").agg(F.count_if(F.col("n") > capacity).alias("n_overfull"))
+    docs = rows.groupBy("spec_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.count_distinct("start_token").alias("starts"))
+    docs = docs.groupBy("spec_id").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.count_if((F.col("n") > 1) & (F.col("tokens") <= capacity)).alias("n_split_in_vain"), F.count_if((F.col("tokens") != F.col("end")) | (F.col("starts") != F.col("n"))).alias("n_not_joining")
+    )
+    return docs.join(full, "spec_id")
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -126,6 +146,8 @@ QUERIES = {
     "p6_collapsed": p6_collapsed,
     "p7_containers": p7_containers,
     "p7_report": p7_report,
+    "p7_rounds": p7_rounds,
+    "p7_invariants": p7_invariants,
     "p8_documents": p8_documents,
     "p8_blocks": p8_blocks,
     "p8_shares": p8_shares,
@@ -170,4 +192,6 @@ _CLASSES = f"""with forms as (select doc_id, text, {_form_sql("text")} form from
 c as (select form, min(doc_id) class_id, count(*) n from forms group by form)
 select doc_id, class_id, (n - own)::bigint n_links from forms join t using (form, text) join c using (form)"""
 
-ORACLES = {"p9_found": _PAIRS, "p9_classes": _CLASSES, "p6_found": f"select * from ({_RUNS}) where n_alerts >= 2", "p6_collapsed": _RUNS}
+_PACKED = """select spec_id, (select count(*) from documents where text <> '') n_docs, 0::bigint n_split_in_vain, 0::bigint n_not_joining, 0::bigint n_overfull from pack_specs where capacity_tokens > 0"""
+
+ORACLES = {"p7_invariants": _PACKED, "p9_found": _PAIRS, "p9_classes": _CLASSES, "p6_found": f"select * from ({_RUNS}) where n_alerts >= 2", "p6_collapsed": _RUNS}

@@ -80,7 +80,8 @@ def test_pack_is_whole(spark, partition_items):
     sizes = [r.choice([r.randint(1, 60), r.randint(50, 900), 100, 0]) for _ in range(500)]
     items = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)] + [(1000, None)], "doc_id bigint, n bigint").withColumn("part", F.lit("x"))
     specs = [(1, 100), (2, 333)]
-    rows = packing.pack(items, "doc_id", "n", specs, partition_items).collect()
+    packed = packing.pack(items, "doc_id", "n", specs, partition_items)
+    rows = packed.pieces.collect()
     for spec, capacity in specs:
         own = [x for x in rows if x["spec_id"] == spec]
         used, by_item = {}, {}
@@ -94,9 +95,31 @@ def test_pack_is_whole(spark, partition_items):
             assert all(p[1] == k * capacity and (p[2] == capacity or k == len(parts) - 1) for k, p in enumerate(parts))
         assert not by_item
         assert len(used) <= 1.05 * -(-sum(sizes) // capacity) + 1
-    assert packing.pack(items.limit(0), "doc_id", "n", specs).count() == 0
-    report = {x["spec_id"]: x for x in packing.packing_report(packing.pack(items, "doc_id", "n", specs), specs).collect()}
-    assert report[1]["n_tokens"] == sum(sizes)
+    report = {x["spec_id"]: x for x in packing.packing_report(packed, specs).collect()}
+    for spec, capacity in specs:
+        cut = [c for s in sizes for c in [capacity] * (s // capacity) + [s % capacity] if c]
+        assert report[spec]["n_tokens"] == sum(sizes)
+        assert report[spec]["least_containers"] == packing.lower_bound(np.array(cut), capacity) <= report[spec]["n_containers"]
+        assert report[spec]["certified"] == (report[spec]["least_containers"] == report[spec]["n_containers"])
+
+
+def test_nothing_to_pack(spark):
+    packed = packing.pack(spark.createDataFrame([(1, 0), (2, None)], "doc_id bigint, n bigint"), "doc_id", "n", [(1, 10)])
+    assert packed.pieces.count() == packed.rounds.count() == packing.packing_report(packed, [(1, 10)]).count() == 0
+
+
+def test_exchange_saves_containers(spark):
+    """Partitions left alone need more containers than partitions that exchange; the exchange ends certified or without a gain."""
+    r = random.Random(1)
+    items = spark.createDataFrame([(i, r.randint(1, 50)) for i in range(600)], "doc_id bigint, n bigint")
+    packed = packing.pack(items, "doc_id", "n", [(1, 100)], 40)
+    rounds = sorted(map(tuple, packed.rounds.collect()), key=lambda x: x[1])
+    report = packing.packing_report(packed, [(1, 100)]).first()
+    first = rounds[0][6]
+    gains = [x[5] - x[6] for x in rounds[1:]]
+    assert len(rounds) > 1 and gains[0] > 0 and all(g > 0 for g in gains[:-1])
+    assert report["n_containers"] == first - sum(g for g in gains if g > 0) < first
+    assert report["n_exchanged"] > 0 and (report["certified"] or gains[-1] <= 0 or rounds[-1][2] == 1)
 
 
 # --- mixing --------------------------------------------------------------------------------------
