@@ -7,8 +7,16 @@ joined, counts multiplied and sums combined algebraically, and rolled up to the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from siltstone.session import write_read
 
 
 def eager_join_aggregate(
@@ -48,35 +56,75 @@ def eager_join_aggregate(
     )
 
 
-def block_states(events: DataFrame, keys: list[str], at_us: str, block_us: int) -> DataFrame:
-    """Compact state of every key and time block: n, first_us, last_us and the longest gap inside.
+def key_states(events: DataFrame, keys: list[str], at_us: str, tie: str | None = None) -> DataFrame:
+    """Compact states in time order: keys, n, first_us, last_us and gap_us (the longest gap inside, 0 for one row).
 
-    Rows of one key and instant are combined before the shuffle. A block is one sorted run of a
-    single key within block_us, so a hot key is spread over as many groups as it has blocks.
+    Rows are range-partitioned by (keys, time), so partitions are of about one size however uneven the
+    keys: a hot key is cut at points in time, small keys lie together. Every partition reduces each of its
+    keys to one state, in one streaming pass over the sorted rows; there are as many states as keys plus
+    partitions at most. tie names a column that tells rows of one key and instant apart, by which those
+    are split too where they are very many.
     """
-    at = events.groupBy(*keys, at_us).agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", F.floor(F.col(at_us) / F.lit(block_us)))
-    order = Window.partitionBy(*keys, "_block").orderBy(at_us)
-    gaps = at.withColumn("_gap", F.col(at_us) - F.lag(at_us).over(order))
-    return gaps.groupBy(*keys, "_block").agg(
-        F.sum("_n").alias("n"), F.min(at_us).alias("first_us"), F.max(at_us).alias("last_us"), F.max("_gap").alias("gap_us")
-    )
+    rows = events.select(*keys, F.col(at_us).cast("bigint").alias("_at"), *([F.xxhash64(tie).alias("_tie")] if tie else []))
+    order = [*keys, "_at", *(["_tie"] if tie else [])]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*keys, "_at").select(*keys, "_at")
+    fields = [rows.schema[k] for k in keys] + [T.StructField(c, T.LongType()) for c in ("n", "first_us", "last_us", "gap_us")]
+    return rows.mapInArrow(_reduce(len(keys)), T.StructType(fields))
+
+
+def _reduce(n_keys: int):
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the state of the last key so far
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            at = batch.column(n_keys).to_numpy()
+            new = np.zeros(size, dtype=bool)
+            new[0] = True
+            for k in range(n_keys):
+                column = batch.column(k)
+                new[1:] |= pc.not_equal(column.slice(1), column.slice(0, size - 1)).to_numpy(zero_copy_only=False)
+            start = np.flatnonzero(new)
+            step = np.diff(at, prepend=at[:1])
+            step[start] = 0
+            n, first, last, gap = np.diff(np.append(start, size)), at[start], at[np.append(start[1:], size) - 1], np.maximum.reduceat(step, start)
+            names = batch.schema.names[:n_keys]
+            found = [batch.column(k).take(pa.array(start)) for k in range(n_keys)]
+            if held is not None:
+                if all(held.column(k)[0] == found[k][0] for k in range(n_keys)):
+                    before = [held.column(n_keys + j)[0].as_py() for j in range(4)]
+                    n[0] += before[0]
+                    gap[0] = max(gap[0], before[3], first[0] - before[2])
+                    first[0] = before[1]
+                else:
+                    yield held
+            out = pa.RecordBatch.from_arrays([*found, *(pa.array(c, pa.int64()) for c in (n, first, last, gap))], [*names, "n", "first_us", "last_us", "gap_us"])
+            held = out.slice(out.num_rows - 1)
+            yield out.slice(0, out.num_rows - 1)
+        if held is not None:
+            yield held
+
+    return states
 
 
-def longest_gap_by_key(events: DataFrame, keys: list[str], at_us: str, block_us: int = 300_000_000) -> DataFrame:
+def longest_gap_by_key(events: DataFrame, keys: list[str], at_us: str, tie: str | None = None) -> DataFrame:
     """keys, n_events and max_gap_us (longest time between neighbours, 0 for a single event).
 
-    The tails and the heads of neighbouring block states are the two compact inputs, joined on key
-    and position; counts are summed and gaps combined by maximum. Rows with a null key or time are
-    left out; equal times give a gap of 0. Any block length gives the same result.
+    The tails and the heads of neighbouring states of a key are the two compact inputs (key_states),
+    joined on key and position; counts are summed and gaps combined by maximum. Rows with a null key or
+    time are left out; equal times give a gap of 0. A key has as many states as partitions it reaches
+    into, so ordering them is no task's burden.
     """
-    whole = events.select(*keys, at_us)
+    whole = events.select(*keys, at_us, *([tie] if tie else []))
     for c in (*keys, at_us):
         whole = whole.where(F.col(c).isNotNull())
-    states = block_states(whole, keys, at_us, block_us)
-    place = states.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy("_block")))
+    states = key_states(whole, keys, at_us, tie)
+    place = states.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy("first_us", "last_us")))
+    place = write_read(place, "states")
     tails = place.select(*keys, "_at", "n", "gap_us", "last_us")
-    heads = place.select(*keys, (F.col("_at") - 1).alias("_at"), F.col("first_us").alias("_next"))
-    between = F.greatest(F.coalesce(F.col("gap_us"), F.lit(0)), F.coalesce(F.col("_next") - F.col("last_us"), F.lit(0)))
+    heads = place.select(*keys, (F.col("_at") - 1).alias("_at"), F.col("first_us").alias("_next")).where("_at > 0")
+    between = F.greatest(F.col("gap_us"), F.coalesce(F.col("_next") - F.col("last_us"), F.lit(0)))
     return (
         tails.join(heads, [*keys, "_at"], "left")
         .groupBy(*keys)

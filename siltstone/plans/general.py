@@ -58,7 +58,7 @@ def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longest_gap_by_key(_keyed(spark, sf_dir), ["host", "event_code"], "at_us")
+    return longest_gap_by_key(_keyed(spark, sf_dir), ["host", "event_code"], "at_us", tie="uid")
 
 
 def p2_alert_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators.eager import eager_join_aggregate, longest_gap_by_key
+from siltstone.operators.eager import eager_join_aggregate, key_states, longest_gap_by_key
 from siltstone.operators.features import entity_features, features_long
 from siltstone.operators.sessions import SessionTable, local_sessions, split_batches
 from siltstone.operators.shred import _parse_deep, adjacency, document_nodes, entity_table, node_paths, object_nodes, parse_document, scalar_values
@@ -95,16 +96,38 @@ def by_key(rows):
     return {k: sorted(v) for k, v in out.items()}
 
 
-def test_longest_gap(spark):
+@pytest.fixture(params=[(1, 10_000), (4, 3), (40, 1)])
+def pieces(spark, request):
+    """Partitions and Arrow batches of several sizes, so that keys are cut in many places."""
+    parts, records = request.param
+    settings = {"spark.sql.shuffle.partitions": parts, "spark.sql.execution.arrow.maxRecordsPerBatch": records, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, str(v))
+    yield request.param
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_longest_gap(spark, pieces):
     rows = random_events(1)
-    df = spark.createDataFrame(rows, "h string, c string, at bigint, _block int")
+    df = spark.createDataFrame(rows, "h string, c string, at bigint, n int")
     want = {k: (len(v), max([b - a for a, b in zip(v, v[1:])], default=0)) for k, v in by_key(rows).items()}
-    for block in (1, 1_000_000_000, 10**15):
-        got = {(r["h"], r["c"]): (r["n_events"], r["max_gap_us"]) for r in longest_gap_by_key(df, ["h", "c"], "at", block).collect()}
+    for tie in (None, "n"):
+        got = {(r["h"], r["c"]): (r["n_events"], r["max_gap_us"]) for r in longest_gap_by_key(df, ["h", "c"], "at", tie).collect()}
         assert got == want
     assert longest_gap_by_key(df.limit(0), ["h", "c"], "at").count() == 0
 
 
+def test_a_hot_key_becomes_few_states(spark, pieces):
+    rows = [("hot", "1", 7 if i % 3 else i, i) for i in range(600)] + [(f"h{i}", "1", i, i) for i in range(30)]
+    df = spark.createDataFrame(rows, "h string, c string, at bigint, i bigint")
+    states = key_states(df, ["h", "c"], "at", "i")
+    assert states.count() <= 31 + pieces[0] and states.agg(F.sum("n")).first()[0] == 630
+    got = {r["h"]: (r["n_events"], r["max_gap_us"]) for r in longest_gap_by_key(df, ["h", "c"], "at", "i").collect()}
+    assert got["hot"] == (600, 3) and got["h3"] == (1, 0) and len(got) == 31
+
+
 def test_eager_join_equals_plain_join(spark):
     a = spark.createDataFrame([("x", "p", 1), ("x", "p", None), ("x", "q", 5), ("y", "p", 2), (None, "p", 9)], "k string, g string, v bigint")
     b = spark.createDataFrame([("x", "s", 10), ("x", "t", 20), ("x", "t", None), (None, "s", 1), ("z", "s", 3)], "k string, w string, u bigint")
