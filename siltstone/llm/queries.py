@@ -33,12 +33,10 @@ def _process_key(uid: Column) -> Column:
 def _runs(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
     rules = table(spark, sf_dir, "detection_rules").where(F.col("rule_id").isNotNull())
     rules = rules.groupBy(_rule_key(F.col("rule_id")).alias("key")).agg(F.min("rule_id").alias("rule_id"))
-    symbols = rules.join(runs.symbol_table(rules, "rule_id"), "rule_id")
     alerts = table(spark, sf_dir, "alerts").select("id", F.unix_micros("ts").alias("at_us"), _process_key(F.col("process_uid")).alias("process_uid"), _rule_key(F.col("rule_id")).alias("key"))
-    alerts = alerts.join(symbols.drop("rule_id"), "key", "left")
-    found = runs.collapse_runs(alerts, "process_uid", "kind_no", ("symbol_0", "symbol_1"), "id", "at_us", RUN_GAP_US, least=least)
-    return found.join(symbols.select("kind_no", "rule_id"), "kind_no").select(
-        "process_uid", "rule_id", "first_id", "last_id", F.col("n_events").alias("n_alerts"), (F.col("last_us") - F.col("first_us")).alias("duration_us")
+    found = runs.collapse_runs(alerts.join(rules, "key", "left"), "process_uid", "rule_id", "id", "at_us", RUN_GAP_US, least)
+    return found.select(
+        F.col("entity").alias("process_uid"), F.col("kind").alias("rule_id"), "first_id", "last_id", F.col("n_events").alias("n_alerts"), (F.col("last_us") - F.col("first_us")).alias("duration_us")
     )
 
 

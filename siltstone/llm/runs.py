@@ -1,11 +1,13 @@
 """Runs of repeated consecutive events, found by regular expression over symbol strings.
 
-Canonical event kinds are mapped to Unicode code points, concatenated per entity in order, a
+Events are sorted by entity and time. In chunks of bounded length, every kind of event is mapped to
+Unicode code points, the chunk becomes a string, in which each entity's symbols stand together, a
 backreference finds the repetitions, and the spans are mapped back to identifiers and times.
 
-A gap longer than allowed ends a run: each kind has two code points and the one in use changes at
-every such gap, so that no position is spent on a separator. Long sequences are cut into bounded
-chunks (by time block, and within a block by count); runs that touch a chunk's edge are stitched.
+Where a run must end, at a gap longer than allowed or at the next entity, the symbols change: each kind
+has two code points, and the one in use alternates at every such place, so that no position is spent on
+a separator. The mapping is made anew for each chunk, which holds no more kinds than events, so there is
+no limit on the number of kinds and no table of them to be kept.
 """
 
 from __future__ import annotations
@@ -13,102 +15,101 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import write_read
+
 FIRST_CODE_POINT = 0x10000
 CHUNK = 50_000
 _RUN = re.compile(r"(.)\1*", re.S)
+_NAMES = ["entity", "kind", "first_id", "last_id", "first_us", "last_us", "n_events"]
+_SPANS = "entity string, kind string, first_id bigint, last_id bigint, first_us bigint, last_us bigint, n_events bigint, edge boolean, part int"
 
 
-def symbol_table(kinds: DataFrame, kind: str) -> DataFrame:
-    """kind_no and the two code points (as strings) of every distinct kind; number 0 stays for unknown ones.
-
-    The numbering orders the whole table of kinds in one task: it is a catalogue of kinds, of at most
-    half a million entries for lack of more code points, not of events.
-    """
-    numbered = kinds.select(kind).where(F.col(kind).isNotNull()).distinct().withColumn("kind_no", F.row_number().over(Window.orderBy(kind)))
-    return numbered.select(kind, "kind_no", *(code_point(F.col("kind_no") * 2 + parity).alias(f"symbol_{parity}") for parity in (0, 1)))
-
-
-def code_point(number: Column) -> Column:
-    """The character at a number from FIRST_CODE_POINT on."""
-    return F.decode(F.unhex(F.lpad(F.hex(number + FIRST_CODE_POINT), 8, "0")), "UTF-32")
+def symbols(numbers: np.ndarray, cut: np.ndarray) -> str:
+    """The string of kinds by number, whose code points alternate at every cut."""
+    points = (FIRST_CODE_POINT + 2 * numbers + np.cumsum(cut) % 2).astype("<u4")
+    return points.tobytes().decode("utf-32-le")
 
 
-def collapse_runs(
-    events: DataFrame, entity: str, kind_no: str, symbols: tuple[str, str], id_col: str, at_us: str, gap_us: int, block_us: int = 900_000_000, least: int = 1
-) -> DataFrame:
-    """Runs of the same kind: entity, kind_no, first_id, last_id, first_us, last_us, n_events.
+def collapse_runs(events: DataFrame, entity: str, kind: str, id_col: str, at_us: str, gap_us: int, least: int = 1) -> DataFrame:
+    """Runs of the same kind: entity, kind, first_id, last_id, first_us, last_us, n_events.
 
     Order is by time, then id; neighbours in a run are at most gap_us apart (inclusive). Rows with a
-    null entity, time or id take no part. An unknown kind (number null or 0) ends a run and makes
-    none. least leaves out shorter runs. Symbols may be null for unknown kinds.
+    null entity, time or id take no part. An unknown kind (null) ends a run and makes none. least leaves
+    out shorter runs.
+
+    Rows are range-partitioned by entity, time and id, so an entity with very many events is cut at
+    points in time. A partition streams its chunks and carries an open run from one to the next; only
+    its first and its last run may go on in another partition, and those are stitched afterwards.
     """
-    rows = events.select(
-        F.col(entity).alias("entity"),
-        F.coalesce(F.col(kind_no), F.lit(0)).cast("int").alias("no"),
-        *(F.coalesce(F.col(s), code_point(F.lit(p))).alias(f"s{p}") for p, s in enumerate(symbols)),
-        F.col(id_col).cast("bigint").alias("id"),
-        F.col(at_us).cast("bigint").alias("at"),
-    ).where("entity is not null and id is not null and at is not null")
-    rows = rows.withColumn("block", F.floor(F.col("at") / F.lit(block_us)))
-    order = Window.partitionBy("entity", "block").orderBy("at", "id")
-    cut = F.when(F.col("at") - F.lag("at").over(order) > gap_us, 1).otherwise(0)
-    rows = rows.withColumns({"cut": cut, "place": F.row_number().over(order)})
-    rows = rows.withColumn("parity", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)) % 2)
-    event = F.struct("at", "id", F.when(F.col("parity") == 0, F.col("s0")).otherwise(F.col("s1")).alias("symbol"))
-    chunks = (
-        rows.groupBy("entity", "block", F.floor((F.col("place") - 1) / F.lit(CHUNK)).alias("chunk"))
-        .agg(F.array_sort(F.collect_list(event)).alias("e"))
-        .select("entity", "block", "chunk", F.array_join("e.symbol", "").alias("text"), F.col("e.id").alias("ids"), F.col("e.at").alias("ats"))
-    )
-    spans = chunks.mapInArrow(
-        _match(least), "entity string, block bigint, chunk bigint, kind_no int, first_id bigint, last_id bigint, first_us bigint, last_us bigint, n_events bigint, edge boolean"
-    )
-    # Of one entity at most two runs a chunk touch an edge, so what one task stitches is bounded by
-    # the blocks in the time range.
-    line = Window.partitionBy("entity").orderBy("block", "chunk", "first_us", "first_id")
+    rows = events.select(F.col(entity).cast("string").alias("entity"), F.col(kind).cast("string").alias("kind"), F.col(id_col).cast("bigint").alias("id"), F.col(at_us).cast("bigint").alias("at"))
+    order = ["entity", "at", "id"]
+    rows = rows.where("entity is not null and id is not null and at is not null").repartitionByRange(*order).sortWithinPartitions(*order)
+    spans = write_read(rows.mapInArrow(_match(gap_us, least), _SPANS), "spans")
+    # Two spans a partition at most, in the order of the partitions.
     edges = spans.where("edge")
-    moved = (F.lag("block").over(line) != F.col("block")) | (F.lag("chunk").over(line) != F.col("chunk"))
-    joined = moved & (F.lag("kind_no").over(line) == F.col("kind_no")) & (F.col("first_us") - F.lag("last_us").over(line) <= gap_us)
+    line = Window.partitionBy("entity").orderBy("first_us", "first_id")
+    joined = (F.lag("part").over(line) != F.col("part")) & F.lag("kind").over(line).eqNullSafe(F.col("kind")) & (F.col("first_us") - F.lag("last_us").over(line) <= gap_us)
     edges = edges.withColumn("new", F.when(joined, 0).otherwise(1))
     edges = edges.withColumn("no", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     whole = edges.groupBy("entity", "no").agg(
-        F.first("kind_no").alias("kind_no"),
-        F.min_by("first_id", F.struct("first_us", "block", "chunk")).alias("first_id"),
-        F.max_by("last_id", F.struct("last_us", "block", "chunk")).alias("last_id"),
+        F.first("kind").alias("kind"),
+        F.min_by("first_id", F.struct("first_us", "first_id")).alias("first_id"),
+        F.max_by("last_id", F.struct("last_us", "last_id")).alias("last_id"),
         F.min("first_us").alias("first_us"),
         F.max("last_us").alias("last_us"),
         F.sum("n_events").alias("n_events"),
     )
-    names = ["entity", "kind_no", "first_id", "last_id", "first_us", "last_us", "n_events"]
-    out = whole.select(names).unionByName(spans.where("not edge").select(names))
-    return out.where((F.col("n_events") >= least) & (F.col("kind_no") > 0)).withColumnRenamed("entity", entity)
+    out = whole.select(_NAMES).unionByName(spans.where("not edge").select(_NAMES))
+    return out.where((F.col("n_events") >= least) & F.col("kind").isNotNull())
 
 
-def _match(least: int):
+def _match(gap_us: int, least: int):
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            entities, blocks, chunks, texts = (batch.column(i).to_pylist() for i in range(4))
-            ids, ats = batch.column(4), batch.column(5)
-            out: list[list] = [[] for _ in range(10)]
-            for i, text in enumerate(texts):
-                own, at = ids[i].values, ats[i].values
-                for m in _RUN.finditer(text):
-                    lo, hi = m.span()
-                    edge = lo == 0 or hi == len(text)
-                    if not edge and hi - lo < least:
-                        continue
-                    no = (ord(m.group(1)) - FIRST_CODE_POINT) // 2
-                    row = (entities[i], blocks[i], chunks[i], no, own[lo].as_py(), own[hi - 1].as_py(), at[lo].as_py(), at[hi - 1].as_py(), hi - lo, edge)
-                    for column, value in zip(out, row):
-                        column.append(value)
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.bool_()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, kinds)],
-                ["entity", "block", "chunk", "kind_no", "first_id", "last_id", "first_us", "last_us", "n_events", "edge"],
-            )
+        part = TaskContext.get().partitionId()
+        schema = pa.schema([("entity", pa.string()), ("kind", pa.string()), *((c, pa.int64()) for c in _NAMES[2:]), ("edge", pa.bool_()), ("part", pa.int32())])
+        opened: dict | None = None  # the run that the next chunk may go on with
+
+        def built(columns: dict, keep: np.ndarray | None = None) -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_pydict({**columns, "part": np.full(len(columns["entity"]), part, np.int32)}, schema)
+            return batch if keep is None else batch.filter(pa.array(keep))
+
+        for whole in batches:
+            for lo in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(lo, CHUNK)
+                entity, kind = batch.column(0), batch.column(1)
+                ids, at = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                size = len(ids)
+                cut = np.zeros(size, dtype=bool)
+                cut[1:] = pc.not_equal(entity.slice(1), entity.slice(0, size - 1)).to_numpy(zero_copy_only=False) | (np.diff(at) > gap_us)
+                numbers = pc.fill_null(kind.dictionary_encode().indices.cast(pa.int64()), -1).to_numpy() + 1
+                found = np.array([m.span() for m in _RUN.finditer(symbols(numbers, cut))])
+                first, last = found[:, 0], found[:, 1] - 1
+                columns = {
+                    "entity": entity.take(pa.array(first)), "kind": kind.take(pa.array(first)), "first_id": ids[first].copy(), "last_id": ids[last],
+                    "first_us": at[first].copy(), "last_us": at[last], "n_events": found[:, 1] - found[:, 0], "edge": np.zeros(len(found), dtype=bool),
+                }
+                if opened is None:
+                    columns["edge"][0] = True
+                else:
+                    same = opened["entity"] == columns["entity"][0].as_py() and opened["kind"] == columns["kind"][0].as_py()
+                    if same and at[0] - opened["last_us"] <= gap_us:
+                        columns["first_id"][0], columns["first_us"][0], columns["edge"][0] = opened["first_id"], opened["first_us"], opened["edge"]
+                        columns["n_events"][0] += opened["n_events"]
+                    elif opened["edge"] or (opened["n_events"] >= least and opened["kind"] is not None):
+                        yield built({k: [v] for k, v in opened.items()})
+                opened = {k: v[-1].as_py() if isinstance(v, pa.Array) else v[-1].item() for k, v in columns.items()}
+                keep = columns["edge"] | ((columns["n_events"] >= least) & columns["kind"].is_valid().to_numpy(zero_copy_only=False))
+                keep[-1] = False
+                yield built(columns, keep)
+        if opened is not None:
+            opened["edge"] = True
+            yield built({k: [v] for k, v in opened.items()})
 
     return spans

@@ -33,19 +33,31 @@ def brute_runs(rows, gap, least):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed,block,chunk", [(1, 900, 50_000), (2, 7, 3), (3, 10**9, 2), (4, 50, 1)])
-def test_runs_equal_brute_force(spark, monkeypatch, seed, block, chunk):
+@pytest.mark.parametrize("seed,parts,records,chunk", [(1, 1, 10_000, 50_000), (2, 5, 7, 3), (3, 60, 1, 1), (4, 3, 100, 2)])
+def test_runs_equal_brute_force(spark, monkeypatch, seed, parts, records, chunk):
     monkeypatch.setattr(runs, "CHUNK", chunk)
     r = random.Random(seed)
-    rows = [(r.choice(["p", "p", "q", None]), r.choice([1, 1, 1, 2, 3, None]), i, r.choice([None, *range(0, 300, 3)])) for i in range(400)]
-    kinds = spark.createDataFrame([("a",), ("b",), ("c",)], "kind string")
-    symbols = runs.symbol_table(kinds, "kind")
-    df = spark.createDataFrame(rows, "proc string, kind_no int, id bigint, at bigint").withColumns({"edge": F.lit(0), "block": F.lit("x")})
-    df = df.join(symbols.drop("kind"), "kind_no", "left")
-    for least in (1, 2):
-        got = runs.collapse_runs(df, "proc", "kind_no", ("symbol_0", "symbol_1"), "id", "at", 5, block, least)
-        assert sorted(map(tuple, got.collect())) == brute_runs(rows, 5, least)
-    assert runs.collapse_runs(df.limit(0), "proc", "kind_no", ("symbol_0", "symbol_1"), "id", "at", 5).count() == 0
+    rows = [(r.choice(["p", "p", "q", None]), r.choice(["a", "a", "a", "b", "c", None]), i, r.choice([None, *range(0, 300, 3)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "proc string, kind string, id bigint, at bigint").withColumns({"edge": F.lit(0), "entity": F.lit("x")})
+    conf = {"spark.sql.shuffle.partitions": parts, "spark.sql.execution.arrow.maxRecordsPerBatch": records, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, str(v))
+        for least in (1, 2):
+            assert sorted(map(tuple, runs.collapse_runs(df, "proc", "kind", "id", "at", 5, least).collect())) == brute_runs(rows, 5, least)
+        assert runs.collapse_runs(df.limit(0), "proc", "kind", "id", "at", 5).count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_more_kinds_than_code_points(spark):
+    """Kinds are numbered within a chunk, so their number over all has no limit."""
+    n = 600_000
+    rows = spark.range(2 * n).select(F.lit("p").alias("e"), (F.col("id") / 2).cast("bigint").alias("k"), "id", F.col("id").alias("at"))
+    got = runs.collapse_runs(rows, "e", "k", "id", "at", 1, 2)
+    assert got.count() == n and got.where("n_events <> 2 or first_id <> 2 * kind or last_id <> first_id + 1").count() == 0
 
 
 # --- tokens and packing --------------------------------------------------------------------------
