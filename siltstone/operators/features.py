@@ -2,50 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.session import write_read
+from siltstone.session import write_bucketed
 
 DAY_US = 86_400_000_000
 
 
-def feature_blocks(events: DataFrame, entity: str, kind: str, at_us: str, latest_us, n_blocks: int, recent_us: int) -> tuple[DataFrame, list[DataFrame]]:
-    """The entities with events, and a table per block of event types: entity and a map from type to (n, n_recent, last_us, idle_us).
+def feature_blocks(events: DataFrame, entity: str, kind: str, at_us: str, latest_us: Column, n_blocks: int, recent_us: int, buckets: int) -> DataFrame:
+    """Every block of event types aggregated by entity: entity, _block and features, a map from type to (n, n_recent, last_us, idle_us).
 
-    Types are spread over blocks by hash, so the blocks need no list of types. The counts are
-    combined map-side by (entity, type) and written to the shared folder once, as otherwise every
-    block would compute them anew. All blocks are bucketed alike by entity, so joining them needs no
-    further shuffle.
+    Types are spread over blocks by hash, so the blocks need no list of types. Counts by (entity, type)
+    are combined map-side, so an entity with very many events is shuffled as a row per type and task;
+    what follows moves those compact rows once more, by entity. The result is written partitioned by
+    block and bucketed by entity.
     """
-    per_type = events.groupBy(entity, kind).agg(
+    per_type = events.groupBy(entity, kind, F.pmod(F.xxhash64(kind), F.lit(n_blocks)).alias("_block")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col(at_us) >= latest_us - F.lit(recent_us)).alias("n_recent"),
         F.max(at_us).alias("last_us"),
     )
-    buckets = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = write_read(per_type.withColumn("_block", F.pmod(F.xxhash64(kind), F.lit(n_blocks))), "features")
     entry = F.struct(F.col(kind), F.struct("n", "n_recent", "last_us", (latest_us - F.col("last_us")).alias("idle_us")))
-    blocks = [counted.where(F.col("_block") == b).repartition(buckets, entity).groupBy(entity).agg(F.map_from_entries(F.collect_list(entry)).alias(f"block_{b}")) for b in range(n_blocks)]
-    return counted.select(entity).distinct().repartition(buckets, entity), blocks
+    rows = per_type.repartition(buckets, entity).groupBy(entity, "_block").agg(F.map_from_entries(F.collect_list(entry)).alias("features"))
+    return write_bucketed(rows, "features", entity, buckets, "_block")
 
 
 def entity_features(
-    events: DataFrame, entity: str, kind: str, at_us: str, latest_us, n_blocks: int = 4, recent_us: int = DAY_US, entities: DataFrame | None = None
+    events: DataFrame,
+    entity: str,
+    kind: str,
+    at_us: str,
+    latest_us: int | Column | None,
+    n_blocks: int = 4,
+    recent_us: int = DAY_US,
+    entities: DataFrame | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """One row per entity: total, n_types, last_us and the block maps block_0..block_{n-1}.
 
     entities is the complete entity table (default: every entity with an event); one without events
     gets a total of 0 and null blocks. Rows with a null entity, type or time count nowhere. A row's
     width is bounded by the number of types, not of events.
+
+    The events are read and shuffled once. The blocks and the entity table are bucketed alike by
+    entity, so each join reads its block's buckets and needs no shuffle; buckets defaults to the
+    number of shuffle partitions.
     """
     whole = events.select(entity, kind, at_us).where(F.col(entity).isNotNull() & F.col(kind).isNotNull() & F.col(at_us).isNotNull())
-    out, blocks = feature_blocks(whole, entity, kind, at_us, latest_us, n_blocks, recent_us)
-    if entities is not None:
-        buckets = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        out = entities.select(entity).where(F.col(entity).isNotNull()).distinct().repartition(buckets, entity)
-    for block in blocks:
-        out = out.join(block, entity, "left")
+    buckets = buckets or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    latest = latest_us if isinstance(latest_us, Column) else F.lit(latest_us).cast("bigint")
+    blocks = feature_blocks(whole, entity, kind, at_us, latest, n_blocks, recent_us, buckets)
+    if entities is None:
+        out = blocks.select(entity).distinct()
+    else:
+        named = entities.select(entity).where(F.col(entity).isNotNull()).distinct()
+        out = write_bucketed(named.repartition(buckets, entity), "entities", entity, buckets)
+    for b in range(n_blocks):
+        out = out.join(blocks.where(F.col("_block") == b).select(entity, F.col("features").alias(f"block_{b}")), entity, "left")
     values = F.flatten(F.array(*(F.coalesce(F.map_values(f"block_{b}"), F.array()) for b in range(n_blocks))))
     out = out.withColumn("_values", values)
     return out.select(

@@ -68,6 +68,18 @@ def write_read(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_bucketed(df: DataFrame, label: str, by: str, buckets: int, partition: str | None = None) -> DataFrame:
+    """write_read for a table bucketed and sorted by one column, and partitioned by another.
+
+    df should come hash-partitioned into as many parts by that column, so that each task writes one bucket.
+    """
+    spark = df.sparkSession
+    name = f"siltstone_{label}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("path", scratch_path(spark, label)).bucketBy(buckets, by).sortBy(by)
+    (writer.partitionBy(partition) if partition else writer).saveAsTable(name)
+    return spark.table(name)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a write_read table that nothing reads any more."""
     spark = df.sparkSession
