@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,9 +72,15 @@ def p2_alert_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_code", F.col("n_pairs").cast("bigint").alias("n_pairs"), F.col("severity_sum").cast("bigint").alias("severity_sum"))
 
 
+#: Entities of one bucket of the feature tables.
+BUCKET_ENTITIES = 2_000
+
+
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = table(spark, sf_dir, "telemetry").agg(F.max(F.unix_micros("ts"))).scalar()
-    return entity_features(_keyed(spark, sf_dir), "host", "event_code", "at_us", latest)
+    rows = table(spark, sf_dir, "telemetry").select(host_key(F.col("host")).alias("host"), F.unix_micros("ts").alias("at_us"))
+    sizes = rows.agg(F.max("at_us").alias("latest"), F.approx_count_distinct("host").alias("hosts")).first()
+    buckets = min(math.ceil((sizes["hosts"] + 1) / BUCKET_ENTITIES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return entity_features(_keyed(spark, sf_dir), "host", "event_code", "at_us", sizes["latest"], entities=rows, buckets=buckets)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +95,11 @@ def p3_host_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("host", F.col("total").alias("host_total"), "n_types", "last_us", *(F.to_json(c).alias(c) for c in blocks))
 
 
+def p3_host_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scalar features of every host, those without a coded event too."""
+    return _features(spark, sf_dir).select("host", F.col("total").alias("host_total"), "n_types", "last_us")
+
+
 def p4_found(spark: SparkSession, sf_dir: str, n_batches: int = 3) -> DataFrame:
     events = table(spark, sf_dir, "telemetry").select(
         "uid", "ingested_at", "id", host_key(F.col("host")).alias("host"), user_key(F.col("user_name")).alias("user_name"), F.unix_micros("ts").alias("at_us")
@@ -99,11 +112,10 @@ def p4_found(spark: SparkSession, sf_dir: str, n_batches: int = 3) -> DataFrame:
 
 
 def p4_session_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By host: sessions, events in them, mean and longest duration in seconds."""
-    length = (F.col("end_us") - F.col("start_us")) / F.lit(1e6)
-    return p4_found(spark, sf_dir).groupBy("host").agg(
-        F.count(F.lit(1)).alias("n_sessions"), F.sum("n_events").alias("n_events"), F.round(F.avg(length), 3).alias("mean_s"), F.max(length).alias("longest_s")
-    )
+    """By host: sessions, events in them, mean (whole microseconds) and longest duration."""
+    length = F.col("end_us") - F.col("start_us")
+    out = p4_found(spark, sf_dir).groupBy("host").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("n_events").alias("n_events"), F.sum(length).alias("_all"), F.max(length).alias("longest_us"))
+    return out.select("host", "n_sessions", "n_events", F.expr("_all div n_sessions").alias("mean_us"), "longest_us")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +146,7 @@ QUERIES = {
     "p2_alert_pressure": p2_alert_pressure,
     "p3_found": p3_found,
     "p3_host_rows": p3_host_rows,
+    "p3_host_totals": p3_host_totals,
     "p4_found": p4_found,
     "p4_session_lengths": p4_session_lengths,
     "p5_found": p5_found,
@@ -240,9 +253,11 @@ from keyed join (select {_HOST.format(c="host")} host, severity from alerts) a u
 select host, event_code, count(*)::bigint n_events, count(*) filter (where at_us >= l - 86400000000)::bigint n_last_day,
   (max(l) - max(at_us))::bigint idle_us, (sum(count(*)) over (partition by host))::bigint host_total
 from keyed, latest group by host, event_code""",
+    "p3_host_totals": f"""with {_KEYED}, hosts as (select distinct {_HOST.format(c="host")} host from telemetry)
+select h.host, count(k.host)::bigint host_total, count(distinct k.event_code)::bigint n_types, max(k.at_us)::bigint last_us from hosts h left join keyed k using (host) where h.host is not null group by h.host""",
     "p5_found": _STAMPS,
     "p4_found": f"with {_SESSIONS} select * from sessions",
     "p4_session_lengths": f"""with {_SESSIONS}
-select host, count(*)::bigint n_sessions, sum(n_events)::bigint n_events, round(avg((end_us - start_us) / 1e6), 3) mean_s, max((end_us - start_us) / 1e6) longest_s
+select host, count(*)::bigint n_sessions, sum(n_events)::bigint n_events, (sum(end_us - start_us) // count(*))::bigint mean_us, max(end_us - start_us)::bigint longest_us
 from sessions group by host""",
 }

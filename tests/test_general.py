@@ -149,6 +149,19 @@ def test_features(spark):
     assert {r["h"]: r["total"] for r in wide.collect()} == {"A": sum(want[k][0] for k in want if k[0] == "A"), "B": sum(want[k][0] for k in want if k[0] == "B"), "C": 0}
     got = {(r["h"], r["c"]): (r["n"], r["n_recent"], r["idle_us"], r["total"]) for r in features_long(wide, "h", "c").collect()}
     assert got == want
+    empty = entity_features(df.limit(0), "h", "c", "at", None, 3, 10**9, everyone)
+    assert {(r["h"], r["total"], r["last_us"]) for r in empty.collect()} == {("A", 0, None), ("B", 0, None), ("C", 0, None)}
+
+
+def test_feature_blocks_join_without_a_shuffle(spark):
+    df = spark.createDataFrame(random_events(2), "h string, c string, at bigint, total int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = entity_features(df, "h", "c", "at", 10**12, 3, 10**9, df, buckets=4)
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 3 and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def brute_sessions(times, gap):
@@ -186,6 +199,46 @@ def test_sessions_in_any_batches(spark):
     assert table.read().count() == len(want)
 
 
+def test_session_table_keeps_old_states_and_untouched_cells(spark):
+    table = SessionTable(spark, scratch_path(spark, "t"), ["k"], "t", 10, "uid")
+    day = 86_400_000_000
+
+    def batch(*rows):
+        return spark.createDataFrame(list(rows), "uid string, k string, t bigint")
+
+    table.apply(batch(*((f"{k}{d}", k, d * day) for k in "abcdefgh" for d in range(3))))
+    old, before = table.read(), table._manifest()
+    table.apply(batch(("late", "a", day + 5), ("a1", "a", day)))  # a late event, and a record seen before
+    after = table._manifest()
+    changed = [c for c in after["cells"] if after["cells"][c] != before["cells"].get(c)]
+    assert len(changed) == 1 and changed[0].startswith("1/")
+    assert sorted(r["n_events"] for r in table.read().collect()) == [1] * 23 + [2]
+    assert old.count() == 24 and old.agg(F.sum("n_events")).first()[0] == 24  # the old state can still be read
+    table.vacuum(1)
+    assert len(table._versions()) == 1 and sorted(r["n_events"] for r in table.read().collect()) == [1] * 23 + [2]
+
+
+def test_two_writers_cannot_publish_one_version(spark):
+    table = SessionTable(spark, scratch_path(spark, "t"), ["k"], "t", 10)
+    table._fs.create(table._at("claims/000000001.json"), False).close()  # a writer that died before it published
+    with pytest.raises(RuntimeError, match="recover"):
+        table.apply(spark.createDataFrame([("a", 1)], "k string, t bigint"))
+    assert table.read().count() == 0
+    table.recover()
+    table.apply(spark.createDataFrame([("a", 1)], "k string, t bigint"))
+    assert table.read().count() == 1
+
+
+def test_seen_records_of_a_day_are_written_into_one_folder(spark):
+    table = SessionTable(spark, scratch_path(spark, "t"), ["k"], "t", 10, "uid")
+    table.SEEN_FOLDERS = 2
+    for i in range(5):
+        rows = spark.createDataFrame([(f"u{j}", "a", 100 * j) for j in range(i + 1)], "uid string, k string, t bigint")
+        table.apply(rows)
+    assert max(map(len, table._manifest()["seen"].values())) <= 2
+    assert sorted(r["n_events"] for r in table.read().collect()) == [1] * 5
+
+
 def test_session_gap_is_inclusive_and_ties_count(spark):
     df = spark.createDataFrame([("a", 0), ("a", 0), ("a", 10), ("a", 21), (None, 5), ("a", None)], "k string, t bigint")
     assert sorted(map(tuple, local_sessions(df, ["k"], "t", 10).collect())) == [("a", 0, 10, 3), ("a", 21, 21, 1)]
