@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.keys import present, trimmed
 from siltstone.llm import lookalikes, mixing, packing, runs
-from siltstone.llm.tokens import token_count
+from siltstone.llm.tokens import token_count, token_ids
 from siltstone.session import table, write_read
 
 RUN_GAP_US = 300_000_000
@@ -89,13 +89,20 @@ def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(full, "spec_id")
 
 
-def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _laid_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int], dict[str, tuple[float, int]], DataFrame]:
+    """The targets' sources cut into blocks, their tokens, the targets, and the targets as a table."""
     wanted = table(spark, sf_dir, "mix_targets").select(mixing.source_key(F.col("source")).alias("source"), "target_share", "max_repeats")
     wanted = wanted.where("source is not null and target_share is not null and max_repeats is not null")
     targets = {r["source"]: (r["target_share"], r["max_repeats"]) for r in _settings(wanted)}
     items = write_read(_sized(spark, sf_dir).where("n > 0").where(F.col("source").isin(list(targets))), "sized")
-    tokens = {r["source"]: r["n"] for r in items.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    return mixing.mix(mixing.lay_out(items, mixing.BLOCK_TOKENS), tokens, targets), wanted
+    sums = items.groupBy("source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).collect()
+    blocks = mixing.lay_out(items, mixing.BLOCK_TOKENS, {r["source"]: r["docs"] for r in sums})
+    return blocks, {r["source"]: r["n"] for r in sums}, targets, wanted
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    blocks, tokens, targets, wanted = _laid_out(spark, sf_dir)
+    return mixing.mix(blocks, tokens, targets), wanted
 
 
 def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,15 +111,31 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixture itself: the piece of a document in every slot of every shard."""
+    """The mixture itself: the pieces of documents in every slot of every shard."""
     return _mixture(spark, sf_dir)[0]
 
 
+def p8_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture written out: the tokens in every slot of every shard."""
+    blocks, tokens, targets, _ = _laid_out(spark, sf_dir)
+    blocks = write_read(blocks, "blocks")
+    return mixing.token_blocks(mixing.mix(blocks, tokens, targets), blocks, table(spark, sf_dir, "documents"), token_ids(F.col("text")))
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of every source."""
     return mixing.mixture_shares(*_mixture(spark, sf_dir))
 
 
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every mixture must hold, by source: repeats within the limit, the share met to two blocks among the sources there are."""
+    rows = write_read(p8_shares(spark, sf_dir), "shares")
+    sums = rows.agg(F.sum("n_tokens").alias("tokens"), F.sum(F.when(F.col("n_tokens") > 0, F.col("target_share"))).alias("share")).first()
+    goal = F.when(F.col("n_tokens") > 0, F.col("target_share") / F.lit(sums["share"])).otherwise(0.0)
+    met = F.abs(F.col("n_tokens") - goal * F.lit(sums["tokens"])) <= 2 * mixing.BLOCK_TOKENS
+    return rows.select("source", (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_met"), met.alias("share_met"))
+
+
 def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null and text <> ''")
     model = lookalikes.train(docs, "text")
@@ -148,7 +171,9 @@ QUERIES = {
     "p7_invariants": p7_invariants,
     "p8_documents": p8_documents,
     "p8_blocks": p8_blocks,
+    "p8_token_blocks": p8_token_blocks,
     "p8_shares": p8_shares,
+    "p8_invariants": p8_invariants,
     "p9_found": p9_found,
     "p9_classes": p9_classes,
     "p9_forms": p9_forms,
@@ -192,4 +217,6 @@ select doc_id, class_id, (n - own)::bigint n_links from forms join t using (form
 
 _PACKED = """select spec_id, (select count(*) from documents where text <> '') n_docs, 0::bigint n_split_in_vain, 0::bigint n_not_joining, 0::bigint n_overfull from pack_specs where capacity_tokens > 0"""
 
-ORACLES = {"p7_invariants": _PACKED, "p9_found": _PAIRS, "p9_classes": _CLASSES, "p6_found": f"select * from ({_RUNS}) where n_alerts >= 2", "p6_collapsed": _RUNS}
+_MIXED = r"select regexp_replace(lower(trim(source)), '[\s-]+', '_', 'g') source, true repeats_met, true share_met from mix_targets"
+
+ORACLES = {"p7_invariants": _PACKED, "p8_invariants": _MIXED, "p9_found": _PAIRS, "p9_classes": _CLASSES, "p6_found": f"select * from ({_RUNS}) where n_alerts >= 2", "p6_collapsed": _RUNS}

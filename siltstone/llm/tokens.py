@@ -35,3 +35,15 @@ def token_count(text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
             yield pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
 
     return count(text)
+
+
+def token_ids(text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
+    """The token ids of the whole text as array<int>; empty for null and empty ones."""
+
+    @F.pandas_udf("array<int>")
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = encoding(vocabulary).encode_ordinary
+        for texts in batches:
+            yield pd.Series([encode(t) if t else [] for t in texts], dtype=object)
+
+    return ids(text)

@@ -146,18 +146,29 @@ def test_permutation(size, key):
 
 
 def test_shards_meet_quotas():
-    drawn = mixing.shard_counts({"a": 1000, "b": 37, "c": 1}, 3, 64)
-    assert drawn.groupby("source")["n"].sum().to_dict() == {"a": 1000, "b": 37, "c": 1}
-    assert drawn.groupby("shard")["n"].sum().max() <= 64
-    for _, own in drawn.groupby("source"):
+    got = mixing.shard_counts({"a": 1000, "b": 37, "c": 1}, 3, 64)
+    assert got.groupby("source")["n"].sum().to_dict() == {"a": 1000, "b": 37, "c": 1}
+    assert got.groupby("shard")["n"].sum().max() <= 64
+    for _, own in got.groupby("source"):
         assert own["first"].tolist() == [0, *own["n"].cumsum().tolist()[:-1]]
 
 
-def test_mixture(spark):
+def test_shards_in_two_steps(spark):
+    """Many shards come in groups, and still every slot of every source is in one shard."""
+    slots = {"a": 50_000, "b": 7_001, "c": 3}
+    rows = mixing.shard_table(spark, slots, 5, 10).toPandas().sort_values(["source", "first"])
+    assert rows["shard"].nunique() == -(-sum(slots.values()) // 10) and rows.groupby("shard")["n"].sum().max() == 10
+    for s, own in rows.groupby("source"):
+        assert own["n"].sum() == slots[s] and own["first"].tolist() == [0, *own["n"].cumsum().tolist()[:-1]] and own["shard"].is_monotonic_increasing
+    assert mixing.shard_table(spark, {}, 5).count() == 0
+
+
+def test_mixture(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 50)
     r = random.Random(5)
     docs = [(i, s, r.randint(1, 300)) for i, s in enumerate(["a"] * 300 + ["b"] * 40 + ["c"] * 5)]
-    items = spark.createDataFrame(docs, "doc_id bigint, source string, n bigint").withColumn("_b", F.lit(0))
-    blocks = mixing.lay_out(items.drop("_b"), 16)
+    items = spark.createDataFrame(docs, "doc_id bigint, source string, n bigint")
+    blocks = mixing.lay_out(items, 16, {"a": 300, "b": 40, "c": 5})
     sizes = {r["doc_id"]: r["s"] for r in blocks.groupBy("doc_id").agg(F.sum("size").alias("s")).collect()}
     assert sizes == {i: n for i, _, n in docs}
     assert blocks.groupBy("source", "block").agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0] == 16
@@ -171,6 +182,13 @@ def test_mixture(spark):
     assert shares["absent"] == 0 and all(abs(shares[s] - targets[s][0] / 0.95) < 0.02 for s in "abc")
     assert sorted(map(tuple, mixture.collect())) == sorted(map(tuple, mixing.mix(blocks, tokens, targets, 11, 16).collect()))
     assert mixing.mix(blocks.limit(0), {}, targets).count() == 0
+    # The tokens of document d are d * 1000 + place: every block holds the stretches its pieces name, in order.
+    held = items.withColumn("ids", F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda k: (F.col("doc_id") * 1000 + k - 1).cast("int")))
+    got = {(r["shard"], r["slot"], r["source"]): r["tokens"] for r in mixing.token_blocks(mixture, blocks, held, F.col("ids")).collect()}
+    want = {}
+    for p in sorted(mixture.collect(), key=lambda p: p["offset"]):
+        want.setdefault((p["shard"], p["slot"], p["source"]), []).extend(range(p["doc_id"] * 1000 + p["start"], p["doc_id"] * 1000 + p["start"] + p["size"]))
+    assert got == want
 
 
 def test_source_spellings(spark):
