@@ -20,6 +20,8 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
 _H = "[0-9a-f]{1,4}"
 IPV6 = "(?:" + "|".join([f"(?:{_H}:){{7}}{_H}", *(f"(?:{_H}:){{1,{8 - k}}}(?::{_H}){{1,{k - 1}}}" for k in range(2, 8)), f"{_H}:(?::{_H}){{1,6}}", f"(?:{_H}:){{1,7}}:", f":(?:(?::{_H}){{1,7}}|:)"]) + ")"
+# An IPv6 literal whose last two groups are written as an IPv4 address.
+IPV6_IPV4 = "(?:" + "|".join([f"(?:{_H}:){{6}}", *(f"(?:{_H}:){{{k}}}(?::{_H}){{0,{5 - k}}}:" for k in range(1, 6)), f":(?::{_H}){{0,5}}:"]) + f"){IPV4}"
 
 
 def is_machine_account(user: Column) -> Column:

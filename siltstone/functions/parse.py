@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siltstone.functions.keys import present
-from siltstone.functions.normalize import basename, routable_ip
+from siltstone.functions.normalize import IPV4, IPV6, IPV6_IPV4, basename
 
 # Fixed values of the record format.
 SOURCE_BY_CHANNEL = {
@@ -31,20 +31,24 @@ def text_value(value: Column) -> Column:
 
 
 def number_value(value: Column) -> Column:
-    """A decimal or 0x-hex string as bigint."""
-    digits = F.regexp_extract(value, r"^0[xX]([0-9a-fA-F]{1,15})$", 1)
-    return F.when(digits != "", F.conv(digits, 16, 10).try_cast("bigint")).otherwise(F.when(value.rlike(r"^[+-]?\d+$"), value.try_cast("bigint")))
+    """A decimal or 0x-hex string of any length as bigint; null beyond the range of bigint."""
+    digits = F.nullif(F.regexp_extract(value, r"^0[xX]0*([0-9a-fA-F]*)$", 1), F.lit(""))
+    # Sixteen digits from 8 on, and longer ones, are beyond bigint.
+    fits = (F.length(digits) <= 15) | ((F.length(digits) == 16) & digits.rlike("^[0-7]"))
+    hexed = F.when(fits, F.conv(digits, 16, 10).try_cast("bigint"))
+    zero = F.when(value.rlike(r"^0[xX]0+$"), F.lit(0).cast("bigint"))
+    return F.coalesce(hexed, zero, F.when(value.rlike(r"^[+-]?\d+$"), value.try_cast("bigint")))
 
 
 def port_value(value: Column) -> Column:
     """A port number up to 65,535 from a string of digits."""
-    n = F.when(value.rlike(r"^\d{1,9}$"), value.try_cast("int"))
+    n = F.when(value.rlike(r"^0*\d{1,5}$"), value.try_cast("int"))
     return F.when(n <= 65535, n)
 
 
 def ip_value(value: Column) -> Column:
-    """An address that names a peer, canonical."""
-    return routable_ip(value)
+    """A valid IPv4 or IPv6 literal as it is, loopback and the like included; null for anything else."""
+    return F.when(value.rlike(rf"^{IPV4}$") | F.lower(value).rlike(rf"^(?:{IPV6}|{IPV6_IPV4})(?:%\S+)?$"), value)
 
 
 def channel_source(channel: Column) -> Column:

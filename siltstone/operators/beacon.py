@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,10 +36,20 @@ def beacon_sessions(alerts: DataFrame, keys: list[str], ts: str, id_col: str, bu
 def session_alerts(alerts: DataFrame, rule_id: str = "CUR-013", bucket_s: int = 300) -> DataFrame:
     """Alerts with all of one rule's hits replaced by one alert per host, process, peer, port and bucket.
 
-    The alert is the session's earliest hit with the session's severity. Hits without a time are in no
-    session and stay as they are. alerts is read three times; write it down before.
+    The alert is the session's earliest hit with the session's severity; `detail`, a JSON object, says
+    what the session was, and is null for other alerts. Hits without a time are in no session and stay as
+    they are. alerts is read three times; write it down before.
     """
     hits = alerts.where((F.col("rule_id") == rule_id) & F.col("ts").isNotNull())
-    graded = beacon_sessions(hits, ["host", "process_uid", "dst_ip", "dst_port"], "ts", "event_id", bucket_s)
-    first = hits.drop("severity").join(graded.select(F.col("first_id").alias("event_id"), "severity"), "event_id")
-    return alerts.where((F.col("rule_id") != rule_id) | F.col("ts").isNull()).unionByName(first)
+    keys = ["host", "process_uid", "dst_ip", "dst_port"]
+    graded = beacon_sessions(hits, keys, "ts", "event_id", bucket_s)
+
+    def shown(us: str) -> Column:
+        return F.date_format(F.to_utc_timestamp(F.timestamp_micros(us), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+    detail = F.to_json(F.struct(
+        F.col("n").alias("connection_count"), shown("first_us").alias("first_seen"), shown("last_us").alias("last_seen"),
+        F.round(F.coalesce("mean_gap", F.lit(0.0)), 2).alias("mean_gap_seconds"), "is_beaconing", "dst_ip", "dst_port",
+    ))
+    first = hits.drop("severity").join(graded.select(F.col("first_id").alias("event_id"), "severity", detail.alias("detail")), "event_id")
+    return alerts.where((F.col("rule_id") != rule_id) | F.col("ts").isNull()).withColumn("detail", F.lit(None).cast("string")).unionByName(first)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.functions.minhash import PERMUTATIONS, signature, tokens
+from siltstone.functions.minhash import PERMUTATIONS, signature, similarity, tokens
 
 KEYS = ["rule_id", "host", "user_norm"]
 
@@ -85,6 +85,27 @@ def mark_greedy(alerts: DataFrame, window_s: int = 300, least_similarity: float
     return rows.repartition(*KEYS, "piece").sortWithinPartitions(*KEYS, "piece", "at", "id").mapInPandas(stream, schema)
 
 
+def similar_pairs(alerts: DataFrame, window_s: int = 300) -> DataFrame:
+    """(id_a, id_b, similarity), id_a < id_b: estimated Jaccard similarity of the command lines of alerts of one rule, host and user at most window_s apart.
+
+    Rows meet in cells as long as the window and in the next one, so a rule, host and user with very many
+    alerts is spread over time. Rows without a rule, time or command line take no part; a null host or
+    user equals another.
+    """
+    span = window_s * 1_000_000
+    rows = alerts.where(F.col("rule_id").isNotNull() & F.col("ts").isNotNull() & F.col("command_line").isNotNull())
+    rows = rows.select("id", *KEYS, F.unix_micros("ts").alias("at"), signature(tokens(F.col("command_line"))).alias("sig")).withColumn("cell", F.floor(F.col("at") / F.lit(span)))
+    key = F.xxhash64(*(F.coalesce(c, F.lit("\0")) for c in KEYS))
+    rows = rows.withColumn("k", key)
+    a = rows.withColumn("cell", F.explode(F.array("cell", F.col("cell") + 1))).alias("a")
+    fits = (F.col("a.k") == F.col("b.k")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("b.at") - F.col("a.at") <= span)
+    for c in KEYS:
+        fits = fits & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    later = (F.col("b.at") > F.col("a.at")) | ((F.col("b.at") == F.col("a.at")) & (F.col("b.id") > F.col("a.id")))
+    pairs = a.join(rows.alias("b"), fits & later)
+    return pairs.select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"), similarity(F.col("a.sig"), F.col("b.sig")).alias("similarity"))
+
+
 def apply_marks(alerts: DataFrame, marks: DataFrame) -> DataFrame:
     """Alerts with the marks of either operator in place of their own columns."""
     return alerts.drop("dedup_key", "is_duplicate", "canonical_id").join(marks.select("id", "dedup_key", "is_duplicate", "canonical_id"), "id", "left")

@@ -1,4 +1,4 @@
-"""The deterministic pipeline as one lazy plan: detect, gather beacons, deduplicate, correlate, roll up, collect evidence."""
+"""The deterministic pipeline: detect, gather beacons, number, deduplicate, correlate, roll up, collect evidence."""
 
 from __future__ import annotations
 
@@ -21,31 +21,41 @@ class Pipeline:
     evidence: DataFrame
 
 
-def found_alerts(events: DataFrame, codes: tuple[str, ...] | None = None) -> DataFrame:
-    """Alerts of the events, script-host connections as one alert per beacon session. Hits are written once."""
-    return beacon.session_alerts(write_read(rules.detect(events, codes=codes), "hits"))
+def found_alerts(hits: DataFrame) -> DataFrame:
+    """Alerts of the hits, script-host connections as one alert per beacon session. Hits are written once."""
+    return beacon.session_alerts(write_read(hits, "hits"))
 
 
-def marked_alerts(events: DataFrame, codes: tuple[str, ...] | None = None) -> DataFrame:
-    """Numbered alerts of the events with exact and near-duplicates marked in one greedy pass."""
-    alerts = rules.number_alerts(found_alerts(events, codes))
+def marked_alerts(hits: DataFrame) -> DataFrame:
+    """Numbered alerts of the hits with exact and near-duplicates marked in one greedy pass."""
+    alerts = write_read(rules.number_alerts(found_alerts(hits)), "alerts")
     return dedup.apply_marks(alerts, dedup.mark_greedy(alerts))
 
 
-def exact_alerts(events: DataFrame, codes: tuple[str, ...] | None = None) -> DataFrame:
-    """Numbered alerts of the events, every hit by itself, with exact duplicates alone marked."""
-    alerts = rules.number_alerts(rules.detect(events, codes=codes))
+def exact_alerts(hits: DataFrame) -> DataFrame:
+    """Numbered alerts, every hit by itself, with exact duplicates alone marked."""
+    alerts = rules.number_alerts(hits)
     key = dedup.exact_key(F.col("rule_id"), F.col("host"), F.col("user_norm"), F.col("process_uid"), F.col("ts"))
     return dedup.mark_exact(alerts.withColumn("dedup_key", key))
 
 
+def fields_of(events: DataFrame) -> DataFrame:
+    """event_fields, written once: detection and evidence read them."""
+    return write_read(rules.event_fields(events), "fields")
+
+
 def run(spark: SparkSession, sf_dir: str, documented: bool = False) -> Pipeline:
-    """All derived tables of the telemetry. Alerts and clusters are written to the shared folder once."""
+    """All derived tables of the telemetry. Documents are read once; alerts, clusters and evidence are written once.
+
+    The incident of a cluster has the id of the cluster's first alert. event_count is the size of its evidence.
+    """
     events = table(spark, sf_dir, "telemetry")
-    alerts = write_read(marked_alerts(events), "alerts")
+    fields = fields_of(events)
+    alerts = write_read(marked_alerts(rules.fired(fields, codes=rules.CANDIDATE_CODES)), "marked")
     clusters = write_read(correlate.correlate(alerts, documented), "clusters")
     grouped = alerts.join(clusters, "id").withColumnRenamed("component", "incident")
-    fields = rules.event_fields(events).select("id", "ts", F.col("host_key").alias("host"), "user_norm", "process_uid", "parent_uid", F.col("code").alias("event_code"))
-    evidence = incident.evidence(fields, grouped, "incident")
-    told = evidence.join(events.drop("incident_id"), "id")
-    return Pipeline(alerts, clusters, incident.incidents(grouped, "incident"), incident.entities(told, "incident"), incident.entity_edges(told, "incident"), evidence)
+    evidence = write_read(incident.evidence(fields, grouped.select("event_id", "incident"), "incident"), "evidence")
+    counts = evidence.groupBy("incident").agg(F.count(F.lit(1)).alias("event_count"))
+    found = incident.incidents(grouped, "incident").join(counts, "incident", "left")
+    told = evidence.select("incident", "id").join(events.drop("incident_id", "incident"), "id")
+    return Pipeline(alerts, clusters, found, incident.entities(told, "incident"), incident.entity_edges(told, "incident"), evidence)

@@ -90,7 +90,9 @@ f0 as (
   select docs.id, ts, incident_id, coalesce(event_code, '') code, {_host(_f('host', '$.device.hostname', '$.unmapped.Hostname'))} host,
     {_user(_f('user_name', '$.actor.user.name', '$.user.name', '$.unmapped.User', '$.unmapped.SubjectUserName'))} user_norm,
     {_uid(f"coalesce(nullif({_proc('uid')}, ''), {_f('$.unmapped.ProcessGuid', '$.unmapped.SourceProcessGUID', '$.unmapped.SourceProcessGuid')})")} process_uid,
-    {_uid(_parent('uid'))} parent_uid,
+    {_uid(_f('$.process.uid', '$.actor.process.uid', '$.unmapped.ProcessGuid', '$.unmapped.SourceProcessGUID', '$.unmapped.SourceProcessGuid'))} own_uid,
+    {_uid(_f('$.process.uid'))} u1, {_uid(_f('$.actor.process.uid'))} u2, {_uid(_f('$.unmapped.ProcessGuid'))} u3,
+    {_uid(_f('$.process.parent_process.uid'))} q1, {_uid(_f('$.actor.process.parent_process.uid'))} q2, {_uid(_f('$.unmapped.ParentProcessGuid'))} q3,
     {_path(f"coalesce(nullif(process_name, ''), nullif({_proc('file.path')}, ''), {_f('$.unmapped.Image', '$.unmapped.NewProcessName', '$.unmapped.ProcessName')})")} process_path,
     {_path(f"coalesce(nullif(parent_process, ''), nullif({_parent('file.path')}, ''), {_f('$.unmapped.ParentImage', '$.unmapped.ParentProcessName')})")} parent_path,
     coalesce(nullif(command_line, ''), nullif({_proc('cmd_line')}, ''), {_f('$.unmapped.CommandLine')}, '') command,
@@ -128,7 +130,8 @@ _CONDITIONS = {
     "CUR-008": r"code in ('4698', '4702') and not regexp_matches(coalesce(task, ''), '\\onedrive standalone update task|\\microsoft\\windows\\(updateorchestrator|softwareprotectionplatform|grouppolicy|device information|application experience|pushtoinstall)')",
     "CUR-009": "code in ('4720', '4722', '4724')",
     "CUR-010": "code in ('4728', '4732')",
-    "CUR-011": f"code in ('5857', '5858', '5861') or ({_START} and parent = 'wmiprvse.exe')",
+    "CUR-011": "code in ('5857', '5858', '5861')",
+    "CUR-011 b": f"{_START} and parent = 'wmiprvse.exe'",
     "CUR-012": r"code in ('5140', '5145') and regexp_matches(share, 'ADMIN\$|C\$|IPC\$')",
     "CUR-013": "code = '3' and dst_peer is not null and coalesce(dst_port, 0) not in (53, 88, 135, 389, 445) and process in ('powershell.exe','cmd.exe','rundll32.exe','cscript.exe','wscript.exe','certutil.exe','mshta.exe')",
     "CUR-014": r"code = '11' and contains(file_path, '\startup\')",
@@ -136,29 +139,66 @@ _CONDITIONS = {
     "CUR-016": f"code = '7' and regexp_matches(module_path, '{_DROP}')",
     "CUR-017": "(code = '1149' and rdp_peer <> '172.18.39.2') or (code = '4624' and logon_type = '10' and src_peer <> '172.18.39.2')",
     "CUR-018": "code = '4769' and ticket in ('0x17', '23')",
-    "CUR-019": "contains(shown, '\u00e2\u20ac\u00ae') or contains(shown, '\u202e') or contains(shown, '.3aka3.') or contains(lower(shown), '.scr')",
+    "CUR-019": "contains(shown, '\u00e2\u20ac\u00ae') or contains(shown, '.3aka3.') or contains(lower(shown), '.scr')",
     "CUR-020": f"{_START} and process in ('wscript.exe','cscript.exe','mshta.exe','regsvr32.exe') and length(trim(command)) > length(process) + 4",
-    "CUR-021": f"({_START} and process = 'wsmprovhost.exe') or (code = '3' and dst_port in (5985, 5986) and dst_peer is not null)",
+    "CUR-021": f"{_START} and process = 'wsmprovhost.exe'",
+    "CUR-021 b": "code = '3' and dst_port in (5985, 5986) and dst_peer is not null",
     "CUR-022": rf"code = '11' and regexp_matches(file_path, '{_STAGE}') and regexp_matches(file_path, '\.(zip|rar|7z|gz|tar|cab)$') and not regexp_matches(file_path, 'c:\\programdata\\microsoft\\windows\\')",
 }
-_HITS = "hits as (" + " union all ".join(f"select f.*, '{r.rule_id}' rule_id, '{r.severity}' severity, '{r.tactic}' tactic from f where {_CONDITIONS[r.rule_id]}" for r in rules.RULES) + ")"
+# Fixed values, written out again for the SQL: name, grade, tactic and technique hints of each rule.
+_SAID = {
+    "CUR-001": ("Office Application Spawning Script Interpreter or Shell", "critical", "Execution", "T1059.001,T1204.002"),
+    "CUR-002": ("Execution from ProgramData or Temp Directory", "high", "Execution", "T1059,T1204"),
+    "CUR-003": ("PowerShell Encoded or Hidden Window Execution", "high", "Execution", "T1059.001,T1027"),
+    "CUR-004": ("PowerShell Web Download Cradle Execution", "high", "Command and Control", "T1105,T1059.001"),
+    "CUR-005": ("Suspicious LSASS Process Memory Access", "critical", "Credential Access", "T1003.001"),
+    "CUR-006": ("Registry Run or RunOnce Key Modification", "high", "Persistence", "T1547.001"),
+    "CUR-007": ("Windows Service Installed or Created", "high", "Persistence", "T1543.003,T1569.002"),
+    "CUR-008": ("Scheduled Task Created or Updated", "medium", "Persistence", "T1053.005"),
+    "CUR-009": ("Local User Account Created or Enabled", "high", "Persistence", "T1136.001"),
+    "CUR-010": ("Privileged Security Group Membership Changed", "high", "Persistence", "T1098"),
+    "CUR-011": ("WMI Activity Provider Operation", "medium", "Execution", "T1047"),
+    "CUR-011 b": ("Process Spawned by WMI Provider (wmiprvse.exe)", "medium", "Execution", "T1047"),
+    "CUR-012": ("Administrative Network Share Accessed", "medium", "Lateral Movement", "T1021.002"),
+    "CUR-013": ("Scripting Process Initiated Outbound Network Connection", "medium", "Command and Control", "T1071.001"),
+    "CUR-014": ("File Created in Startup Folder", "high", "Persistence", "T1547.001"),
+    "CUR-015": ("System or Network Discovery Command Executed", "low", "Discovery", "T1033,T1082,T1016,T1049,T1057"),
+    "CUR-016": ("Module Loaded from Non-Standard Directory", "medium", "Defense Evasion", "T1574"),
+    "CUR-017": ("Remote Desktop Interactive Session Connected", "high", "Lateral Movement", "T1021.001"),
+    "CUR-018": ("Kerberos Ticket Request with RC4 Encryption", "high", "Credential Access", "T1558.003"),
+    "CUR-019": ("Masqueraded Filename or Right-to-Left Override Extension", "critical", "Defense Evasion", "T1036.002,T1036.005"),
+    "CUR-020": ("Suspicious Script Host or Registration Utility Invocation", "medium", "Execution", "T1218,T1059.005"),
+    "CUR-021": ("WinRM Remote Management Host Process Spawned", "high", "Lateral Movement", "T1021.006"),
+    "CUR-021 b": ("Network Connection to WinRM Port (5985/5986)", "medium", "Lateral Movement", "T1021.006,T1059.001"),
+    "CUR-022": ("Archive or Data File Created in Staging Directory", "medium", "Collection", "T1074,T1560"),
+}
+_SCANNED = "code in ('1','2','3','7','10','11','12','13','23','4688','4624','4697','4698','4702','4720','4722','4724','4728','4732','4769','5140','5145','7045','4104','5857','5858','5861','1149')"
+_HITS = "hits as (" + " union all ".join(
+    f"select f.*, '{key[:7]}' rule_id, '{name}' rule_name, '{severity}' severity, '{tactic}' tactic, '{techniques}' techniques from f where {_SCANNED} and ({_CONDITIONS[key]})" for key, (name, severity, tactic, techniques) in _SAID.items()
+) + ")"
 _DETECT = f"with {_FIELDS}, {_HITS}"
 
 
-@query(f"{_DETECT} select id event_id, rule_id, severity, tactic, epoch_us(ts) ts_us, host, user_norm, process_uid, command command_line, file_path, src_peer src_ip, dst_peer dst_ip, dst_port from hits")
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.detect(table(spark, sf_dir, "telemetry"), codes=rules.CANDIDATE_CODES)
+
+
+@query(f"{_DETECT} select id event_id, rule_id, rule_name, severity, tactic, techniques, epoch_us(ts) ts_us, host, user_norm, process_uid, command command_line, file_path, src_peer src_ip, dst_peer dst_ip, dst_port from hits")
 def detect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = rules.detect(table(spark, sf_dir, "telemetry"))
-    return hits.select("event_id", "rule_id", "severity", "tactic", F.unix_micros("ts").alias("ts_us"), "host", "user_norm", "process_uid", "command_line", "file_path", "src_ip", "dst_ip", "dst_port")
+    return _hits(spark, sf_dir).select(
+        "event_id", "rule_id", "rule_name", "severity", "tactic", F.array_join("technique_ids", ",").alias("techniques"), F.unix_micros("ts").alias("ts_us"),
+        "host", "user_norm", "process_uid", "command_line", "file_path", "src_ip", "dst_ip", "dst_port",
+    )
 
 
 @query(f"{_DETECT} select rule_id, severity, count(*)::bigint n from hits group by all")
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.detect(table(spark, sf_dir, "telemetry")).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return _hits(spark, sf_dir).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact step by itself, as the SQL of the queries below has it; the pipeline marks near-duplicates too."""
-    return pipeline.exact_alerts(table(spark, sf_dir, "telemetry"))
+    return pipeline.exact_alerts(_hits(spark, sf_dir))
 
 
 _KEYED = (
@@ -186,6 +226,9 @@ _TOKENS = r"list_distinct(list_filter(list_transform(regexp_extract_all(command_
 _HASH = "(('0x' || substr(md5(t), 7, 2) || substr(md5(t), 5, 2) || substr(md5(t), 3, 2) || substr(md5(t), 1, 2))::bigint)"
 
 
+_SIGNED_LIST = f"list_transform(range(0, 64), lambda i: coalesce(list_min(list_transform({_TOKENS}, lambda t: ((((i * 10007 + 12345) % 100000 + 1) * {_HASH} + (i * 32452843 + 98765) % 100000 + 1) % 4294967311))), 0))"
+
+
 @query(f"""with s as (select id, list_transform({_TOKENS}, lambda t: {_HASH}) hs from alerts where command_line is not null),
 p as (select i, (i * 10007 + 12345) % 100000 + 1 a, (i * 32452843 + 98765) % 100000 + 1 b from range(0, 64) r(i)),
 v as (select id, i, coalesce(list_min(list_transform(hs, lambda h: (a * h + b) % 4294967311)), 0) v from s, p)
@@ -195,11 +238,39 @@ def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.array_join(minhash.signature(minhash.tokens(F.col("command_line"))).cast("array<string>"), ",").alias("signature"))
 
 
-@query()
+def _greedy_sql(source: str) -> str:
+    """CTEs up to `marks` (id, key, owner): the greedy rule in SQL, a step of the recursion for the next alert of every rule, host and user.
+
+    source has id, rule_id, host, user_norm, process_uid, us (microseconds) and command_line.
+    """
+    return f"""pool as materialized (select *, sha256(concat_ws('|', coalesce(rule_id, ''), coalesce(host, ''), coalesce(user_norm, ''), coalesce(process_uid, ''), (us // 60000000)::varchar)) as key, coalesce({_TOKENS}, []) toks from ({source})),
+hashed as (select id, list_transform(toks, lambda t: {_HASH}) hs from pool),
+signed as (select id, list(v order by i) sig from (select id, i, coalesce(list_min(list_transform(hs, lambda h: ((((i * 10007 + 12345) % 100000 + 1) * h + (i * 32452843 + 98765) % 100000 + 1) % 4294967311))), 0) v from hashed, range(0, 64) r(i)) group by id),
+queue as materialized (select p.id, p.us, p.key, case when len(toks) >= 3 then sig end sig, dense_rank() over (order by rule_id, host, user_norm) g, row_number() over (partition by rule_id, host, user_norm order by us, p.id) k from pool p join signed using (id)),
+steps(g, k, id, owner, held) as (
+  select distinct g, 0::bigint, null::bigint, null::bigint, []::struct(us bigint, id bigint, key varchar, sig bigint[])[] from queue
+  union all
+  select g, k, id, owner, list_concat(list_filter(held, lambda h: us - h.us <= 300000000), case when owner is null then [struct_pack(us := us, id := id, key := key, sig := sig)] else [] end) from (
+    select q.g, q.k, q.id, q.us, q.key, q.sig, s.held, coalesce(list_filter(s.held, lambda h: h.key = q.key)[1].id,
+      list_filter(s.held, lambda h: q.sig is not null and h.sig is not null and q.us - h.us <= 300000000 and list_sum(list_transform(list_zip(h.sig, q.sig), lambda x: (x[1] = x[2])::int)) / 64.0 >= 0.9)[1].id) owner
+    from steps s join queue q on q.g = s.g and q.k = s.k + 1)),
+marks as materialized (select s.id, q.key, s.owner from steps s join queue q using (id) where s.k > 0)"""
+
+
+@query(f"with recursive {_greedy_sql('select id, rule_id, host, user_norm, process_uid, epoch_us(ts) us, command_line from alerts')} select id, key dedup_key, owner is not null is_duplicate, owner canonical_id from marks")
 def near_dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.mark_greedy(table(spark, sf_dir, "alerts"))
 
 
+@query("""with s as (select id, rule_id, host, user_norm, epoch_us(ts) us, """ + _SIGNED_LIST + """ sig from alerts where command_line is not null)
+select a.id id_a, b.id id_b, round(list_sum(list_transform(list_zip(a.sig, b.sig), lambda x: (x[1] = x[2])::int)) / 64.0, 6) similarity
+from s a join s b on a.rule_id = b.rule_id and a.host is not distinct from b.host and a.user_norm is not distinct from b.user_norm and a.id < b.id and abs(a.us - b.us) <= 300000000""")
+def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated similarity of the command lines of alerts of one rule, host and user within 300 s of each other."""
+    rows = table(spark, sf_dir, "alerts").where("command_line is not null")
+    return dedup.similar_pairs(rows).select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"{_DETECT}, {_KEYED} select alert_id::bigint id, id event_id, canon::bigint canonical_id, first_value(incident_id) over (partition by dedup_key order by ts, alert_id) incident_id from marked")
 def attach_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = _marked(spark, sf_dir)
@@ -233,7 +304,7 @@ _SESSIONS = _beacon_sql("select host, process_uid, dst_peer, dst_port, id, epoch
 select rule_id, severity, count(*)::bigint n from (select rule_id, severity from hits where rule_id <> 'CUR-013' or ts is null union all select 'CUR-013', severity from sessions) group by all""")
 def pipeline_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts by rule as the pipeline raises them: rule_counts counts hits, here connections count by session."""
-    return pipeline.found_alerts(table(spark, sf_dir, "telemetry")).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return pipeline.found_alerts(_hits(spark, sf_dir)).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_beacon_sql("select event_type, user_id, event_id id, epoch_us(ts) at_us from events", "event_type, user_id", 86400))
@@ -260,10 +331,7 @@ def correlate_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", "n", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"))
 
 
-@query(f"""with recursive {_FIELDS}, {_HITS}, {_KEYED},
-c as (select alert_id id, rule_id, epoch(ts) t, epoch_us(ts) us, host, user_norm, process_uid, file_path, list_filter([src_peer, dst_peer], lambda x: x is not null) ips, {_TELLING} telling,
-  coalesce(rule_id = 'CUR-021' and user_norm like '%$' and upper(rtrim(user_norm, '$')) = host, false) own from marked where canon = alert_id),
-e as (select a.id a, b.id b from c a join c b on b.us >= a.us and b.us - a.us <= 3600000000 and a.id <> b.id where
+_LINKED = """e as (select a.id a, b.id b from c a join c b on b.us >= a.us and b.us - a.us <= 3600000000 and a.id <> b.id where
   (a.process_uid = b.process_uid and b.us - a.us <= 900000000)
   or (a.telling and b.telling and a.user_norm = b.user_norm and b.us - a.us <= 1800000000)
   or (list_has_any(a.ips, b.ips) and b.us - a.us <= 1800000000)
@@ -271,26 +339,31 @@ e as (select a.id a, b.id b from c a join c b on b.us >= a.us and b.us - a.us <=
   or (a.file_path = b.file_path and b.us - a.us > 1800000000)),
 both_ways as (select a, b from e union select b, a from e),
 walk(id, root) as (select id, id from c union select b, root from walk join both_ways on a = id),
-parts as (select id, min(root) component from walk group by id)
+parts as (select id, min(root) component from walk group by id)"""
+
+
+@query(f"""with recursive {_FIELDS}, {_HITS}, {_KEYED},
+c as (select alert_id id, rule_id, epoch_us(ts) us, host, user_norm, process_uid, file_path, list_filter([src_peer, dst_peer], lambda x: x is not null) ips, {_TELLING} telling,
+  coalesce(rule_id = 'CUR-021' and user_norm like '%$' and upper(rtrim(user_norm, '$')) = host, false) own from marked where canon = alert_id),
+{_LINKED}
 select m.alert_id::bigint id, p.component::bigint component from marked m join parts p on p.id = m.canon""")
 def correlate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts = write_read(_marked(spark, sf_dir), "alerts")
     return correlate.correlate(alerts)
 
 
-_CLUSTER = f"""{_DETECT}, rolled as (
-  select incident_id, min(ts) first_seen, max(ts) last_seen, count(*)::bigint raw_alert_count, coalesce(list_sort(list_distinct(list(host) filter (host is not null and host <> '-'))), []) hosts,
+_ROLLED = """select {group}, min(ts) first_seen, max(ts) last_seen, count(*)::bigint raw_alert_count, coalesce(list_sort(list_distinct(list(host) filter (host is not null and host <> '-'))), []) hosts,
     coalesce(list_sort(list_distinct(list(user_norm) filter (user_norm not like '%$'))), []) users, list_sort(list_distinct(list(rule_id))) rules, list_sort(list_distinct(list(tactic))) tactics, bool_or(severity in ('high', 'critical')) severe
-  from hits where incident_id is not null group by incident_id)"""
+  from {rows} group by {group}"""
+_CLUSTER = f"{_DETECT}, rolled as ({_ROLLED.format(group='incident_id', rows='(select * from hits where incident_id is not null)')})"
 _SCORE = """least(100, (case when list_has_any(rules, ['CUR-005', 'CUR-018']) then 30 else 0 end) + (case when len(hosts) > 1 then 25 else 0 end)
   + (case when list_has_any(rules, ['CUR-012', 'CUR-017', 'CUR-021']) then 20 else 0 end) + (case when list_has_any(rules, ['CUR-004', 'CUR-013']) then 15 else 0 end)
   + (case when list_has_any(rules, ['CUR-006', 'CUR-007', 'CUR-008', 'CUR-009', 'CUR-010', 'CUR-014']) then 10 else 0 end) + least(20, greatest(0, len(tactics) - 1) * 5))"""
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "telemetry")
-    owners = events.select(F.col("id").alias("event_id"), "incident_id").where("incident_id is not null")
-    return rules.detect(events).join(owners, "event_id")
+    owners = table(spark, sf_dir, "telemetry").select(F.col("id").alias("event_id"), "incident_id").where("incident_id is not null")
+    return _hits(spark, sf_dir).join(owners, "event_id")
 
 
 @query(f"{_CLUSTER} select incident_id, epoch_us(first_seen) first_us, epoch_us(last_seen) last_us, raw_alert_count, array_to_string(hosts, ',') hosts, array_to_string(users, ',') users, array_to_string(rules, ',') rules from rolled")
@@ -304,7 +377,26 @@ def incident_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incident.incidents(_clustered(spark, sf_dir), "incident_id").select("incident_id", "priority", "status")
 
 
-@query()
+_EVIDENCE = f"""ids as (select distinct id, uid from (select id, unnest([u1, u2, u3]) uid from f) where uid is not null), pids as (select distinct id, uid from (select id, unnest([q1, q2, q3]) uid from f) where uid is not null),
+z as (select distinct al.grp, f.id, f.ts, f.host, f.user_norm, f.own_uid from al join f on f.id = al.id), span as (select grp, min(ts) lo, max(ts) hi from z group by grp), u as (select distinct grp, own_uid uid from z where own_uid is not null),
+t1 as (select distinct u.grp, f.id from u join span s using (grp) join ids using (uid) join f on f.id = ids.id where f.ts between s.lo - interval 60 second and s.hi + interval 60 second),
+t2 as (select grp, id from (select s.grp, f.id, row_number() over (partition by s.grp, f.host, f.user_norm order by f.ts, f.id) n from (select distinct grp, host, user_norm from z where host is not null and {_TELLING}) u
+  join span s using (grp) join f on f.host = u.host and f.user_norm = u.user_norm and f.ts between s.lo - interval 30 second and s.hi + interval 30 second and f.code not in ('4656', '4658', '4663', '4690')) where n <= 60),
+t3 as (select distinct u.grp, pids.id from u join pids using (uid)),
+best as (select grp, id, min(tier) tier from (select grp, id, 0 tier from z union all select grp, id, 1 from t1 union all select grp, id, 2 from t2 union all select grp, id, 3 from t3) group by grp, id),
+ranked as (select b.*, row_number() over (partition by b.grp order by tier, f.ts, b.id) rn from best b join f on f.id = b.id),
+kept as (select grp, id, tier from ranked where tier = 0 or rn <= 250)"""
+_PIPELINE = f"""{_DETECT.replace("with ", "with recursive ", 1)}, sess as materialized ({_SESSIONS}),
+raised as (select id, rule_id, severity, ts from hits where rule_id <> 'CUR-013' or ts is null union all select first_id, 'CUR-013', severity, make_timestamptz(first_us) from sess),
+numbered as materialized (select row_number() over (order by r.ts, r.rule_id, r.id) alert_id, r.severity, h.* exclude (severity) from raised r join hits h using (id, rule_id)),
+{_greedy_sql("select alert_id id, rule_id, host, user_norm, process_uid, epoch_us(ts) us, command command_line from numbered")},
+c as materialized (select alert_id id, rule_id, epoch_us(ts) us, host, user_norm, process_uid, file_path, list_filter([src_peer, dst_peer], lambda x: x is not null) ips, {_TELLING} telling,
+  coalesce(rule_id = 'CUR-021' and user_norm like '%$' and upper(rtrim(user_norm, '$')) = host, false) own from numbered n join marks m on m.id = n.alert_id where m.owner is null),
+{_LINKED},
+told as materialized (select n.*, m.key, m.owner, p.component from numbered n join marks m on m.id = n.alert_id join parts p on p.id = coalesce(m.owner, m.id))"""
+
+
+@query(f"{_PIPELINE} select alert_id::bigint id, id event_id, rule_id, severity, key dedup_key, owner is not null is_duplicate, owner::bigint canonical_id, component::bigint component from told")
 def pipeline_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pipeline's alerts with their marks and the component that each, duplicates too, belongs to."""
     done = pipeline.run(spark, sf_dir)
@@ -312,10 +404,13 @@ def pipeline_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "event_id", "rule_id", "severity", "dedup_key", "is_duplicate", "canonical_id", "component")
 
 
-@query()
+@query(f"""{_PIPELINE}, al as (select distinct component grp, id from told), {_EVIDENCE},
+rolled as ({_ROLLED.format(group="component", rows="told")})
+select component::bigint incident, epoch_us(first_seen) first_us, epoch_us(last_seen) last_us, raw_alert_count, (select count(*) from kept k where k.grp = component)::bigint event_count, ({_SCORE})::int priority,
+  case when ({_SCORE}) > 0 and (raw_alert_count >= 3 or severe) then 'open' else 'suppressed' end status, array_to_string(hosts, ',') hosts from rolled""")
 def pipeline_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pipeline.run(spark, sf_dir).incidents
-    return rows.select("incident", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "raw_alert_count", "priority", "status", F.array_join("hosts", ",").alias("hosts"))
+    return rows.select("incident", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "raw_alert_count", "event_count", "priority", "status", F.array_join("hosts", ",").alias("hosts"))
 
 
 @query("select incident_id, id, row_number() over (partition by incident_id order by ts, coalesce(event_code, ''), id) as position from telemetry where incident_id is not null")
@@ -324,7 +419,10 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("incident_id", "id", F.col("position").cast("bigint").alias("position"))
 
 
-_THINGS = f"""with n as (select id, ts, incident_id, {_host('host')} h, {_user('user_name')} u, {_path('process_name')} p, {_path('parent_process')} pp, {_path('file_path')} f, {_ip('dst_ip')} d, {_ip('src_ip')} s from telemetry where incident_id is not null)"""
+_THINGS = f"""with docs as (select *, {_DOC} o from telemetry where incident_id is not null),
+n as (select id, ts, incident_id, {_host(_f('host', '$.device.hostname', '$.unmapped.Hostname'))} h, {_user(_f('user_name', '$.actor.user.name', '$.unmapped.User', '$.unmapped.SubjectUserName'))} u,
+  {_path(_f('process_name', '$.process.file.path', '$.unmapped.Image', '$.unmapped.NewProcessName'))} p, {_path(_f('parent_process', '$.process.parent_process.file.path', '$.unmapped.ParentImage'))} pp,
+  {_path(_f('file_path', '$.file.path', '$.unmapped.TargetFilename'))} f, {_ip(_f('dst_ip', '$.dst_endpoint.ip'))} d, {_ip(_f('src_ip', '$.src_endpoint.ip'))} s from docs)"""
 _EACH = " union all ".join(f"select incident_id, id, ts, '{kind}' kind, {c} as value from n where {c} is not null" for c, kind in (("h", "host"), ("u", "user"), ("p", "process"), ("pp", "process"), ("f", "file"), ("d", "ip"), ("s", "ip")))
 _LINKS = " union all ".join(
     f"select incident_id, id, '{ka}' src_kind, {a} src_value, '{kb}' dst_kind, {b} dst_value, '{name}' relation from n where {a} is not null and {b} is not null and {extra}"
@@ -332,34 +430,52 @@ _LINKS = " union all ".join(
 )
 
 
-@query(f"{_THINGS} select incident_id, kind, value, epoch_us(min(ts)) first_us, epoch_us(max(ts)) last_us, count(distinct id)::bigint n_events, min(id) first_id from ({_EACH}) group by incident_id, kind, value")
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "telemetry").where("incident_id is not null")
+
+
+def _entity_id_sql(kind: str, value: str) -> str:
+    return f"sha256(concat_ws('|', incident_id::varchar, {kind}, {value}))"
+
+
+@query(f"{_THINGS} select incident_id, kind, value, {_entity_id_sql('kind', 'value')} entity_id, epoch_us(min(ts)) first_us, epoch_us(max(ts)) last_us, count(distinct id)::bigint n_events, min(id) first_id from ({_EACH}) group by incident_id, kind, value")
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = incident.entities(table(spark, sf_dir, "telemetry").where("incident_id is not null"), "incident_id")
-    return rows.select("incident_id", "kind", "value", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "n_events", "first_id")
+    rows = incident.entities(_told(spark, sf_dir), "incident_id")
+    return rows.select("incident_id", "kind", "value", "entity_id", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "n_events", "first_id")
 
 
 @query(f"{_THINGS} select distinct incident_id, kind, value, id from ({_EACH})")
 def entity_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incident.entity_events(table(spark, sf_dir, "telemetry").where("incident_id is not null"), "incident_id")
+    return incident.entity_events(_told(spark, sf_dir), "incident_id")
 
 
-@query(f"{_THINGS} select incident_id, src_kind, src_value, dst_kind, dst_value, relation, count(distinct id)::bigint n_events, min(id) first_id from ({_LINKS}) group by all")
+@query(f"{_THINGS} select incident_id, src_kind, src_value, dst_kind, dst_value, relation, count(distinct id)::bigint n_events, min(id) first_id, {_entity_id_sql('src_kind', 'src_value')} src_id, {_entity_id_sql('dst_kind', 'dst_value')} dst_id from ({_LINKS}) group by all")
 def entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incident.entity_edges(table(spark, sf_dir, "telemetry").where("incident_id is not null"), "incident_id")
-
-
-@query(f"""{_DETECT}, al as (select * from hits where incident_id is not null), span as (select incident_id, min(ts) lo, max(ts) hi from al group by incident_id),
-z as (select distinct incident_id, id from al),
-t1 as (select distinct s.incident_id, f.id from (select distinct incident_id, process_uid from al where process_uid is not null) u join span s using (incident_id) join f on f.process_uid = u.process_uid and f.ts between s.lo - interval 60 second and s.hi + interval 60 second),
-t2 as (select incident_id, id from (select s.incident_id, f.id, row_number() over (partition by s.incident_id, f.host, f.user_norm order by f.ts, f.id) n from (select distinct incident_id, host, user_norm from al where host is not null and user_norm is not null) u
-  join span s using (incident_id) join f on f.host = u.host and f.user_norm = u.user_norm and f.ts between s.lo - interval 30 second and s.hi + interval 30 second and f.code not in ('4656', '4658', '4663', '4690')) where n <= 60),
-t3 as (select distinct u.incident_id, f.id from (select distinct incident_id, process_uid from al where process_uid is not null) u join f on f.parent_uid = u.process_uid),
-best as (select incident_id, id, min(tier) tier from (select *, 0 tier from z union all select *, 1 from t1 union all select *, 2 from t2 union all select *, 3 from t3) group by incident_id, id),
-ranked as (select b.*, row_number() over (partition by b.incident_id order by tier, f.ts, b.id) rn, count(*) filter (tier = 0) over (partition by b.incident_id) used from best b join f on f.id = b.id)
-select incident_id, id, tier from ranked where tier = 0 or rn <= 250""")
+    return incident.entity_edges(_told(spark, sf_dir), "incident_id")
+
+
+@query(f"{_THINGS} select distinct incident_id, src_kind, src_value, dst_kind, dst_value, relation, id from ({_LINKS})")
+def entity_edge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incident.entity_edge_events(_told(spark, sf_dir), "incident_id")
+
+
+@query(f"""{_THINGS}, ent as (select distinct incident_id, kind, value, {_entity_id_sql('kind', 'value')} entity_id from ({_EACH}))
+select l.incident_id, a.entity_id src_id, b.entity_id dst_id, relation, count(distinct l.id)::bigint n_events from ({_LINKS}) l
+join ent a on a.incident_id = l.incident_id and a.kind = l.src_kind and a.value = l.src_value join ent b on b.incident_id = l.incident_id and b.kind = l.dst_kind and b.value = l.dst_value group by all""")
+def edge_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with both ends resolved by joins with the entity table."""
+    told = _told(spark, sf_dir)
+    edges = incident.resolved_edges(incident.entity_edges(told, "incident_id"), incident.entities(told, "incident_id"), "incident_id")
+    return edges.select("incident_id", "src_id", "dst_id", "relation", "n_events")
+
+
+@query(f"{_DETECT}, al as (select distinct incident_id grp, id from hits where incident_id is not null), {_EVIDENCE} select grp incident_id, id, tier from kept")
 def evidence_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = rules.event_fields(table(spark, sf_dir, "telemetry")).select("id", "ts", F.col("host_key").alias("host"), "user_norm", "process_uid", "parent_uid", F.col("code").alias("event_code"))
-    return incident.evidence(fields, _clustered(spark, sf_dir), "incident_id")
+    events = table(spark, sf_dir, "telemetry")
+    fields = pipeline.fields_of(events)
+    owners = events.select(F.col("id").alias("event_id"), "incident_id").where("incident_id is not null")
+    alerting = rules.fired(fields, codes=rules.CANDIDATE_CODES).select("event_id").join(owners, "event_id")
+    return incident.evidence(fields, alerting, "incident_id")
 
 
 # --- parsing and normalisation ----------------------------------------------------------------------
@@ -380,27 +496,30 @@ def normalize_process_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "alerts").select("id", process_uid(F.col("process_uid")).alias("process_uid"))
 
 
-_FLAT = "flat as (select id, raw::json r from telemetry where json_valid(raw) and json_type(raw::json) = 'OBJECT' and json_extract(raw::json, '$.Channel') is not null)"
+def _member_sql(name: str) -> str:
+    """A record's text by name in any layout: listed event data (the last of equal names), else event data by key, else the top level."""
+    listed = f"list_filter(case json_type(r, '$.Event.EventData.Data') when 'ARRAY' then json_extract(r, '$.Event.EventData.Data')::json[] when 'OBJECT' then [json_extract(r, '$.Event.EventData.Data')] else [] end, lambda d: json_extract_string(d, '$.Name') = '{name}')[-1]"
+    return f"coalesce(json_extract_string({listed}, '$.Value'), json_extract_string(r, '$.winlog.event_data.{name}'), json_extract_string(r, '$.{name}'))"
 
 
-@query(f"""with {_FLAT}, h as (select id, unnest(string_split(json_extract_string(r, '$.Hashes'), ',')) p, len(list_filter(string_split(json_extract_string(r, '$.Hashes'), ','), lambda x: not regexp_matches(x, '^[^=]+=.+$'))) bad from flat)
-select id, split_part(p, '=', 1) algorithm, substr(p, instr(p, '=') + 1) as value from h where bad = 0""")
-def hashes_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _flat(spark, sf_dir, "Hashes string")
-    return rows.select("id", F.explode(parse.hash_list(F.col("r.Hashes"))).alias("h")).select("id", F.col("h.algorithm").alias("algorithm"), F.col("h.value").alias("value"))
+_RECORDS = f"texts as (select id, {_DOC.replace('ocsf', 'raw')} t from telemetry), records as materialized (select id, t::json r from texts where json_valid(t) and json_type(t::json) = 'OBJECT')"
 
 
-def _flat(spark: SparkSession, sf_dir: str, fields: str) -> DataFrame:
-    rows = table(spark, sf_dir, "telemetry").select("id", F.col("raw")).where(F.col("raw").rlike(r"^\s*\{"))
-    whole = F.from_json("raw", "map<string,string>")
-    return rows.where(F.try_element_at(whole, F.lit("Channel")).isNotNull()).select("id", F.from_json("raw", fields).alias("r"))
+@query(f"""with {_RECORDS}, v as (select id, string_split({_member_sql('Hashes')}, ',') ps from records), h as (select id, unnest(ps) p, len(list_filter(ps, lambda x: not regexp_matches(x, '^[^=]+=.+$'))) bad from v)
+select id, split_part(p, '=', 1) algorithm, substr(p, instr(p, '=') + 1) as value from h where bad = 0""")
+def hashes_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash lists of the source records, in every layout."""
+    rows = with_record(table(spark, sf_dir, "telemetry").select("id", "raw"), "raw", "m")
+    return rows.select("id", F.explode(parse.hash_list(F.try_element_at("m", F.lit("Hashes")))).alias("h")).select("id", F.col("h.algorithm").alias("algorithm"), F.col("h.value").alias("value"))
 
 
-@query(f"""with {_FLAT} select id, case when regexp_matches(p, '^0[xX][0-9a-fA-F]+$') then lower('0x' || substr(p, 3))::bigint else try_cast(case when regexp_matches(p, '^[+-]?[0-9]+$') then p end as bigint) end pid,
-case when regexp_matches(q, '^[0-9]{{1,9}}$') and q::bigint <= 65535 then q::int end port from (select id, json_extract_string(r, '$.ProcessId') p, json_extract_string(r, '$.port') q from flat)""")
+@query(f"""with {_RECORDS}, v as (select id, {_member_sql('ProcessId')} p, {_member_sql('port')} q from records)
+select id, case when regexp_matches(p, '^0[xX][0-9a-fA-F]+$') then try_cast(lower('0x' || substr(p, 3)) as bigint) else try_cast(case when regexp_matches(p, '^[+-]?[0-9]+$') then p end as bigint) end pid,
+case when regexp_matches(q, '^[0-9]+$') and try_cast(q as hugeint) <= 65535 then q::int end port from v""")
 def numeric_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _flat(spark, sf_dir, "ProcessId string, port string")
-    return rows.select("id", parse.number_value(F.col("r.ProcessId")).alias("pid"), parse.port_value(F.col("r.port")).alias("port"))
+    """Process ids and ports of the source records, in every layout."""
+    rows = with_record(table(spark, sf_dir, "telemetry").select("id", "raw"), "raw", "m").where("m is not null")
+    return rows.select("id", parse.number_value(F.try_element_at("m", F.lit("ProcessId"))).alias("pid"), parse.port_value(F.try_element_at("m", F.lit("port"))).alias("port"))
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -414,17 +533,9 @@ def record_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir).withColumns({"file_hashes": F.to_json("file_hashes"), "unmapped": F.to_json("unmapped")}).drop("raw")
 
 
-@query("""with d as (select *, case when json_valid(raw) then case when json_type(raw::json) = 'VARCHAR' then json_extract_string(raw::json, '$') else raw end end r from telemetry),
-v as (select coalesce(json_valid(r) and json_type(r::json) = 'OBJECT', false) ok from d)
-select case when ok then '' else 'unreadable' end reject, count(*)::bigint n from v group by 1""")
-def reject_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_record(table(spark, sf_dir, "telemetry").select("raw"), "raw", "m")
-    return rows.groupBy(F.when(F.col("m").isNotNull(), "").otherwise("unreadable").alias("reject")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query()
-def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records by each reason that record_parse gives; reject_counting tells readable from unreadable ones only."""
+def reject_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by each reason for which record_parse takes none."""
     return reject_counts(_parsed(spark, sf_dir))
 
 
@@ -680,7 +791,7 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.latest_verdicts(rows, "host", "ts", "id").select("host", "id", "event_code", F.unix_micros("ts").alias("ts_us"))
 
 
-@query("""with e as (select incident_id, list(id) ids from telemetry where incident_id is not null group by 1), c as (select incident_id, doc_id, list_transform(regexp_extract_all(text, '\\b[0-9]{1,6}\\b'), lambda x: x::bigint) cited from documents where text is not null and incident_id is not null)
+@query("""with e as (select incident_id, list(id) ids from telemetry where incident_id is not null group by 1), c as (select incident_id, doc_id, list_filter(list_transform(regexp_extract_all(text, '\\b[0-9]+\\b'), lambda x: try_cast(x as bigint)), lambda x: x is not null) cited from documents where text is not null and incident_id is not null)
 select doc_id, array_to_string(list_sort(list_distinct(list_filter(cited, lambda x: list_contains(coalesce(ids, []), x)))), ',') valid from c left join e using (incident_id)""")
 def citation_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text is not null and incident_id is not null")
@@ -716,8 +827,8 @@ def lineitem_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"{_DETECT} select * rename (dst_peer as dst_ip) from ({_SESSIONS})")
 def source_beacons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beacon sessions of the detected script-host connections, by the production window."""
-    hits = rules.detect(table(spark, sf_dir, "telemetry")).where("rule_id = 'CUR-013'")
+    hits = _hits(spark, sf_dir).where("rule_id = 'CUR-013'")
     return _beacons(hits, ["host", "process_uid", "dst_ip", "dst_port"], "event_id", 300)

@@ -200,7 +200,7 @@ def test_sessions_in_any_batches(spark):
 
 
 def test_session_table_keeps_old_states_and_untouched_cells(spark):
-    table = SessionTable(spark, scratch_path(spark, "t"), ["k"], "t", 10, "uid")
+    table = SessionTable(spark, scratch_path(spark, "t"), ["k"], "t", 10, "uid", ("t",))
     day = 86_400_000_000
 
     def batch(*rows):
@@ -230,7 +230,7 @@ def test_two_writers_cannot_publish_one_version(spark):
 
 
 def test_seen_records_of_a_day_are_written_into_one_folder(spark):
-    table = SessionTable(spark, scratch_path(spark, "t"), ["k"], "t", 10, "uid")
+    table = SessionTable(spark, scratch_path(spark, "t"), ["k"], "t", 10, "uid", ("t",))
     table.SEEN_FOLDERS = 2
     for i in range(5):
         rows = spark.createDataFrame([(f"u{j}", "a", 100 * j) for j in range(i + 1)], "uid string, k string, t bigint")

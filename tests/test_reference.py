@@ -78,6 +78,14 @@ def test_every_rule(spark):
     got = {i: {h["rule_id"] for h in hits if h["event_id"] == i} for i in range(len(EVENTS))}
     assert got == {i: e[3] for i, e in enumerate(EVENTS)}
     assert {r for e in EVENTS for r in e[3]} == {r.rule_id for r in rules.RULES}
+    said = {(r["event_id"], r["severity"], r["rule_name"], tuple(r["technique_ids"])) for r in rules.detect(event_rows(spark, EVENTS)).where("rule_id in ('CUR-011', 'CUR-021')").collect()}
+    places = [i for i, e in enumerate(EVENTS) if e[3] & {"CUR-011", "CUR-021"}]
+    assert said == {
+        (places[0], "medium", "WMI Activity Provider Operation", ("T1047",)), (places[1], "medium", "Process Spawned by WMI Provider (wmiprvse.exe)", ("T1047",)),
+        (places[2], "medium", "Network Connection to WinRM Port (5985/5986)", ("T1021.006", "T1059.001")), (places[3], "high", "WinRM Remote Management Host Process Spawned", ("T1021.006",)),
+    }
+    scanned = {h["rule_id"] for h in rules.detect(event_rows(spark, EVENTS), codes=rules.CANDIDATE_CODES).collect()}
+    assert scanned == {r.rule_id for r in rules.RULES} - {"CUR-019"}  # its event has a code that is not scanned
     numbered = rules.number_alerts(rules.detect(event_rows(spark, EVENTS))).orderBy("ts", "rule_id").collect()
     assert [r["id"] for r in numbered] == list(range(1, len(hits) + 1))
 
@@ -142,10 +150,10 @@ def test_pipeline_marks_near_duplicates(spark):
     line = "c:\\programdata\\a.exe " + " ".join(f"word{k}" for k in range(80)) + " 10.0.0.%d"
     start = lambda k, path: ("1", {"host": "H", "process_name": path, "command_line": line % k}, {}, set())
     events = event_rows(spark, [start(1, "c:\\programdata\\a.exe"), start(2, "c:\\programdata\\a.exe")]).withColumn("ts", F.expr("ts + make_interval(0, 0, 0, 0, 0, 0, id * 120)"))
-    marked = pipeline.marked_alerts(events)
+    marked = pipeline.marked_alerts(rules.detect(events))
     assert [(r["id"], r["event_id"], r["is_duplicate"], r["canonical_id"]) for r in marked.orderBy("id").collect()] == [(1, 0, False, None), (2, 1, True, 1)]
     assert {tuple(r) for r in correlate.correlate(marked).collect()} == {(1, 1), (2, 1)}  # no user, process or address in common
-    assert [r["is_duplicate"] for r in pipeline.exact_alerts(events).collect()] == [False, False]
+    assert [r["is_duplicate"] for r in pipeline.exact_alerts(rules.detect(events)).collect()] == [False, False]
 
 
 # --- correlation ---------------------------------------------------------------------------------
@@ -250,22 +258,40 @@ def test_pipeline_gathers_beacons(spark):
     late = ("3", {**connect[1], "dst_ip": "10.0.0.8"}, connect[2], set())
     rows = event_rows(spark, [connect] * 12 + [late] * 3 + [("7045", {"host": "H"}, {}, set()), connect])
     events = rows.withColumn("ts", F.when(F.col("id") < 16, F.col("ts") + F.make_dt_interval(secs=F.col("id") * 9)))
-    got = pipeline.marked_alerts(events).orderBy("event_id").select("event_id", "rule_id", "severity", "dst_ip").collect()
+    got = pipeline.marked_alerts(rules.detect(events)).orderBy("event_id").select("event_id", "rule_id", "severity", "dst_ip").collect()
     # Twelve regular connections are one alert, three to another peer one, the last has no time and stays.
     assert [tuple(r) for r in got] == [(0, "CUR-013", "high", "10.0.0.9"), (12, "CUR-013", "medium", "10.0.0.8"), (15, "CUR-007", "high", None), (16, "CUR-013", "medium", "10.0.0.9")]
 
 
-def test_evidence_budget(spark):
-    events = [Row(id=i, ts=at(i), host="H", user_norm="u", process_uid="P" if i < 40 else None, parent_uid="P" if i > 90 else None, event_code="4656" if i % 2 else "1") for i in range(100)]
-    schema = "id bigint, ts timestamp, host string, user_norm string, process_uid string, parent_uid string, event_code string"
-    alerts = spark.createDataFrame([(1, 5, at(5), "H", "u", "P"), (1, 60, at(60), "H", "u", None)], "incident bigint, event_id bigint, ts timestamp, host string, user_norm string, process_uid string")
-    rows = incident.evidence(spark.createDataFrame(events, schema), alerts, "incident", cap=50, user_cap=12).collect()
+FIELDS = "id bigint, ts timestamp, host_key string, user_norm string, own_uid string, uids array<string>, parent_uids array<string>, code string"
+
+
+def evidence_tiers(spark, events, alerting, **limits):
     tiers = {}
-    for r in rows:
+    rows = incident.evidence(spark.createDataFrame(events, FIELDS), spark.createDataFrame(alerting, "event_id bigint, incident bigint"), "incident", **limits)
+    for r in rows.collect():
         tiers.setdefault(r["tier"], set()).add(r["id"])
+    return tiers
+
+
+def test_evidence_budget(spark):
+    events = [(i, at(i), "H", "u", "P" if i < 40 else None, ["P"] if i < 40 else [], ["P"] if i > 90 else [], "4656" if i % 2 else "1") for i in range(100)]
+    tiers = evidence_tiers(spark, events, [(5, 1), (5, 1), (60, 1), (None, 1)], cap=50, user_cap=12)
     assert tiers[0] == {5, 60} and tiers[1] == set(range(40)) - {5}
     # The user limit counts candidates by time before the tiers are compared; what is left goes by order.
-    assert len(rows) == 50 and tiers.get(2, set()) == set() and tiers[3] == set(range(91, 100))
+    assert sum(map(len, tiers.values())) == 50 and tiers.get(2, set()) == set() and tiers[3] == set(range(91, 100))
+
+
+def test_evidence_windows_and_uids(spark):
+    def event(i, t, user="u", own=None, uids=(), parents=()):
+        return (i, at(t), "H", user, own, list(uids), list(parents), "1")
+
+    events = [event(1, 5000, own="P", uids=["P"]), event(2, 4940, None, uids=["Q", "P"]), event(3, 4939, None, uids=["P"]), event(4, 4970), event(5, 4969), event(6, 90_000, None, parents=["X", "P"]), event(7, 5001, "system")]
+    assert evidence_tiers(spark, events, [(1, 1)]) == {0: {1}, 1: {2}, 2: {4}, 3: {6}}
+    # A built-in account gathers nothing, and an incident at midnight reaches into the hour before.
+    assert evidence_tiers(spark, [event(1, 0, "system"), event(2, 1, "system")], [(1, 1)]) == {0: {1}}
+    assert evidence_tiers(spark, [event(1, 3600, own="P", uids=["P"]), event(2, 3541, None, uids=["P"])], [(1, 1)]) == {0: {1}, 1: {2}}
+    assert evidence_tiers(spark, events, []) == {}
 
 
 def test_entities(spark):
@@ -275,6 +301,26 @@ def test_entities(spark):
     assert {r["relation"] for r in incident.entity_edges(df, "incident").collect()} == {"executed", "connected_to", "authenticated_as"}
 
 
+def test_entities_from_the_document(spark):
+    doc = {"device": {"hostname": "pc1.x"}, "actor": {"user": {"name": "bob"}}, "process": {"file": {"path": "C:\\B.exe"}, "parent_process": {"file": {"path": "c:\\p.exe"}}}, "dst_endpoint": {"ip": "10.9.9.9"}, "unmapped": {"TargetFilename": "c:\\t.txt"}}
+    columns = ["host", "user_name", "process_name", "parent_process", "file_path", "src_ip", "dst_ip"]
+    df = spark.createDataFrame([(7, 1, at(0), *[None] * 7, json.dumps(doc)), (7, 2, at(9), *[None] * 7, "broken")], "incident bigint, id bigint, ts timestamp, " + ", ".join(f"{c} string" for c in columns) + ", ocsf string")
+    things = incident.entities(df, "incident")
+    assert {(r["kind"], r["value"]) for r in things.collect()} == {("host", "PC1"), ("user", "bob"), ("process", "c:\\b.exe"), ("process", "c:\\p.exe"), ("file", "c:\\t.txt"), ("ip", "10.9.9.9")}
+    edges = incident.entity_edges(df, "incident")
+    assert {(r["relation"], r["n_events"]) for r in edges.collect()} == {("executed", 1), ("spawned", 1), ("wrote", 1), ("connected_to", 1), ("authenticated_as", 1)}
+    assert {(r["relation"], r["id"]) for r in incident.entity_edge_events(df, "incident").collect()} == {(r["relation"], 1) for r in edges.collect()}
+    a = {tuple(r) for r in incident.resolved_edges(edges, things, "incident").select("relation", "src_id", "dst_id").collect()}
+    assert a == {tuple(r) for r in edges.select("relation", "src_id", "dst_id").collect()} and len(a) == 5
+    assert incident.resolved_edges(edges, things.where("kind <> 'user'"), "incident").count() == 3
+
+
+def test_similar_pairs(spark):
+    rows = [(1, "R", "H", None, "p", at(0), "one two three four"), (2, "R", "H", None, "p", at(300), "one two three four"), (3, "R", "H", None, "p", at(301), "five six seven"), (4, "R", "H", "u", "p", at(1), "one two three four"), (5, None, "H", None, "p", at(1), "x y"), (6, "R", "H", None, "p", at(0), None)]
+    got = {(r["id_a"], r["id_b"]): r["similarity"] for r in dedup.similar_pairs(spark.createDataFrame(rows, ALERT)).collect()}
+    assert got[1, 2] == 1.0 and set(got) == {(1, 2), (2, 3)} and got[2, 3] < 0.5
+
+
 # --- search --------------------------------------------------------------------------------------
 
 
@@ -474,8 +520,8 @@ def test_values_of_every_layout(spark, tmp_path):
     texts = [json.dumps(d) for d in docs]
     rows = list(enumerate([*texts, json.dumps(texts[0]), "{broken"]))
     spark.createDataFrame(rows, "id bigint, raw string").write.parquet(str(tmp_path / "telemetry.parquet"))
-    assert sorted(map(tuple, reference.numeric_parse_all(spark, str(tmp_path)).collect())) == [(0, 31, 80), (1, 31, 80), (2, 31, 80), (3, 31, 80), (4, None, None)]
-    assert sorted(map(tuple, reference.hashes_parse_all(spark, str(tmp_path)).collect())) == [(i, "MD5", "A") for i in range(4)]
+    assert sorted(map(tuple, reference.numeric_parse(spark, str(tmp_path)).collect())) == [(0, 31, 80), (1, 31, 80), (2, 31, 80), (3, 31, 80)]
+    assert sorted(map(tuple, reference.hashes_parse(spark, str(tmp_path)).collect())) == [(i, "MD5", "A") for i in range(4)]
 
 
 def test_every_reject_reason_is_counted(spark, tmp_path):
@@ -484,7 +530,7 @@ def test_every_reject_reason_is_counted(spark, tmp_path):
     rows = [(f"a/{i}", d, at(0)) for i, d in enumerate(docs)] + [("b/9", docs[0], at(0))]
     spark.createDataFrame(rows, "uid string, raw string, ingested_at timestamp").write.parquet(str(tmp_path / "telemetry.parquet"))
     spark.createDataFrame([("a", "-04:00"), ("b", None)], "dataset string, event_time_offset string").write.parquet(str(tmp_path / "datasets.parquet"))
-    got = {r["reject"]: r["n"] for r in reference.reject_reasons(spark, str(tmp_path)).collect()}
+    got = {r["reject"]: r["n"] for r in reference.reject_counting(spark, str(tmp_path)).collect()}
     assert got == {"": 1, "unreadable": 1, "no channel": 1, "no event number": 1, "no time": 2}  # b has no zone
 
 
