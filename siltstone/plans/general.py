@@ -13,7 +13,7 @@ from siltstone.operators.features import entity_features, features_long
 from siltstone.operators.sessions import SessionTable, split_batches
 from siltstone.operators.shred import entity_table, node_paths, object_nodes, scalar_values, stored_adjacency
 from siltstone.operators.timestamps import clock_zone, normalise
-from siltstone.session import scratch_path, table
+from siltstone.session import scratch_path, table, write_read
 
 SESSION_GAP_US = 1_800_000_000
 
@@ -77,10 +77,12 @@ BUCKET_ENTITIES = 2_000
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # All hosts and the latest time in one scan; rows without a host have a say in the time only.
     rows = table(spark, sf_dir, "telemetry").select(host_key(F.col("host")).alias("host"), F.unix_micros("ts").alias("at_us"))
-    sizes = rows.agg(F.max("at_us").alias("latest"), F.approx_count_distinct("host").alias("hosts")).first()
+    hosts = write_read(rows.groupBy("host").agg(F.max("at_us").alias("at_us")), "hosts")
+    sizes = hosts.agg(F.max("at_us").alias("latest"), F.count(F.lit(1)).alias("hosts")).first()
     buckets = min(math.ceil((sizes["hosts"] + 1) / BUCKET_ENTITIES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return entity_features(_keyed(spark, sf_dir), "host", "event_code", "at_us", sizes["latest"], entities=rows, buckets=buckets)
+    return entity_features(_keyed(spark, sf_dir), "host", "event_code", "at_us", sizes["latest"], entities=hosts, buckets=buckets)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
