@@ -199,14 +199,14 @@ class SessionTable:
         self._fs.delete(self._at(spans), True)
 
 
-def split_batches(events: DataFrame, arrival: str, n: int) -> list[DataFrame]:
+def split_batches(events: DataFrame, arrival: str, n: int, drawn_from: DataFrame | None = None) -> list[DataFrame]:
     """Split into n batches by time of arrival, of about equal size; a null arrival goes to the first.
 
-    One pass over the arrival column draws the cuts and one writes the rows by batch, so that reading a
-    batch reads no other.
+    One pass over the arrival column draws the cuts (of drawn_from, where that is cheaper to read than
+    events) and one writes the rows by batch, so that reading a batch reads no other.
     """
     at = F.unix_micros(F.col(arrival)).cast("double")
-    cuts = events.agg(F.percentile_approx(at, [i / n for i in range(1, n)], 1000).alias("c")).first()["c"] if n > 1 else None
+    cuts = (events if drawn_from is None else drawn_from).agg(F.percentile_approx(at, [i / n for i in range(1, n)], 1000).alias("c")).first()["c"] if n > 1 else None
     if not cuts:
         return [events]
     edges = sorted(set(cuts))

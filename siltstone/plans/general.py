@@ -108,7 +108,7 @@ def p4_found(spark: SparkSession, sf_dir: str, n_batches: int = 3) -> DataFrame:
     )
     events = events.where(F.col("host").isNotNull() & F.col("user_name").isNotNull() & F.col("at_us").isNotNull())
     sessions = SessionTable(spark, scratch_path(spark, "sessions"), ["host", "user_name"], "at_us", SESSION_GAP_US, "uid", ("ingested_at", "id"))
-    for batch in split_batches(events, "ingested_at", n_batches):
+    for batch in split_batches(events, "ingested_at", n_batches, table(spark, sf_dir, "telemetry")):
         sessions.apply(batch)
     return sessions.read().select("host", "user_name", "start_us", "end_us", "n_events")
 
