@@ -52,3 +52,47 @@ def accuracy(recovered: DataFrame, truth: DataFrame) -> DataFrame:
         "precision": F.when(F.col("n_recovered") > 0, F.round((F.col("n_exact") + F.col("n_related")) / F.col("n_recovered"), 4)),
         "recall": F.when(F.col("n_truth") > 0, F.round(F.col("n_truth_matched") / F.col("n_truth"), 4)),
     })
+
+
+def _judged(sentences: DataFrame, verdicts: DataFrame, incidents: DataFrame, supported: bool) -> DataFrame:
+    """Sentences of surfaced incidents with a technique that have a verdict of the given kind."""
+    held = verdicts.where(F.col("supported") == supported).select(F.col("sentence_id").alias("id"))
+    surfaced = incidents.where(F.col("status") != "suppressed").select(F.col("id").alias("incident_id"))
+    return sentences.where(F.col("technique_id").isNotNull()).join(held, "id").join(surfaced, "incident_id")
+
+
+def supported_techniques(sentences: DataFrame, verdicts: DataFrame, incidents: DataFrame) -> DataFrame:
+    """(id): techniques with a supported sentence in an incident that is not suppressed.
+
+    sentences: id, incident_id, technique_id; verdicts: sentence_id, supported (several of one sentence
+    are allowed); incidents: id, status. A null status surfaces nothing.
+    """
+    return _judged(sentences, verdicts, incidents, True).select(F.col("technique_id").alias("id")).distinct()
+
+
+def unsupported_only(sentences: DataFrame, verdicts: DataFrame, incidents: DataFrame) -> DataFrame:
+    """(id): techniques that were claimed but have unsupported sentences only."""
+    claimed = _judged(sentences, verdicts, incidents, False).select(F.col("technique_id").alias("id")).distinct()
+    return claimed.join(supported_techniques(sentences, verdicts, incidents), "id", "left_anti")
+
+
+def justifications(sentences: DataFrame, verdicts: DataFrame, incidents: DataFrame, techniques: DataFrame, cited: DataFrame, events: DataFrame) -> DataFrame:
+    """(technique_id, incident_id, sentence_id, event_id, process_name, command) behind the supported sentences of some techniques.
+
+    techniques: id; cited: sentence_id, event_id; events: id, process_name, command_line, raw. The command
+    is the event's, else its record's command line or message. A sentence that cites nothing has a row
+    without an event.
+    """
+    held = _judged(sentences, verdicts, incidents, True).select("technique_id", "incident_id", F.col("id").alias("sentence_id")).distinct()
+    held = held.join(techniques.select(F.col("id").alias("technique_id")).distinct(), "technique_id").join(cited.select("sentence_id", "event_id").distinct(), "sentence_id", "left")
+    record = F.from_json("raw", "CommandLine string, Message string")
+    command = F.coalesce(*(F.nullif(c, F.lit("")) for c in (F.col("command_line"), record["CommandLine"], record["Message"])), F.lit(""))
+    named = events.select(F.col("id").alias("event_id"), "process_name", F.trim(command).alias("command"))
+    return held.join(named, "event_id", "left").select("technique_id", "incident_id", "sentence_id", "event_id", "process_name", "command")
+
+
+def unverified(sentences: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(incident_id, n_unverified) of incidents with sentences: how many have no verdict."""
+    done = verdicts.select(F.col("sentence_id").alias("id")).distinct().withColumn("_done", F.lit(True))
+    rows = sentences.where(F.col("incident_id").isNotNull()).join(done, "id", "left")
+    return rows.groupBy("incident_id").agg(F.count_if(F.col("_done").isNull()).alias("n_unverified"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,28 @@ def entry_hash(prev: Column, ts: Column, actor: Column, action: Column, detail:
     return F.sha2(F.concat(prev, shown, actor, action, F.coalesce(detail, F.lit("null"))), 256)
 
 
+def chained(rows: DataFrame) -> DataFrame:
+    """Entries (id, ts, actor, action, detail) with `shown`, the time as it is hashed, as a log with their hashes.
+
+    A chain is serial by nature: one task streams the rows in the order of their ids and holds one hash.
+    """
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prev = GENESIS
+        for batch in batches:
+            before, own = [], []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("shown", "actor", "action", "detail"))):
+                shown, actor, action, detail = row
+                before.append(prev)
+                prev = hashlib.sha256((prev + shown + actor + action + (detail if detail is not None else "null")).encode()).hexdigest()
+                own.append(prev)
+            kept = [batch.column(c) for c in ("id", "ts", "actor", "action", "detail")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(before, pa.string()), pa.array(own, pa.string())], ["id", "ts", "actor", "action", "detail", "prev_hash", "hash"])
+
+    kept = rows.select("id", "ts", "actor", "action", "detail", "shown").repartition(1).sortWithinPartitions("id")
+    return kept.mapInArrow(link, SCHEMA)
+
+
 def append(spark: SparkSession, path: str, actor: str, action: str, detail=None, ts: datetime | None = None) -> str:
     """Append one entry to the log at path (Parquet) and return its hash. One writer at a time."""
     ts = (ts or datetime.now(timezone.utc)).astimezone(timezone.utc)

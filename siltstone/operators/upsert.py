@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from siltstone.operators.numbering import numbered
+from siltstone.session import write_read
 
 
 def new_rows(stage: DataFrame, existing: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -17,15 +21,14 @@ def new_rows(stage: DataFrame, existing: DataFrame, key: str, order: list[str])
 
 
 def idempotent_append(stage: DataFrame, path: str, key: str, order: list[str]) -> int:
-    """Append what is new to the table at path; returns how many rows were. A repeat appends nothing."""
+    """Append what is new to the table at path; returns how many rows were. A repeat appends nothing.
+
+    One writer at a time: two at once may both append a record that neither has seen.
+    """
     spark = stage.sparkSession
-    try:
-        existing = spark.read.schema(stage.schema).parquet(path)
-        fresh = new_rows(stage, existing, key, order)
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        fresh = new_rows(stage, stage.limit(0), key, order)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    fresh = new_rows(stage, spark.read.schema(stage.schema).parquet(path) if there else stage.limit(0), key, order)
     from pyspark.sql import Observation
 
     seen = Observation()
@@ -85,3 +88,26 @@ def compare_content(stored: DataFrame, source: DataFrame, key: str, content: str
         F.count_if(F.col("_ib").isNull()).alias("n_extra"),
         F.count_if(F.col("_ia").isNotNull() & F.col("_ib").isNotNull() & ~F.col("_a").eqNullSafe(F.col("_b"))).alias("n_different"),
     )
+
+
+def upsert_incidents(existing: DataFrame, found: DataFrame) -> DataFrame:
+    """Incidents after a new run: id, the columns of found, and `change` ('insert' or 'update').
+
+    An incident is the same where its first_seen and its set of hosts are. It keeps its id (the greatest,
+    if several have the same key); new ones are numbered on from the greatest id there is, by first_seen
+    and hosts. existing: id, first_seen, hosts; found: first_seen, hosts and more, a row per incident.
+    """
+    key = F.array_join(F.array_sort(F.coalesce("hosts", F.array().cast("array<string>"))), "\x00")
+    old = existing.groupBy("first_seen", key.alias("_key")).agg(F.max("id").alias("_old"))
+    rows = found.drop("id").withColumn("_key", key).alias("n").join(old.alias("o"), F.col("n.first_seen").eqNullSafe(F.col("o.first_seen")) & (F.col("n._key") == F.col("o._key")), "left").select("n.*", "_old")
+    rows = write_read(rows, "incidents")
+    last = existing.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).first()[0]
+    new = numbered(rows.where("_old is null"), ["first_seen", "_key"], "id").withColumns({"id": F.col("id") + F.lit(last), "change": F.lit("insert")})
+    kept = rows.where("_old is not null").withColumns({"id": F.col("_old"), "change": F.lit("update")})
+    return kept.unionByName(new).drop("_key", "_old")
+
+
+def clear_tables(spark: SparkSession, schemas: dict[str, StructType]) -> None:
+    """Make tables empty that are derived anew on every run; schemas are by path. Other tables, as incidents, stay."""
+    for path, schema in schemas.items():
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)

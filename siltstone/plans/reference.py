@@ -11,6 +11,8 @@ from siltstone.functions.event_text import event_line
 from siltstone.functions.keys import host_key, user_key
 from siltstone.functions.normalize import is_correlating_user, is_machine_account, process_uid, routable_ip, windows_path
 from siltstone.operators import accuracy, audit, beacon, correlate, dedup, incident, rules, search, upsert, validate
+from siltstone.operators.numbering import numbered
+from siltstone.operators.timestamps import pinned
 from siltstone.plans import pipeline
 from siltstone.session import table, write_read
 from siltstone.sources.records import parse_records, reject_counts, with_record
@@ -583,24 +585,23 @@ def filter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _vectors(spark: SparkSession, sf_dir: str, ids: list[int]) -> list[tuple[int, list[float]]]:
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(ids)).select("vec_id", "embedding").collect()
-    return [(r["vec_id"], list(r["embedding"])) for r in rows]
+_COS = "1 - list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::double * p[2]::double)) / (sqrt(list_sum(list_transform(e.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(q.embedding, lambda x: x::double * x::double))))"
+_NEAR = f"near as (select q.vec_id query_id, e.vec_id, {_COS} distance from embeddings e, embeddings q where q.vec_id % 50 = 0), best as (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from near)"
 
 
-_QUERY_IDS = [0, 7, 42, 99, 123]
-_COS = "1 - list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::double * p[2]::double)) / (sqrt(list_sum(list_transform(e.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(q.embedding, lambda x: x::double * x::double))))"
-_NEAR = f"near as (select q.vec_id query_id, e.vec_id, {_COS} distance from embeddings e, embeddings q where q.vec_id in ({', '.join(map(str, _QUERY_IDS))})), best as (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from near)"
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return search.vector_topk_all(rows, "vec_id", "embedding", rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
 
 
 @query(f"with {_NEAR} select query_id, vec_id, rank::int as rank, round(distance, 6) + 0.0 distance from best where rank <= 50")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = search.vector_topk_batch(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _vectors(spark, sf_dir, _QUERY_IDS))
-    return out.select("query_id", "vec_id", "rank", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
+    """Every vector whose id is divisible by 50 as a query."""
+    return _near(spark, sf_dir).select("query_id", "vec_id", "rank", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
 
 
 _TEXT_QUERY = "encoded powershell script observed on the endpoint during shift handover"
-_STOP = "[" + ", ".join(f"'{w}'" for w in search.STOP_WORDS) + "]"
+_STOP = "['a','an','and','are','as','at','be','by','for','from','in','is','it','no','not','of','on','or','that','the','this','to','was','were','with']"
 _STEMS = rf"list_transform(list_filter(regexp_extract_all(lower({{t}}), '[\p{{{{L}}}}\p{{{{N}}}}]{{{{2,}}}}'), lambda w: not list_contains({_STOP}, w)), lambda w: regexp_replace(w, '^(.{{{{3,}}}}?)(?:ing|ed|es|s|e)$', '\1'))".replace("{{{{", "{{").replace("}}}}", "}}")
 _KEYWORD = f"""q as (select list_distinct({_STEMS.format(t="'" + _TEXT_QUERY + "'")}) w), st as (select doc_id, {_STEMS.format(t="text")} s from documents where text is not null),
 kw as (select doc_id, round(len(list_distinct(h)) + len(h) / (len(h) + len(s)), 9) score from (select doc_id, s, list_filter(s, lambda x: list_contains(w, x)) h from st, q) where len(h) > 0),
@@ -612,72 +613,74 @@ def keyword_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.keyword_rank(table(spark, sf_dir, "documents"), "doc_id", "text", _TEXT_QUERY)
 
 
-@query(f"""with {_KEYWORD}, {_NEAR}, v as (select vec_id doc_id, row_number() over (order by distance, vec_id) as rank from near where query_id = 42 order by distance, vec_id limit 50)
-select doc_id, round(score, 9) score, row_number() over (order by score desc, doc_id)::int as rank from (
-  select doc_id, coalesce(1.0::double / (60 + v.rank), 0) + coalesce(1.0::double / (60 + kr.rank), 0) score from v full outer join kr using (doc_id) order by score desc, doc_id limit 20)""")
-def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vector = _vectors(spark, sf_dir, [42])[0][1]
-    near = search.vector_topk(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "embedding", vector)
-    words = search.keyword_rank(table(spark, sf_dir, "documents"), "doc_id", "text", _TEXT_QUERY)
-    return search.reciprocal_rank_fusion(near, words, "doc_id", 20).withColumn("score", F.round("score", 9))
-
-
-_NEAR_ALL = _NEAR.replace(f"q.vec_id in ({', '.join(map(str, _QUERY_IDS))})", "q.vec_id % 50 = 0")
 _KEYWORD_ALL = f"""st as (select doc_id, {_STEMS.format(t="text")} s from documents where text is not null), qs as (select doc_id query_id, list_distinct(s) w from st where doc_id % 50 = 0),
 kw as (select query_id, doc_id, round(len(list_distinct(h)) + len(h) / (len(h) + len(s)), 9) score from (select query_id, doc_id, s, list_filter(s, lambda x: list_contains(w, x)) h from st, qs) where len(h) > 0),
 kr as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from kw) where rank <= 50)"""
 
 
-def _all_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    return search.vector_topk_all(rows, "vec_id", "embedding", rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-
-
-@query(f"with {_NEAR_ALL} select query_id, vec_id, rank::int as rank, round(distance, 6) + 0.0 distance from best where rank <= 50")
-def vector_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector whose id is divisible by 50 as a query."""
-    return _all_near(spark, sf_dir).select("query_id", "vec_id", "rank", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
-
-
-@query(f"""with {_KEYWORD_ALL}, {_NEAR_ALL}, v as (select query_id, vec_id doc_id, rank from best where rank <= 50), s as (
+@query(f"""with {_KEYWORD_ALL}, {_NEAR}, v as (select query_id, vec_id doc_id, rank from best where rank <= 50), s as (
   select query_id, doc_id, coalesce(1.0::double / (60 + v.rank), 0) + coalesce(1.0::double / (60 + kr.rank), 0) score from v full outer join kr using (query_id, doc_id))
 select query_id, doc_id, round(score, 9) score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) where rank <= 20""")
-def hybrid_rrf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every id divisible by 50 as a query, by its vector and its document's text, where it has them."""
     docs = table(spark, sf_dir, "documents")
     words = search.keyword_rank_all(docs, "doc_id", "text", docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text"))
-    out = search.reciprocal_rank_fusion(_all_near(spark, sf_dir).withColumnRenamed("vec_id", "doc_id"), words, "doc_id", 20, by=["query_id"])
+    out = search.reciprocal_rank_fusion(_near(spark, sf_dir).withColumnRenamed("vec_id", "doc_id"), words, "doc_id", 20, by=["query_id"])
     return out.withColumn("score", F.round("score", 9))
 
 
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '\b[\w.-]+\.quillmere\.example\b', '', 'gi'), '\b\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?::\d+)?\b', '', 'g'), '\b\d{{1,2}}:\d{{2}}(?::\d{{2}})?(?:\.\d+)?\b', '', 'g'), '\s+', ' ', 'g'))"
-_CODE_MAP = "case event_code " + " ".join(f"when '{k}' then '{v}'" for k, v in search.CODE_WORDS.items()) + " end"
+# Fixed values, written out again for the SQL: what ports and event codes stand for, and words that ask for more terms.
+_PORT_SQL = """case when port in (80, 8080, 8000) then 'HTTP web protocols web traffic application layer' when port in (443, 8443) then 'HTTPS TLS HTTP web protocols web traffic application layer communication'
+when port = 53 then 'DNS' when port = 445 then 'SMB Windows admin shares file sharing' when port = 5985 then 'WinRM Windows Remote Management remote services PowerShell remoting'
+when port = 5986 then 'WinRM Windows Remote Management remote services PowerShell remoting HTTPS' when port = 3389 then 'RDP remote desktop remote services' when port = 135 or port between 49152 and 65535 then 'RPC DCOM'
+when port in (88, 464) then 'Kerberos' when port in (389, 636) then 'LDAP directory' end"""
+_CODE_SQL = """case event_code when '1' then 'process creation execution' when '3' then 'network connection' when '10' then 'process access memory credential' when '11' then 'file creation' when '12' then 'registry modification'
+when '13' then 'registry modification' when '4688' then 'process creation' when '4697' then 'service installation persistence' when '7045' then 'service installation persistence' when '4698' then 'scheduled task persistence'
+when '5140' then 'network share access' when '5145' then 'network share access' when '4104' then 'script block PowerShell execution' end"""
+_ASKED_SQL = [
+    ("‮|â€®|right-to-left|rtlo", "right-to-left override RTLO unicode filename reversal masquerading"),
+    ("sdelete|del |erase|remove-item|wevtutil|cipher /w|secure-delet|destroy evidence|evidence destruction", "indicator removal file deletion anti-forensics evidence destruction secure delete"),
+    (r"downloadfile|downloadstring|invoke-webrequest|certutil -urlcache|certutil -f|bitstransfer|start-bitstransfer|webclient|net\.webclient", "ingress tool transfer download file remote host tool staging T1105 lateral tool transfer"),
+    ("wsmprovhost|5985|5986|winrm|wsman|powershell remoting", "windows remote management WinRM remote services lateral movement T1021.006 PowerShell remoting wsmprovhost"),
+    ("zip|rar|compress|createfromdirectory|stage|staging|poshspy|zipfile|archive", "data staged local data staging collection archive compress T1074"),
+]
+
+
+@query(f"""with docs as (select id, command_line, process_name, file_path, event_code, {_DOC} o from telemetry where command_line is not null),
+e as (select *, case when regexp_matches(json_extract_string(o, '$.dst_endpoint.port'), '^[0-9]{{1,9}}$') then json_extract_string(o, '$.dst_endpoint.port')::int end port, json_extract_string(o, '$.unmapped.ShareName') share from docs),
+t as (select id, command_line, list_filter([case when process_name <> '' then {_CLEAN.format(c='process_name')} end, case when substr(command_line, 1, 120) <> '' then {_CLEAN.format(c='substr(command_line, 1, 120)')} end,
+  case when file_path <> '' then {_CLEAN.format(c='file_path')} end, case when share <> '' then {_CLEAN.format(c='share')} end, {_PORT_SQL}, {_CODE_SQL}], lambda x: x is not null) terms from e),
+w as (select *, lower(command_line || ' ' || array_to_string(terms, ' ')) spoken from t),
+k as (select *, list_filter(terms, lambda x: not (regexp_matches(spoken, '{_ASKED_SQL[1][0]}') and contains(x, 'process creation'))) kept from w)
+select id, trim({_CLEAN.format(c='command_line')} || ' ' || concat_ws(' ', {", ".join(f"case when regexp_matches(spoken, '{words}') then '{terms}' end" for words, terms in _ASKED_SQL)}) || ' '
+  || array_to_string((list_filter(kept, lambda x, i: list_position(kept, x) = i))[1:20], ' ')) as query from k""")
+def query_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The retrieval query of every command line, enriched from its own event."""
+    columns = ["id", "command_line", "process_name", "file_path", "event_code"]
+    rows = rules.with_document(table(spark, sf_dir, "telemetry").where("command_line is not null"), columns)
+    port = F.when(F.col("o.dst_endpoint.port").rlike(r"^\d{1,9}$"), F.col("o.dst_endpoint.port").cast("int"))
+    share = F.try_element_at("o.unmapped", F.lit("ShareName"))
+    rows = pinned(rows, {"terms": search.context_terms(F.col("process_name"), F.col("command_line"), F.col("file_path"), port, F.col("event_code"), share, "quillmere.example")})
+    return rows.select("id", search.enriched_query(F.col("command_line"), F.col("terms"), "quillmere.example").alias("query"))
 
 
-@query(f"""select id, trim(concat_ws(' ', {_CLEAN.format(c='command_line')}, array_to_string(list_filter([nullif({_CLEAN.format(c='process_name')}, ''), {_CODE_MAP}], lambda x: x is not null), ' '))) as query
-from telemetry where command_line is not null""")
-def query_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "telemetry").where("command_line is not null")
-    text = search.cleaned_query(F.col("command_line"), "quillmere.example")
-    terms = F.array(search.cleaned_query(F.col("process_name"), "quillmere.example"))
-    return rows.select("id", search.enriched_query(text, terms, F.lit(None).cast("array<int>"), F.array("event_code")).alias("query"))
+@query("""select rule_id, 'Represent this sentence for searching relevant passages: ' || rule_name as query, rule_name || '. ' || severity as passage from detection_rules""")
+def retrieval_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is embedded of a query and of a passage."""
+    rows = table(spark, sf_dir, "detection_rules")
+    return rows.select("rule_id", search.query_text(F.col("rule_name")).alias("query"), search.passage_text(F.col("rule_name"), F.col("severity")).alias("passage"))
 
 
 # --- audit, accuracy, sinks --------------------------------------------------------------------------
 
 
 def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An audit log of the incidents' creation, hashed in order."""
-    import hashlib
-
-    rows = table(spark, sf_dir, "incidents").select("id", "created_at", "status", "priority", F.date_format(F.to_utc_timestamp("created_at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("shown")).orderBy("id")
-    prev, out = audit.GENESIS, []
-    for r in rows.toLocalIterator():
-        detail = audit.canonical_json({"incident": r["id"], "priority": r["priority"]})
-        digest = hashlib.sha256((prev + r["shown"] + "+00:00" + "pipeline" + (r["status"] or "") + detail).encode()).hexdigest()
-        out.append((r["id"], r["created_at"], "pipeline", r["status"] or "", detail, prev, digest))
-        prev = digest
-    return spark.createDataFrame(out, audit.SCHEMA)
+    """An audit log of the incidents' creation. Each hash needs the one before: one task streams the sorted rows."""
+    shown = F.concat(F.date_format(F.to_utc_timestamp("created_at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    detail = F.concat(F.lit('{"incident":'), F.col("id").cast("string"), F.lit(',"priority":'), F.coalesce(F.col("priority").cast("string"), F.lit("null")), F.lit("}"))
+    rows = table(spark, sf_dir, "incidents").select("id", F.col("created_at").alias("ts"), F.lit("pipeline").alias("actor"), F.coalesce("status", F.lit("")).alias("action"), detail.alias("detail"), shown.alias("shown"))
+    return write_read(audit.chained(rows), "chain")
 
 
 @query("select 'intact' variant, true ok, count(*)::bigint n_entries, null::bigint broken_at from incidents union all select 'tampered', false, count(*)::bigint, 2 from incidents")
@@ -712,10 +715,88 @@ def accuracy_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"with {_RECOVERED}, {_MATCH} select id from tru where id not in (select truth_id from m where truth_id is not null)")
-def not_in_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def missed_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accuracy.missed(*_recovered(spark, sf_dir))
 
 
+# Alerts stand in for sentences, their grades for verdicts: there is no table of either.
+_JUDGED = """s as (select id, incident_id, event_id, unnest(technique_ids) technique_id from alerts), v as (select id sentence_id, severity in ('high', 'critical') supported from alerts where severity <> 'low'),
+j as (select s.*, v.supported from s join v on v.sentence_id = s.id join incidents i on i.id = s.incident_id and i.status <> 'suppressed')"""
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    alerts = table(spark, sf_dir, "alerts")
+    verdicts = alerts.where("severity <> 'low'").select(F.col("id").alias("sentence_id"), F.col("severity").isin("high", "critical").alias("supported"))
+    return alerts.select("id", "incident_id", F.explode("technique_ids").alias("technique_id")), verdicts, table(spark, sf_dir, "incidents").select("id", "status")
+
+
+@query(f"with {_JUDGED} select distinct technique_id id from j where supported")
+def supported_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accuracy.supported_techniques(*_sentences(spark, sf_dir))
+
+
+@query(f"with {_JUDGED} select distinct technique_id id from j where not supported and technique_id not in (select technique_id from j where supported)")
+def not_in_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Techniques claimed by unsupported sentences only."""
+    return accuracy.unsupported_only(*_sentences(spark, sf_dir))
+
+
+@query(f"""with {_JUDGED}, known as (select distinct unnest(technique_ids) id from detection_rules where severity = 'critical'), beyond as (select distinct technique_id id from j where supported and technique_id not in (select id from known))
+select distinct j.technique_id, j.incident_id, j.id sentence_id, e.id event_id, e.process_name, trim(coalesce(nullif(e.command_line, ''), case when json_valid(e.raw) then coalesce(nullif(json_extract_string(e.raw, '$.CommandLine'), ''), nullif(json_extract_string(e.raw, '$.Message'), '')) end, '')) command
+from j join beyond b on b.id = j.technique_id join telemetry e on e.id = j.event_id where supported""")
+def technique_justifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commands behind supported techniques that no critical rule names."""
+    judged = _sentences(spark, sf_dir)
+    known = table(spark, sf_dir, "detection_rules").where("severity = 'critical'").select(F.explode("technique_ids").alias("id"))
+    beyond = accuracy.supported_techniques(*judged).join(known, "id", "left_anti")
+    cited = table(spark, sf_dir, "alerts").select(F.col("id").alias("sentence_id"), "event_id")
+    return accuracy.justifications(*judged, beyond, cited, table(spark, sf_dir, "telemetry"))
+
+
+@query("select incident_id, count(*) filter (severity is null or severity = 'low')::bigint n_unverified from alerts where incident_id is not null group by incident_id")
+def unverified_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, verdicts, _ = _sentences(spark, sf_dir)
+    return accuracy.unverified(table(spark, sf_dir, "alerts").select("id", "incident_id"), verdicts)
+
+
+@query("select id, row_number() over (order by priority desc, first_seen, id) as position from incidents where status <> 'suppressed'")
+def incident_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surfaced incidents as they are listed: by priority, then first_seen, then id."""
+    rows = table(spark, sf_dir, "incidents").where("status <> 'suppressed'").select("id", "priority", "first_seen")
+    return numbered(rows, [F.col("priority").desc_nulls_first(), F.col("first_seen").asc_nulls_last(), F.col("id")], "position").select("id", "position")
+
+
+@query("select incident_id, id from (select incident_id, id, row_number() over (partition by incident_id order by ts, coalesce(event_code, ''), id) n from telemetry where incident_id is not null) where n <= 15")
+def timeline_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 15 events of every incident."""
+    return incident.timeline(_told(spark, sf_dir), "incident_id").where("position <= 15").select("incident_id", "id")
+
+
+@query("select rule_id, t as technique_id from detection_rules, (select distinct unnest(technique_ids) t from alerts where severity = 'critical') where list_contains(technique_ids, t)")
+def technique_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules whose array of hints holds a technique of a critical alert."""
+    wanted = table(spark, sf_dir, "alerts").where("severity = 'critical'").select(F.explode("technique_ids").alias("technique_id")).distinct()
+    return search.members(table(spark, sf_dir, "detection_rules"), "technique_ids", wanted, "technique_id").select("rule_id", "technique_id")
+
+
+@query("select id, uid, event_code from telemetry where id in (select event_id from alerts)")
+def event_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with given ids."""
+    wanted = table(spark, sf_dir, "alerts").select(F.col("event_id").alias("id"))
+    return search.by_ids(table(spark, sf_dir, "telemetry"), wanted, "id").select("id", "uid", "event_code")
+
+
+@query("""with old as (select first_seen, array_to_string(list_sort(hosts), chr(0)) k, max(id) id from incidents where status <> 'suppressed' group by all),
+new as (select first_seen, array_to_string(list_sort(hosts), chr(0)) k, max(raw_alert_count) n from incidents group by all), j as (select new.*, old.id from new left join old on old.first_seen is not distinct from new.first_seen and old.k = new.k)
+select coalesce(id, (select max(id) from incidents where status <> 'suppressed') + row_number() over (partition by id is null order by first_seen, k))::bigint id, n::bigint raw_alert_count, case when id is null then 'insert' else 'update' end as change from j""")
+def incident_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surfaced incidents as stored, all of them as found anew: matched by first_seen and hosts."""
+    rows = table(spark, sf_dir, "incidents")
+    found = rows.groupBy("first_seen", F.array_sort("hosts").alias("hosts")).agg(F.max("raw_alert_count").alias("raw_alert_count"))
+    out = upsert.upsert_incidents(rows.where("status <> 'suppressed'").select("id", "first_seen", "hosts"), found)
+    return out.select("id", F.col("raw_alert_count").cast("bigint").alias("raw_alert_count"), "change")
+
+
 @query("""select coalesce(split_part(t, '.', 1), t) id, array_to_string(list_sort(list_distinct(list(t))), ',') shipped from (select distinct unnest(technique_ids) t from detection_rules) group by 1""")
 def resolve_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = table(spark, sf_dir, "detection_rules").select(F.explode("technique_ids").alias("technique_id")).distinct()
@@ -743,10 +824,10 @@ def upsert_natural_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.upsert(old, new, ["c_custkey"], ["c_name", "c_acctbal"], delete_missing=True).withColumn("c_acctbal", F.round("c_acctbal", 2))
 
 
-@query("""select i.id, i.status from incidents i where i.id not in (select incident_id from alerts where incident_id is not null) and i.id not in (select incident_id from documents where incident_id is not null)""")
+@query("""select i.id, i.status from incidents i where i.id not in (select incident_id from alerts where incident_id is not null and severity = 'critical') and i.id not in (select incident_id from documents where incident_id is not null and source = 'shift_report')""")
 def collectable_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    active = table(spark, sf_dir, "alerts").select(F.col("incident_id").alias("id"))
-    told = table(spark, sf_dir, "documents").select(F.col("incident_id").alias("id"))
+    active = table(spark, sf_dir, "alerts").where("severity = 'critical'").select(F.col("incident_id").alias("id"))
+    told = table(spark, sf_dir, "documents").where("source = 'shift_report'").select(F.col("incident_id").alias("id"))
     return upsert.collectable(table(spark, sf_dir, "incidents").select("id", "status"), active, told)
 
 

@@ -19,8 +19,8 @@ def ground_truth(steps: DataFrame, dataset: str, step: str, text: str) -> DataFr
 def techniques(spark: SparkSession, path: str) -> DataFrame:
     """(id, name, description, tactics) of a STIX bundle's current attack patterns.
 
-    Revoked and deprecated ones and such without an ATT&CK id are left out. `duplicates` finds ids that
-    occur twice, which is an error of the bundle.
+    Revoked and deprecated ones and such without an id of the catalogue are left out. An id that occurs
+    twice is an error of the bundle and raises ValueError.
     """
     schema = (
         "objects array<struct<type:string,name:string,description:string,revoked:boolean,x_mitre_deprecated:boolean,"
@@ -31,7 +31,11 @@ def techniques(spark: SparkSession, path: str) -> DataFrame:
     own = F.filter("external_references", lambda r: r["source_name"] == "mitre-attack")
     phases = F.filter(F.coalesce("kill_chain_phases", F.array()), lambda p: p["kill_chain_name"] == "mitre-attack")
     rows = rows.withColumn("id", F.try_element_at(own, F.lit(1))["external_id"]).where("id is not null")
-    return rows.select("id", "name", clean_description(F.col("description")).alias("description"), F.transform(phases, lambda p: p["phase_name"]).alias("tactics"))
+    rows = rows.select("id", "name", clean_description(F.col("description")).alias("description"), F.transform(phases, lambda p: p["phase_name"]).alias("tactics"))
+    twice = duplicates(rows, "id").first()
+    if twice:
+        raise ValueError(f"technique {twice['id']} occurs {twice['n']} times")
+    return rows
 
 
 def duplicates(rows: DataFrame, key: str) -> DataFrame:

@@ -6,11 +6,12 @@ import zipfile
 from datetime import datetime, timedelta, timezone
 
 import pytest
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from siltstone.functions import parse
 from siltstone.functions.event_text import event_line
 from siltstone.operators import accuracy, audit, beacon, correlate, dedup, incident, rules, search, upsert, validate
+from siltstone.operators.numbering import numbered
 from siltstone.plans import pipeline, reference
 from siltstone.session import scratch_path
 from siltstone.sources import catalogues, lines
@@ -351,9 +352,17 @@ def test_keywords_and_enrichment(spark):
     docs = spark.createDataFrame([(1, "staged archives uploaded"), (2, "archive"), (3, None), (4, "nothing here")], "id bigint, text string")
     assert [r["id"] for r in search.keyword_rank(docs, "id", "text", "the staging of archives").orderBy("rank").collect()] == [1, 2]
     one = spark.range(1)
-    text = search.cleaned_query(F.lit("Logon 10:20:30 from a.corp.local 10.0.0.1:80  now"), "corp.local")
-    got = one.select(search.enriched_query(text, F.array(F.lit("x"), F.lit("x")), F.array(F.lit(5985), F.lit(50000)), F.array(F.lit("3"), F.lit(None)))).first()[0]
-    assert got == "Logon from now x WinRM remote management RPC DCOM network connection"
+    none = F.lit(None).cast("string")
+    terms = search.context_terms(F.lit("a.exe"), F.lit("x" * 200), none, F.lit(5985), F.lit("4688"), F.lit(""), "corp.local")
+    assert one.select(terms).first()[0] == ["a.exe", "x" * 120, "WinRM Windows Remote Management remote services PowerShell remoting", "process creation"]
+    assert one.select(search.context_terms(none, none, none, F.lit(50000), F.lit("?"), none, "corp.local")).first()[0] == ["RPC DCOM"]
+    said = search.enriched_query(F.lit("Logon 10:20:30 from a.corp.local 10.0.0.1:80  now"), F.array(F.lit("x"), F.lit("x"), F.lit("network connection")), "corp.local")
+    assert one.select(said).first()[0] == "Logon from now  x network connection"
+    gone = search.enriched_query(F.lit("Remove-Item done"), F.array(F.lit("process creation"), F.lit("y")), "corp.local")
+    assert one.select(gone).first()[0] == "Remove-Item done indicator removal file deletion anti-forensics evidence destruction secure delete y"
+    assert one.select(search.enriched_query(F.lit("q"), F.lit(None).cast("array<string>"), "corp.local")).first()[0] == "q"
+    assert one.select(search.cleaned_query(F.lit("on UTICA and utica.corp.local"), "corp.local", ("utica",))).first()[0] == "on and"
+    assert one.select(search.query_text(F.lit("q")), search.passage_text(F.lit("n"), F.lit("d"))).first()[:] == ("Represent this sentence for searching relevant passages: q", "n. d")
 
 
 def test_every_fiftieth_row_is_a_query(spark, tmp_path):
@@ -362,7 +371,7 @@ def test_every_fiftieth_row_is_a_query(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, text string").select("vec_id", "embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
     spark.createDataFrame(rows, "doc_id bigint, embedding array<float>, text string").select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
     got = {}
-    for x in reference.vector_topk_all(spark, str(tmp_path)).orderBy("rank").collect():
+    for x in reference.vector_topk(spark, str(tmp_path)).orderBy("rank").collect():
         got.setdefault(x["query_id"], []).append(x["vec_id"])
     assert set(got) == {q for q in (0, 50, 100, 150) if any(rows[q][1])}
     items = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, text string")
@@ -371,7 +380,7 @@ def test_every_fiftieth_row_is_a_query(spark, tmp_path):
         assert got[q] == [x["vec_id"] for x in alone]
     words = search.keyword_rank_all(items, "vec_id", "text", items.where("vec_id = 50").selectExpr("vec_id query_id", "text")).orderBy("rank").collect()
     assert [(x["vec_id"], x["score"]) for x in words] == [(x["vec_id"], x["score"]) for x in search.keyword_rank(items, "vec_id", "text", rows[50][2]).orderBy("rank").collect()]
-    fused = reference.hybrid_rrf_all(spark, str(tmp_path)).groupBy("query_id").count().collect()
+    fused = reference.hybrid_rrf(spark, str(tmp_path)).groupBy("query_id").count().collect()
     assert {tuple(x) for x in fused} == {(q, 20) for q in (0, 50, 100, 150)}
 
 
@@ -493,6 +502,10 @@ def test_catalogues(spark, tmp_path):
     rows = catalogues.techniques(spark, str(tmp_path / "bundle.json"))
     assert [tuple(r) for r in rows.collect()] == [("T1", "A", "x", ["execution"])]
     assert catalogues.duplicates(rows.union(rows), "id").count() == 1
+    bundle["objects"].append({**bundle["objects"][0], "name": "again"})
+    (tmp_path / "twice.json").write_text(json.dumps(bundle))
+    with pytest.raises(ValueError, match="T1 occurs 2 times"):
+        catalogues.techniques(spark, str(tmp_path / "twice.json"))
 
 
 def test_records(spark):
@@ -541,6 +554,79 @@ def test_event_line(spark):
     assert line == "Event 999999 | TS=2020-05-02T03:07:30.000000+00:00 | Host=S | Code=3 | Net=->198.51.100.66:443 (RawLog DestinationPort=8080 CONFLICT)"
 
 
+# --- verdicts, lookups, incidents --------------------------------------------------------------------
+
+
+def test_verdicts_and_techniques(spark):
+    sentences = spark.createDataFrame([(1, 10, "T1"), (2, 10, "T2"), (3, 10, None), (4, 11, "T3"), (5, 10, "T1"), (6, None, "T4"), (7, 10, "T5")], "id bigint, incident_id bigint, technique_id string")
+    verdicts = spark.createDataFrame([(1, True), (2, False), (3, True), (4, True), (5, False), (6, True), (5, False)], "sentence_id bigint, supported boolean")
+    incidents = spark.createDataFrame([(10, "open"), (11, "suppressed"), (12, None)], "id bigint, status string")
+    assert [r["id"] for r in accuracy.supported_techniques(sentences, verdicts, incidents).collect()] == ["T1"]
+    assert [r["id"] for r in accuracy.unsupported_only(sentences, verdicts, incidents).collect()] == ["T2"]
+    assert sorted(map(tuple, accuracy.unverified(sentences, verdicts).collect())) == [(10, 1), (11, 0)]
+    events = spark.createDataFrame([(90, "a.exe", " run ", None), (91, None, "", '{"CommandLine":"","Message":"m"}'), (92, "b", None, "{broken")], "id bigint, process_name string, command_line string, raw string")
+    cited = spark.createDataFrame([(1, 90), (1, 91), (1, 92), (2, 90)], "sentence_id bigint, event_id bigint")
+    got = accuracy.justifications(sentences, verdicts, incidents, spark.createDataFrame([("T1",)], "id string"), cited, events).collect()
+    assert sorted((r["technique_id"], r["sentence_id"], r["event_id"], r["command"]) for r in got) == [("T1", 1, 90, "run"), ("T1", 1, 91, "m"), ("T1", 1, 92, "")]
+
+
+def test_incidents_are_matched_by_start_and_hosts(spark):
+    old = spark.createDataFrame([(3, at(0), ["b", "a"]), (5, at(0), ["a", "b"]), (9, at(1), None)], "id bigint, first_seen timestamp, hosts array<string>")
+    found = spark.createDataFrame([(at(0), ["a", "b"], 7), (at(1), [], 1), (at(2), ["c"], 2), (at(0), ["a"], 4)], "first_seen timestamp, hosts array<string>, n int")
+    got = {(r["n"], r["id"], r["change"]) for r in upsert.upsert_incidents(old, found).collect()}
+    assert got == {(7, 5, "update"), (1, 9, "update"), (4, 10, "insert"), (2, 11, "insert")}
+    assert {r["id"] for r in upsert.upsert_incidents(old.limit(0), found).collect()} == {1, 2, 3, 4}
+    assert upsert.upsert_incidents(old, found.limit(0)).count() == 0
+
+
+def test_clear_keeps_other_tables(spark, tmp_path):
+    for name in ("alerts", "incidents"):
+        spark.range(3).write.parquet(str(tmp_path / name))
+    upsert.clear_tables(spark, {str(tmp_path / "alerts"): spark.range(1).schema})
+    assert spark.read.parquet(str(tmp_path / "alerts")).count() == 0 and spark.read.parquet(str(tmp_path / "incidents")).count() == 3
+
+
+def test_numbers_follow_the_order(spark):
+    r = random.Random(2)
+    rows = [(r.choice([None, 1, 2, 3]), i, "x") for i in range(200)]
+    df = spark.createDataFrame(rows, "a int, b int, _p string").repartition(7)
+    got = {x["b"]: x["no"] for x in numbered(df.drop("_p"), [F.col("a").desc_nulls_last(), F.col("b")], "no").collect()}
+    want = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    assert got == {x[1]: k for k, x in enumerate(want, 1)}
+    assert numbered(df.drop("_p").limit(0), ["b"], "no").count() == 0
+
+
+def test_lookups_and_members(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, None)], "id bigint, tags array<string>")
+    wanted = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "tag string")
+    assert sorted((r["id"], r["tag"]) for r in search.members(rows, "tags", wanted, "tag").collect()) == [(1, "a"), (1, "b")]
+    ids = spark.createDataFrame([(1,), (1,), (None,), (8,)], "id bigint")
+    assert [r["id"] for r in search.by_ids(rows, ids, "id").collect()] == [1]
+
+
+def test_dry_run_stands_in_for_a_model(spark):
+    prompts = spark.createDataFrame([("about PowerShell",), ("other",), (None,)], "p string")
+    got = validate.with_model(prompts, validate.dry_run({"powershell": "T1059.001"}, "NONE"), "p").collect()
+    assert [r["answer"] for r in got] == ["T1059.001", "NONE", "NONE"]
+
+
+def test_addresses_and_numbers_of_records(spark):
+    def one(f, *values):
+        return [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").orderBy("i").select(f(F.col("v"))).collect()]
+
+    assert one(parse.ip_value, "127.0.0.1", "::1", "fe80::1%eth0", "::ffff:10.0.0.1", "FF02::1", "1.2.3", "x", "-", None) == ["127.0.0.1", "::1", "fe80::1%eth0", "::ffff:10.0.0.1", "FF02::1", None, None, None, None]
+    assert one(parse.number_value, "0x7FFFFFFFFFFFFFFF", "0x8000000000000000", "0x000000000000000000001f", "0x0", "0x", "12", "-3", "99999999999999999999") == [2**63 - 1, None, 31, 0, None, 12, -3, None]
+    assert one(parse.port_value, "0000000000080", "65535", "65536", "", "8a") == [80, 65535, None, None, None]
+
+
+def test_chain_of_hashes(spark):
+    rows = spark.createDataFrame([(i, at(i), "a", "b", None if i == 2 else "{}") for i in range(1, 50)], "id bigint, ts timestamp, actor string, action string, detail string")
+    shown = F.concat(F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    log = audit.chained(rows.withColumn("shown", shown).repartition(5))
+    assert audit.verify(log).first()[:] == (True, 49, None)
+    assert audit.verify(log.withColumn("actor", F.when(F.col("id") == 7, "z").otherwise(F.col("actor")))).first()[:] == (False, 49, 7)
+
+
 # --- streaming -----------------------------------------------------------------------------------
 
 
