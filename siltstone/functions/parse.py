@@ -18,6 +18,7 @@ SOURCE_BY_CHANNEL = {
 SEVERITY_ID = {1: 1, 2: 1, 3: 2, 4: 3, 5: 5}
 DIRECTION = {"true": "Outbound", "false": "Inbound"}
 STATUS_ID = {"AUDIT_SUCCESS": 1, "AUDIT_FAILURE": 2}
+STATUS = {1: "Success", 2: "Failure"}
 
 
 def looked_up(table: dict, key: Column) -> Column:
@@ -75,13 +76,6 @@ def hash_list(value: Column) -> Column:
     return F.when(fine, pair)
 
 
-def file_struct(path: Column, hashes: Column | None = None) -> Column:
-    """(path, name, hashes) of a file, null without a path."""
-    p = present(path)
-    none = F.lit(None).cast("array<struct<algorithm:string,value:string>>")
-    return F.when(p.isNotNull(), F.struct(p.alias("path"), basename(p).alias("name"), (none if hashes is None else hash_list(hashes)).alias("hashes")))
-
-
 def clean_description(text: Column) -> Column:
     """Text without citations, markdown links (their words stay) and code tags, blanks collapsed."""
     out = F.regexp_replace(text, r"\(Citation: [^)]*\)", "")

@@ -532,7 +532,34 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def record_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, sf_dir).withColumns({"file_hashes": F.to_json("file_hashes"), "unmapped": F.to_json("unmapped")}).drop("raw")
+    return _parsed(spark, sf_dir).withColumns({"document": F.to_json("document"), "unmapped": F.to_json("unmapped")}).drop("raw")
+
+
+def _text_sql(name: str) -> str:
+    return f"nullif(nullif({_member_sql(name)}, ''), '-')"
+
+
+@query(f"""with texts as (select uid, {_DOC.replace('ocsf', 'raw')} t from telemetry), records as materialized (select uid, t::json r from texts where json_valid(t) and json_type(t::json) = 'OBJECT'),
+e as (select *, nullif(nullif(coalesce(json_extract_string(r, '$.winlog.channel'), json_extract_string(r, '$.Event.System.Provider.Name'), json_extract_string(r, '$.Channel')), ''), '-') channel,
+  try_cast(coalesce(json_extract_string(r, '$.winlog.event_id'), json_extract_string(r, '$.Event.System.EventID'), json_extract_string(r, '$.EventID')) as bigint) n,
+  nullif(nullif(coalesce(json_extract_string(r, '$.Event.System.Computer'), case when json_type(r, '$.host') = 'OBJECT' then json_extract_string(r, '$.host.name') end, json_extract_string(r, '$.Hostname')), ''), '-') host,
+  {_text_sql('ObjectName')} obj, {_text_sql('ObjectType')} kind, {_text_sql('Image')} image, {_text_sql('SourceImage')} source_image, {_text_sql('NewProcessName')} started, {_text_sql('ProcessName')} holder, {_text_sql('Application')} application,
+  {_text_sql('CallerProcessName')} caller, {_text_sql('TargetFilename')} target from records),
+c as (select *, case lower(channel) when 'microsoft-windows-sysmon/operational' then 'sysmon' when 'security' then 'winsec' when 'microsoft-windows-powershell/operational' then 'powershell' when 'windows powershell' then 'powershell' else 'winevt' end source from e where channel is not null and n is not null),
+k as (select *, case when source = 'sysmon' then case when n in (1, 5, 8, 10) then 1007 when n in (2, 11, 15, 23) then 1001 when n = 3 then 4001 when n = 7 then 1005 when n = 12 then 201001 when n = 13 then 201002 when n = 22 then 4003 else 0 end
+  when source = 'winsec' then case when n in (4688, 4689) then 1007 when n in (4624, 4634, 4647, 4648, 4768, 4769, 4776) then 3002 when n = 4672 then 3003 when n in (4720, 4722, 4724, 4738) then 3001 when n in (4728, 4732) then 3006 when n = 4657 then 201002
+    when n in (5154, 5156, 5157, 5158) then 4001 when n in (4656, 4663) and obj is not null then case kind when 'File' then 1001 when 'Key' then 201001 when 'Process' then 1007 else 0 end else 0 end else 0 end class_uid from c)
+select uid, source, n::varchar event_code, host, class_uid::int class_uid,
+  (case when source = 'sysmon' then case n when 1 then 1 when 2 then 6 when 3 then 1 when 5 then 2 when 7 then 1 when 8 then 4 when 10 then 3 when 11 then 1 when 13 then 2 when 15 then 1 when 22 then 1 when 23 then 4 else 0 end
+  when source = 'winsec' then case when n in (4688, 4624, 4648, 4672, 4776, 4720, 5156) then 1 when n in (4689, 4634, 4647, 4722) then 2 when n in (4768, 4728, 4732, 4657) then 3 when n in (4769, 4724) then 4 when n in (4738, 5158) then 99 when n = 5154 then 7 when n = 5157 then 5
+    when class_uid = 1001 then case n when 4656 then 14 else 99 end when class_uid = 201001 then 99 when class_uid = 1007 then 3 else 0 end else 0 end)::int activity_id,
+  case when source = 'sysmon' then case when n in (8, 10) then source_image else image end when source = 'winsec' then case when n = 4688 then started when n in (5154, 5156, 5157, 5158) then application when n in (4798, 4799) then caller
+    when n in (4634, 4647, 4672, 4768, 4769, 4776, 4720, 4722, 4724, 4738, 4728, 4732, 5140, 5145) then null else holder end end process_name,
+  case when source = 'sysmon' and class_uid = 1001 then target when source = 'winsec' and class_uid = 1001 then obj end file_path from k""")
+def record_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of record_parse that hang on the mapping of the events, for all records with a channel and a number."""
+    rows = _parsed(spark, sf_dir).where(F.col("reject").isNull() | (F.col("reject") == "no time"))
+    return rows.select("uid", "source", "event_code", "host", "class_uid", "activity_id", "process_name", "file_path")
 
 
 @query()

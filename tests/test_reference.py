@@ -515,18 +515,54 @@ def test_records(spark):
     single = {"Event": {"System": {"Provider": {"Name": "System"}, "EventID": 1}, "EventData": {"Data": {"Name": "Image", "Value": "x"}}}}
     rows = [("1", json.dumps(flat)), ("2", json.dumps(json.dumps(nested))), ("3", json.dumps(listed)), ("4", json.dumps(single)), ("5", "{broken"), ("6", None), ("7", '{"a":1}')]
     out = {r["uid"]: r for r in parse_records(spark.createDataFrame(rows, "uid string, raw string"), "uid", "raw", F.lit("-04:00")).collect()}
-    a = out["1"]
-    assert (a["reject"], a["source"], a["event_code"], a["class_uid"], a["type_uid"], a["pid"], a["dst_port"], a["user_domain"], a["severity_id"]) == (None, "sysmon", "3", 4001, 400101, 31, None, "D", 3)
+    a, d = out["1"], out["1"]["document"]
+    assert (a["reject"], a["source"], a["event_code"], a["class_uid"], a["activity_id"], a["process_name"], a["process_id"], a["dst_ip"], a["user_name"], a["host"]) == (None, "sysmon", "3", 4001, 1, "C:\\a\\b.exe", 31, "10.0.0.1", "D\\ann", "h")
     assert a["time_us"] == 1707134400500000
-    assert set(a["unmapped"]) == {"DestinationPort", "RuleName"}
+    assert set(a["unmapped"]) == {"DestinationPort", "RuleName", "EventTime"}
+    assert (d["type_uid"], d["severity_id"], d["time"], d["dst_endpoint"]["port"], d["src_endpoint"], d["actor"]["user"]["domain"], d["actor"]["process"]["name"], d["process"]) == (400101, 3, 1707134400500, None, None, "D", "b.exe", None)
+    assert (d["provenance"]["time_field"], d["provenance"]["time_utc_offset"], d["metadata"]["log_name"]) == ("UtcTime", "+00:00", "Microsoft-Windows-Sysmon/Operational")
     assert (out["2"]["source"], out["2"]["class_uid"], out["2"]["user_name"], out["2"]["host"]) == ("winsec", 3001, "D\\bob", "g")
-    assert (out["3"]["class_uid"], out["3"]["activity_id"], out["3"]["registry"]) == (201001, 99, "r2")
-    assert (out["4"]["image"], out["4"]["reject"]) == ("x", "no time")
+    assert (out["3"]["class_uid"], out["3"]["activity_id"], out["3"]["document"]["reg_key"]["path"]) == (201001, 99, "r2")
+    assert set(out["3"]["unmapped"]) == {"ObjectType"}
+    assert (out["4"]["class_uid"], out["4"]["unmapped"], out["4"]["reject"]) == (0, {"Image": "x"}, "no time")
     assert [out[k]["reject"] for k in "567"] == ["unreadable", "unreadable", "no channel"]
     counts = reject_counts(parse_records(spark.createDataFrame(rows, "uid string, raw string"), "uid", "raw", F.lit("-04:00")))
     assert {r["reject"]: r["n"] for r in counts.collect()} == {"": 3, "no time": 1, "unreadable": 2, "no channel": 1}
 
 
+def test_documents_of_security_records(spark):
+    base = {"Channel": "Security", "EventTime": "2020-05-01 08:00:00", "SourceName": "Audit", "RecordNumber": 5, "@timestamp": "2020-05-01T12:00:01.250Z", "EventType": "AUDIT_FAILURE", "SubjectUserName": "sue", "SubjectDomainName": "D", "SubjectUserSid": "S-1"}
+    records = {
+        "start": {"EventID": 4688, "NewProcessId": "0x10", "NewProcessName": "c:\\n.exe", "CommandLine": "n -x", "ProcessId": "0x4", "ParentProcessName": "c:\\p.exe", "TargetUserName": "bob", "TargetDomainName": "-"},
+        "logon": {"EventID": 4624, "TargetUserName": "bob@x", "TargetDomainName": "D", "IpAddress": "::ffff:10.0.0.4", "IpPort": "0", "LogonType": "3", "AuthenticationPackageName": "NTLM", "ProcessName": "-", "WorkstationName": "W"},
+        "group": {"EventID": "4732", "TargetUserName": "Admins", "TargetSid": "S-2", "MemberName": "m", "MemberSid": "S-3"},
+        "value": {"EventID": 4657, "ObjectName": "k", "ObjectValueName": "v", "NewValue": "1", "ProcessId": "x"},
+        "no value": {"EventID": 4657, "ObjectName": "-", "ObjectValueName": "v"},
+        "filter": {"EventID": 5156, "Application": "c:\\a.exe", "Protocol": "6", "SourceAddress": "127.0.0.1", "SourcePort": "80", "DestAddress": "bad", "DestPort": "70000"},
+        "other kind": {"EventID": 4656, "ObjectType": "Token", "ObjectName": "o", "ProcessName": "c:\\h.exe"},
+        "callers": {"EventID": 4798, "CallerProcessId": "7", "CallerProcessName": "c:\\c.exe"},
+        "envelope": {"EventID": 1, "Channel": "System", "AccountName": "acc", "Domain": "NT", "UserID": "S-9"},
+    }
+    rows = spark.createDataFrame([(k, json.dumps({**base, **v})) for k, v in records.items()], "uid string, raw string")
+    out = {r["uid"]: r for r in parse_records(rows, "uid", "raw", F.lit("-04:00")).collect()}
+    d = {k: r["document"] for k, r in out.items()}
+    a = out["start"]
+    assert (a["process_name"], a["process_id"], a["command_line"], a["parent_process"], a["user_name"], a["time_us"]) == ("c:\\n.exe", 16, "n -x", "c:\\p.exe", "D\\sue", 1588334400000000)
+    assert (d["start"]["process"]["user"]["name"], d["start"]["process"]["parent_process"]["pid"], d["start"]["actor"]["process"]["pid"], set(a["unmapped"])) == ("bob", 4, 4, {"TargetDomainName"})
+    assert (d["start"]["status"], d["start"]["metadata"]["logged_time"], d["start"]["metadata"]["sequence"], d["start"]["metadata"]["product"]["name"]) == ("Failure", 1588334401250, 5, "Audit")
+    b = out["logon"]
+    assert (b["user_name"], b["src_ip"], b["process_name"], d["logon"]["src_endpoint"]["port"], d["logon"]["logon_type_id"], d["logon"]["auth_protocol"], d["logon"]["src_endpoint"]["hostname"], set(b["unmapped"])) == ("bob@x", "10.0.0.4", None, 0, 3, "NTLM", "W", {"ProcessName"})
+    assert (d["group"]["group"]["name"], d["group"]["group"]["uid"], d["group"]["user"]["name"], d["group"]["user"]["uid"], out["group"]["user_name"]) == ("Admins", "S-2", "m", "S-3", "D\\sue")
+    assert (tuple(d["value"]["reg_value"]), set(out["value"]["unmapped"])) == (("k", "v", "1"), {"ProcessId"})
+    assert (d["no value"]["reg_value"], set(out["no value"]["unmapped"])) == (None, {"ObjectName", "ObjectValueName"})
+    c = d["filter"]
+    assert (c["actor"]["process"]["file"]["path"], c["connection_info"]["protocol_num"], c["src_endpoint"]["ip"], c["src_endpoint"]["port"], c["dst_endpoint"]) == ("c:\\a.exe", 6, "127.0.0.1", 80, None)
+    assert {"DestAddress", "DestPort", "SubjectUserName"} <= set(out["filter"]["unmapped"])
+    assert (out["other kind"]["class_uid"], out["other kind"]["process_name"], set(out["other kind"]["unmapped"])) == (0, "c:\\h.exe", {"ObjectType", "ObjectName"})
+    assert (out["callers"]["process_name"], out["callers"]["process_id"]) == ("c:\\c.exe", 7)
+    assert (out["envelope"]["source"], out["envelope"]["user_name"], d["envelope"]["actor"]["user"]["uid"]) == ("winevt", "NT\\acc", "S-9")
+
+
 def test_values_of_every_layout(spark, tmp_path):
     data = {"ProcessId": "0x1f", "port": "80", "Hashes": "MD5=A"}
     docs = [{"Channel": "c", **data}, {"winlog": {"channel": "c", "event_data": data}}, {"Event": {"System": {"EventID": 1}, "EventData": {"Data": [{"Name": k, "Value": v} for k, v in data.items()]}}}]
