@@ -6,15 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def event_line(m: Column, port: Column) -> Column:
+def event_line(m: Column, o: Column) -> Column:
     """Ordered 'key=value' parts joined by ' | '; empty parts are left out.
 
-    m is the record's map of texts (see sources.records.with_record); columns id, ts, host, user_name,
-    event_code, process_name, parent_process, command_line, file_path, src_ip and dst_ip come first and
-    the record fills in. port is the document's destination port: where the record has another, both
-    are shown and marked CONFLICT. Script text is cut at 300 characters after blanks are collapsed, as
-    it is a summary for reading.
+    m is the record's map of texts (see sources.records.with_record), o the event document (see
+    operators.rules.with_document); columns id, ts, host, user_name, event_code, process_name,
+    parent_process, command_line, file_path, src_ip and dst_ip come first and the record fills in, for
+    some parts the document too. Where record and document have different destination ports, both are
+    shown and marked CONFLICT. Script text is cut at 300 characters after blanks are collapsed, as it is
+    a summary for reading.
     """
+    port = F.nullif(o["dst_endpoint"]["port"], F.lit(""))
+
+    def kept(name: str) -> Column:
+        return F.coalesce(at(name), F.nullif(F.try_element_at(o["unmapped"], F.lit(name)), F.lit("")))
 
     def at(*names: str) -> Column:
         return F.coalesce(*(F.nullif(F.try_element_at(m, F.lit(n)), F.lit("")) for n in names))
@@ -43,14 +48,14 @@ def event_line(m: Column, port: Column) -> Column:
         part("Proc", first("process_name", "SourceImage", "ProcessName")),
         part("Parent", first("parent_process", "ParentImage")),
         part("Cmd", first("command_line", "CommandLine")),
-        part("TargetProc", at("TargetImage")),
-        part("GrantedAccess", at("GrantedAccess")),
+        part("TargetProc", F.coalesce(at("TargetImage"), F.nullif(o["process"]["file"]["path"], F.lit("")), F.nullif(o["process"]["name"], F.lit("")))),
+        part("GrantedAccess", kept("GrantedAccess")),
         part("ScriptBlock", script),
         part("Net", net),
-        part("Share", at("ShareName")),
-        part("ShareFile", at("RelativeTargetName")),
-        part("Service", at("ServiceName")),
+        part("Share", kept("ShareName")),
+        part("ShareFile", kept("RelativeTargetName")),
+        part("Service", kept("ServiceName")),
         part("ServiceImage", at("ImagePath", "ServiceFileName")),
-        part("RegKey", at("TargetObject")),
+        part("RegKey", kept("TargetObject")),
         part("File", F.coalesce(at("TargetFilename"), F.nullif(F.col("file_path"), F.lit("")))),
     )

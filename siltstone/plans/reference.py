@@ -568,11 +568,34 @@ def reject_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reject_counts(_parsed(spark, sf_dir))
 
 
-@query()
+def _raw_sql(name: str) -> str:
+    return f"nullif({_member_sql(name)}, '')"
+
+
+def _kept_sql(name: str) -> str:
+    return f"coalesce({_raw_sql(name)}, nullif(json_extract_string(o, '$.unmapped.{name}'), ''))"
+
+
+_LINE_PARTS = [
+    ("TS", "strftime(timezone('UTC', ts), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00'"), ("Host", "nullif(host, '')"), ("User", f"coalesce(nullif(user_name, ''), {_raw_sql('AccountName')}, {_raw_sql('TargetUserName')})"), ("Code", "coalesce(code, '')"),
+    ("Proc", f"coalesce(nullif(process_name, ''), {_raw_sql('SourceImage')}, {_raw_sql('ProcessName')})"), ("Parent", f"coalesce(nullif(parent_process, ''), {_raw_sql('ParentImage')})"), ("Cmd", f"coalesce(nullif(command_line, ''), {_raw_sql('CommandLine')})"),
+    ("TargetProc", f"coalesce({_raw_sql('TargetImage')}, nullif(json_extract_string(o, '$.process.file.path'), ''), nullif(json_extract_string(o, '$.process.name'), ''))"), ("GrantedAccess", _kept_sql("GrantedAccess")),
+    ("ScriptBlock", f"substr(trim(regexp_replace({_raw_sql('ScriptBlockText')}, '\\s+', ' ', 'g')), 1, 300)"),
+    ("Net", "case when src is not null or dst is not null then coalesce(src, '') || '->' || coalesce(dst, '') || case when rp <> op then ':' || op || ' (RawLog DestinationPort=' || rp || ' CONFLICT)' else coalesce(':' || coalesce(rp, op), '') end end"),
+    ("Share", _kept_sql("ShareName")), ("ShareFile", _kept_sql("RelativeTargetName")), ("Service", _kept_sql("ServiceName")), ("ServiceImage", f"coalesce({_raw_sql('ImagePath')}, {_raw_sql('ServiceFileName')})"), ("RegKey", _kept_sql("TargetObject")),
+    ("File", f"coalesce({_raw_sql('TargetFilename')}, nullif(file_path, ''))"),
+]
+
+
+@query(f"""with docs as (select *, {_DOC} o, {_DOC.replace('ocsf', 'raw')} t from telemetry where incident_id is not null), d as (select *, case when json_valid(t) and json_type(t::json) = 'OBJECT' then t::json end r from docs),
+e as (select *, coalesce(nullif(event_code, ''), nullif(coalesce(json_extract_string(r, '$.winlog.event_id'), json_extract_string(r, '$.Event.System.EventID'), json_extract_string(r, '$.EventID')), '')) code,
+  coalesce(nullif(src_ip, ''), {_raw_sql('SourceIp')}) src, coalesce(nullif(dst_ip, ''), {_raw_sql('DestinationIp')}) dst, {_raw_sql('DestinationPort')} rp, nullif(json_extract_string(o, '$.dst_endpoint.port'), '') op from d)
+select incident_id, id, concat_ws(' | ', 'Event ' || id, {", ".join(f"'{k}=' || {v}" for k, v in _LINE_PARTS)}) line from e""")
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_record(table(spark, sf_dir, "telemetry").where("incident_id is not null"), "raw", "m")
-    port = F.from_json(rules.unwrapped(F.col("ocsf")), "dst_endpoint struct<port:string>")["dst_endpoint"]["port"]
-    return rows.select("incident_id", "id", event_line(F.col("m"), port).alias("line"))
+    columns = ["incident_id", "id", "ts", "host", "user_name", "event_code", "process_name", "parent_process", "command_line", "file_path", "src_ip", "dst_ip"]
+    rows = with_record(_told(spark, sf_dir).select(*columns, "ocsf", "raw"), "raw", "m")
+    rows = rules.with_document(rows, [*columns, "m"])
+    return rows.select("incident_id", "id", event_line(F.col("m"), F.col("o")).alias("line"))
 
 
 @query("select id, coalesce(title, 'Incident #' || id || ' (' || array_to_string(hosts, ', ') || ')') title, strftime(first_seen, '%Y-%m-%dT%H:%M:%S.%f') first_seen from incidents")

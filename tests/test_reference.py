@@ -585,9 +585,16 @@ def test_every_reject_reason_is_counted(spark, tmp_path):
 
 def test_event_line(spark):
     raw = json.dumps({"DestinationPort": "8080", "Channel": "x"})
-    row = spark.createDataFrame([(999999, at(450), "S", None, "3", None, None, None, None, None, "198.51.100.66", raw)], "id bigint, ts timestamp, host string, user_name string, event_code string, process_name string, parent_process string, command_line string, file_path string, src_ip string, dst_ip string, raw string")
-    line = with_record(row, "raw", "m").select(event_line(F.col("m"), F.lit("443"))).first()[0]
-    assert line == "Event 999999 | TS=2020-05-02T03:07:30.000000+00:00 | Host=S | Code=3 | Net=->198.51.100.66:443 (RawLog DestinationPort=8080 CONFLICT)"
+    schema = "id bigint, ts timestamp, host string, user_name string, event_code string, process_name string, parent_process string, command_line string, file_path string, src_ip string, dst_ip string, ocsf string, raw string"
+    doc = json.dumps({"dst_endpoint": {"port": 443}, "process": {"name": "t.exe"}, "unmapped": {"ShareName": "s", "GrantedAccess": ""}})
+    rows = [(999999, at(450), "S", None, "3", None, None, None, None, None, "198.51.100.66", None, raw.replace("8080", "443")), (1, at(450), "S", None, "3", None, None, None, None, None, "198.51.100.66", doc, raw), (2, at(0), *[None] * 9, "broken", None)]
+    columns = ["id", "ts", "host", "user_name", "event_code", "process_name", "parent_process", "command_line", "file_path", "src_ip", "dst_ip", "m"]
+    got = rules.with_document(with_record(spark.createDataFrame(rows, schema), "raw", "m"), columns).select("id", event_line(F.col("m"), F.col("o")).alias("line"))
+    assert {r["id"]: r["line"] for r in got.collect()} == {
+        999999: "Event 999999 | TS=2020-05-02T03:07:30.000000+00:00 | Host=S | Code=3 | Net=->198.51.100.66:443",
+        1: "Event 1 | TS=2020-05-02T03:07:30.000000+00:00 | Host=S | Code=3 | TargetProc=t.exe | Net=->198.51.100.66:443 (RawLog DestinationPort=8080 CONFLICT) | Share=s",
+        2: "Event 2 | TS=2020-05-02T03:00:00.000000+00:00 | Code=",
+    }
 
 
 # --- verdicts, lookups, incidents --------------------------------------------------------------------
