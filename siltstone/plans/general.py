@@ -13,13 +13,13 @@ from siltstone.operators.features import entity_features, features_long
 from siltstone.operators.sessions import SessionTable, split_batches
 from siltstone.operators.shred import entity_table, node_paths, object_nodes, scalar_values, stored_adjacency
 from siltstone.operators.timestamps import clock_zone, normalise
-from siltstone.session import scratch_path, table, write_read
+from siltstone.session import scratch_path, spread, table, write_read
 
 SESSION_GAP_US = 1_800_000_000
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_adjacency(table(spark, sf_dir, "telemetry"), "id", ["ocsf", "raw"])
+    return stored_adjacency(spread(table(spark, sf_dir, "telemetry").select("id", "ocsf", "raw")), "id", ["ocsf", "raw"])
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ def p4_session_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     clocks = table(spark, sf_dir, "datasets").select("dataset", clock_zone(F.col("event_time_offset")).alias("clock"), "date_order")
-    lines = table(spark, sf_dir, "feed_records").select("record_id", "dataset", "time_field", "ts", "received_at").join(clocks, "dataset", "left")
+    lines = spread(table(spark, sf_dir, "feed_records").select("record_id", "dataset", "time_field", "ts", "received_at")).join(clocks, "dataset", "left")
     zone = F.when(F.col("time_field") == "UtcTime", "+00:00").when(F.col("time_field") == "EventTime", F.col("clock"))
     found = normalise(lines, "ts", zone, F.col("date_order"), F.col("received_at"))
     return found.where(F.col("ts_us").isNotNull()).select("record_id", "ts_us")

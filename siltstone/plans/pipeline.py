@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import beacon, correlate, dedup, incident, rules
-from siltstone.session import table, write_read
+from siltstone.session import spread, table, write_read
 
 
 @dataclass
@@ -41,7 +41,7 @@ def exact_alerts(hits: DataFrame) -> DataFrame:
 
 def fields_of(events: DataFrame) -> DataFrame:
     """event_fields, written once: detection and evidence read them."""
-    return write_read(rules.event_fields(events), "fields")
+    return write_read(rules.event_fields(spread(events.select(*rules.EVENT_COLUMNS))), "fields")
 
 
 def run(spark: SparkSession, sf_dir: str, documented: bool = False) -> Pipeline:

@@ -14,7 +14,7 @@ from siltstone.operators import accuracy, audit, beacon, correlate, dedup, incid
 from siltstone.operators.numbering import numbered
 from siltstone.operators.timestamps import pinned
 from siltstone.plans import pipeline
-from siltstone.session import table, write_read
+from siltstone.session import spread, table, write_read
 from siltstone.sources.records import parse_records, reject_counts, with_record
 
 QUERIES: dict = {}
@@ -182,7 +182,8 @@ _DETECT = f"with {_FIELDS}, {_HITS}"
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.detect(table(spark, sf_dir, "telemetry"), codes=rules.CANDIDATE_CODES)
+    scanned = table(spark, sf_dir, "telemetry").where(F.col("event_code").isin(*rules.CANDIDATE_CODES)).select(*rules.EVENT_COLUMNS)
+    return rules.detect(spread(scanned))
 
 
 @query(f"{_DETECT} select id event_id, rule_id, rule_name, severity, tactic, techniques, epoch_us(ts) ts_us, host, user_norm, process_uid, command command_line, file_path, src_peer src_ip, dst_peer dst_ip, dst_port from hits")
@@ -525,7 +526,7 @@ def numeric_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "telemetry").withColumn("dataset", F.split_part("uid", F.lit("/"), F.lit(1)))
+    rows = spread(table(spark, sf_dir, "telemetry").select("uid", "raw", "ingested_at")).withColumn("dataset", F.split_part("uid", F.lit("/"), F.lit(1)))
     rows = rows.join(table(spark, sf_dir, "datasets").select("dataset", "event_time_offset"), "dataset", "left")
     return parse_records(rows, "uid", "raw", F.col("event_time_offset"), F.col("ingested_at"))
 

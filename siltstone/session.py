@@ -68,6 +68,16 @@ def write_read(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan over all cores, where the files have fewer splits than there are cores.
+
+    For small tables whose rows are dear to work on; a table with splits enough is returned as it is,
+    without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+
+
 def write_bucketed(df: DataFrame, label: str, by: str, buckets: int, partition: str | None = None) -> DataFrame:
     """write_read for a table bucketed and sorted by one column, and partitioned by another.
 

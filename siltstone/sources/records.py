@@ -157,12 +157,15 @@ def parse_records(lines: DataFrame, uid: str, raw: str, offset: Column | None =
     event = F.coalesce(event, F.when(F.array_contains(known, named), named), F.when(F.col("source").isin("sysmon", "winsec"), other), F.lit("*"))
     rows = pinned(rows, {"_event": event})
 
-    keys = {place: looked_up({e: places[place] for e, (_, _, places) in EVENTS.items() if place in places}, F.col("_event")) for place in PLACES}
-    rows = pinned(rows, {"_k": F.struct(*(k.alias(place.replace(".", "__")) for place, k in keys.items()))})
+    # One lookup gives the keys of all places, one pass over them the record's texts.
+    each = {e: F.array(*(F.lit(places.get(place)).cast("string") for place in PLACES)) for e, (_, _, places) in EVENTS.items()}
+    rows = pinned(rows, {"_k": F.try_element_at(F.create_map(*(x for e, ks in each.items() for x in (F.lit(e), ks))), F.col("_event"))})
+    rows = pinned(rows, {"_raw": F.transform("_k", lambda k: F.try_element_at("m", k))})
+    index = {place: i for i, place in enumerate(PLACES)}
 
     def value(place: str) -> Column:
         part = place.partition(".")[2]
-        got = member(F.col("_k")[place.replace(".", "__")])
+        got = F.col("_raw")[index[place]]
         if part in _NUMBERS:
             return number_value(got)
         kind = {"ip": ip_value, "port": port_value, "hashes": hash_list, "initiated": lambda c: looked_up(DIRECTION, c)}
@@ -226,7 +229,7 @@ def parse_records(lines: DataFrame, uid: str, raw: str, offset: Column | None =
         _filled(hostname=at("query.hostname")).alias("query"), at("logon.type_id").alias("logon_type_id"), at("logon.protocol").alias("auth_protocol"),
         F.struct(F.col("_field").alias("time_field"), F.col("_zone").alias("time_utc_offset")).alias("provenance"),
     )
-    used = [F.when(at(place).isNotNull(), F.col("_k")[place.replace(".", "__")]) for place in PLACES]
+    used = [F.when(at(place).isNotNull(), F.col("_k")[index[place]]) for place in PLACES]
     used += [F.when(text(k).isNotNull(), F.lit(k)) for k in ("Channel", "Hostname", "SourceName", "Severity")]
     used += [F.when(sysmon & text("User").isNotNull(), F.lit("User")), F.lit("EventID"), F.when(F.col("_sequence").isNotNull(), F.lit("RecordNumber")), F.when(F.col("_severity").isNotNull(), F.lit("SeverityValue"))]
     used += [F.when(F.col("_status").isNotNull(), F.lit("EventType")), F.when(F.col("_logged").isNotNull(), F.lit("@timestamp")), F.col("_field")]
