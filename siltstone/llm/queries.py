@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.keys import present, trimmed
 from siltstone.llm import lookalikes, mixing, packing, runs
 from siltstone.llm.tokens import token_count, token_ids
-from siltstone.session import table, write_read
+from siltstone.session import spread, table, write_read
 
 RUN_GAP_US = 300_000_000
 #: Container specs and mixing targets are settings that come to the driver; more rows than this are an error.
@@ -50,7 +50,7 @@ def p6_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return docs.select("doc_id", mixing.source_key(F.col("source")).alias("source"), token_count(F.col("text")).alias("n"))
 
 
@@ -137,7 +137,7 @@ def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null and text <> ''")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null and text <> ''"))
     model = lookalikes.train(docs, "text")
     return docs.withColumn("form", lookalikes.consistent_form(F.col("text"), model))
 
