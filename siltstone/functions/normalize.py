@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,17 +55,62 @@ def basename(path: Column) -> Column:
     return F.nullif(F.element_at(F.split(path, r"[\\/]"), -1), F.lit(""))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def canonical_ip6(address: Column) -> Column:
+    """A valid IPv6 literal in lower case in its shortest form; one that stands for an IPv4 address as that."""
+
+    def hexed(high: Column, low: Column) -> Column:
+        return F.lower(F.hex(high.cast("int") * 256 + low.cast("int")))
+
+    tail = F.split(F.regexp_extract(address, rf":({IPV4})$", 1), r"\.")
+    prefix = F.regexp_extract(address, rf"^(.*:){IPV4}$", 1)
+    plain = F.when(address.contains("."), F.concat(prefix, hexed(tail[0], tail[1]), F.lit(":"), hexed(tail[2], tail[3]))).otherwise(address)
+
+    def groups(a: Column) -> Column:
+        halves = F.split(a, "::")
+        left, right = (F.filter(F.split(F.coalesce(h, F.lit("")), ":"), lambda g: g != "") for h in (halves[0], F.get(halves, F.lit(1))))
+        return F.concat(left, F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right)), right)
+
+    def number(g: Column) -> Column:
+        return F.conv(g, 16, 10).cast("int")
+
+    def shortest(g: Column) -> Column:
+        four = F.concat_ws(".", *((number(g[i]).bitwiseAND(0xFF00) / 256).cast("int").cast("string") if half else number(g[i]).bitwiseAND(0xFF).cast("string") for i in (6, 7) for half in (True, False)))
+
+        def compressed(a: Column) -> Column:
+            out = a
+            for n in range(2, 9):
+                # The first of the longest runs of two zeros or more is left out.
+                run = rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?::|$)(.*)$"
+                out = F.when(a.rlike(run), F.concat(F.regexp_extract(a, run, 1), F.lit("::"), F.regexp_extract(a, run, 2))).otherwise(out)
+            return out
+
+        mapped = (F.array_join(F.slice(g, 1, 5), "") == "00000") & (g[5] == "ffff")
+        return F.when(mapped, four).otherwise(_let(F.array_join(g, ":"), compressed))
+
+    def small(a: Column) -> Column:
+        return F.transform(groups(a), lambda x: F.regexp_replace(x, "^0+(?=.)", ""))
+
+    return _let(plain, lambda a: _let(small(a), shortest))
+
+
 def routable_ip(ip: Column) -> Column:
-    """The address without zone, IPv4-mapped ones as IPv4; null for invalid ones and such that name no peer.
+    """The address in canonical form without zone, IPv4-mapped ones as IPv4; null for invalid ones and such that name no peer.
 
-    Loopback, unspecified, link-local, multicast and broadcast addresses are dropped, private ranges
-    kept. IPv6 comes out in lower case as written.
+    Loopback, unspecified, link-local, multicast and broadcast addresses are dropped, private ranges kept.
     """
     bare = F.lower(F.regexp_replace(trimmed(ip), "%.*$", ""))
-    bare = F.regexp_replace(bare, rf"^(?:0{{0,4}}:){{2,6}}ffff:({IPV4})$", "$1")
-    four = bare.rlike(rf"^{IPV4}$") & ~bare.rlike(r"^(?:127|22[4-9]|23\d)\.|^169\.254\.")
-    six = bare.rlike(rf"^{IPV6}$") & ~bare.rlike(r"^fe[89ab][0-9a-f]:|^ff[0-9a-f]{2}:|^(?:0{1,4}:){7}0{0,3}[01]$|^(?:0{1,4}:)*:(?:0{1,4}:)*0{0,3}[01]?$")
-    return F.when((four | six) & ~bare.isin(*IGNORED_ADDRESSES), bare)
+    six = F.when(bare.rlike(rf"^(?:{IPV6}|{IPV6_IPV4})$"), canonical_ip6(bare))
+    known = F.when(bare.contains(":"), six).when(bare.rlike(rf"^{IPV4}$"), bare)
+
+    def peer(a: Column) -> Column:
+        return F.when(~a.rlike(r"^(?:127|22[4-9]|23\d)\.|^169\.254\.|^fe[89ab][0-9a-f]:|^ff[0-9a-f]{2}:") & ~a.isin(*IGNORED_ADDRESSES), a)
+
+    return _let(known, peer)
 
 
 def is_ignorable_ip(ip: Column) -> Column:

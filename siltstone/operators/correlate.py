@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.normalize import is_correlating_user, is_ignorable_ip, is_machine_account
-from siltstone.session import write_read
+from siltstone.session import drop_written, write_read
 
 # Fixed values, seconds.
 PROCESS_S, USER_S, IP_S, FILE_S, MACHINE_S = 900, 1800, 1800, 3600, 120
@@ -98,7 +98,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         # Small star: smaller neighbours of u, and u, hang on the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = write_read(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, state = state, write_read(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop_written(old)
         # Done when the set of edges stays the same: compared by count and an order-free hash.
         row = state.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31))).alias("s")).first()
         if tuple(row) == signature:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,45 @@ def mark_exact(alerts: DataFrame, key: str = "dedup_key") -> DataFrame:
     return out.withColumns({"is_duplicate": same, "canonical_id": F.when(same, F.col("_first.id"))}).drop("_first")
 
 
+class _Held:
+    """The canonical alerts within reach: their keys, and their signatures as one array, compared at once."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.keys: deque[tuple[int, str]] = deque()
+        self.at, self.ids, self.signatures, self.lo, self.hi = np.zeros(16, np.int64), np.zeros(16, np.int64), np.zeros((16, PERMUTATIONS), np.int64), 0, 0
+
+    def forget(self, before: int) -> None:
+        """Drop what lies before a time."""
+        while self.keys and self.keys[0][0] < before:
+            self.seen.pop(self.keys.popleft()[1], None)
+        while self.lo < self.hi and self.at[self.lo] < before:
+            self.lo += 1
+
+    def nearest(self, signature: np.ndarray, since: int, least: float) -> int | None:
+        """The oldest alert since a time whose signature is similar enough."""
+        lo = self.lo + int(np.searchsorted(self.at[self.lo : self.hi], since))
+        similar = (self.signatures[lo : self.hi] == signature).sum(axis=1) / PERMUTATIONS >= least
+        return int(self.ids[lo + int(similar.argmax())]) if similar.any() else None
+
+    def add(self, at: int, number: int, key: str, signature: np.ndarray | None) -> None:
+        self.seen[key] = number
+        self.keys.append((at, key))
+        if signature is None:
+            return
+        if self.hi == len(self.at):
+            kept = slice(self.lo, self.hi)
+            size = max(16, 2 * (self.hi - self.lo))
+            for name in ("at", "ids", "signatures"):
+                old = getattr(self, name)
+                new = np.zeros((size, *old.shape[1:]), np.int64)
+                new[: self.hi - self.lo] = old[kept]
+                setattr(self, name, new)
+            self.lo, self.hi = 0, self.hi - self.lo
+        self.at[self.hi], self.ids[self.hi], self.signatures[self.hi] = at, number, signature
+        self.hi += 1
+
+
 def mark_greedy(alerts: DataFrame, window_s: int = 300, least_similarity: float = 0.9, least_tokens: int = 3) -> DataFrame:
     """id, dedup_key, is_duplicate, canonical_id in the order-dependent greedy sense.
 
@@ -52,22 +92,19 @@ def mark_greedy(alerts: DataFrame, window_s: int = 300, least_similarity: float
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("dedup_key", T.StringType()), T.StructField("is_duplicate", T.BooleanType()), T.StructField("canonical_id", T.LongType())])
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, seen, held = None, {}, deque()
+        group, held = None, _Held()
         for pdf in batches:
             dup, canon = [], []
             for row in pdf.itertuples(index=False):
                 if (own := (row.rule_id, row.host, row.user_norm, row.piece)) != group:
-                    group, seen, held = own, {}, deque()
-                while held and row.at - held[0][0] > reach:
-                    _, _, _, key = held.popleft()
-                    seen.pop(key, None)
-                owner = seen.get(row.dedup_key)
-                if owner is None and row.n_tokens >= least_tokens:
-                    near = (h for h in held if h[2] is not None and row.at - h[0] <= window_s * 1_000_000)
-                    owner = next((h[1] for h in near if (h[2] == row.sig).sum() / PERMUTATIONS >= least_similarity), None)
+                    group, held = own, _Held()
+                held.forget(row.at - reach)
+                telling = row.n_tokens >= least_tokens
+                owner = held.seen.get(row.dedup_key)
+                if owner is None and telling:
+                    owner = held.nearest(row.sig, row.at - window_s * 1_000_000, least_similarity)
                 if owner is None:
-                    seen[row.dedup_key] = row.id
-                    held.append((row.at, row.id, row.sig if row.n_tokens >= least_tokens else None, row.dedup_key))
+                    held.add(row.at, row.id, row.dedup_key, row.sig if telling else None)
                 dup.append(owner is not None)
                 canon.append(owner)
             yield pd.DataFrame({"id": pdf["id"].to_numpy(), "dedup_key": pdf["dedup_key"].to_numpy(), "is_duplicate": dup, "canonical_id": pd.array(canon, dtype="Int64")})

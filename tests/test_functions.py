@@ -74,3 +74,33 @@ def test_minhash(spark):
 def test_one_per_record(spark):
     rows = spark.createDataFrame([("a", 2, 1), ("a", 1, 2), (None, 1, 3), (None, 1, 4)], "uid string, at int, id int").withColumn("__x", F.lit(1))
     assert sorted(r["id"] for r in one_per_record(rows, "uid", "at", "id").collect()) == [2, 3, 4]
+
+
+def test_addresses_are_canonical(spark):
+    import ipaddress
+    import random
+
+    from siltstone.functions.normalize import routable_ip
+
+    r = random.Random(3)
+    texts = ["::", "::1", "1::", "::ffff:10.0.0.1", "0:0:0:0:0:FFFF:0A00:0002", "2001:DB8:0:0:1:0:0:1", "2001:db8::0:1", "fe80::1", "FF02::1", "::ffff:127.0.0.1", "64:ff9b::1.2.3.4", "10.0.0.300", "1.2.3", "fe80::1%eth0", "2001:db8::1%eth0", ":::", "1:2", "", "-", "127.0.0.1", "169.254.1.1", "239.1.1.1", "255.255.255.255", "0.0.0.0"]
+    for _ in range(300):
+        groups = [r.choice(["0", "0", "0000", "1", "00ab", "FFFF"]) for _ in range(8)]
+        text = ":".join(groups)
+        if r.random() < 0.5:
+            i, j = sorted(r.sample(range(9), 2))
+            text = ":".join(groups[:i]) + "::" + ":".join(groups[j:])
+        texts.append(text)
+
+    def want(text):
+        try:
+            a = ipaddress.ip_address(text.split("%")[0])
+        except ValueError:
+            return None
+        if a.version == 6 and a.ipv4_mapped:
+            a = a.ipv4_mapped
+        return None if a.is_loopback or a.is_unspecified or a.is_link_local or a.is_multicast or str(a) == "255.255.255.255" else str(a)
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("t", routable_ip(F.col("t")).alias("a")).collect()
+    # The 0.0.0.0/8 range and the like are told by equality only, as 0.0.0.0 itself.
+    assert [(r["t"], r["a"]) for r in rows if r["a"] != want(r["t"])] == []
