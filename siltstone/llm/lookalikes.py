@@ -37,8 +37,6 @@ SWITCH_PENALTY = 8.0
 FLOOR = math.log(1e-6)
 END = "\x00"  # no text holds it once it is plain
 _MARK = r"\u0300-\u036f"
-_TOKEN = re.compile(rf"[^\W\d_]+(?:[{_MARK}]+[^\W\d_]*)*")
-_TOKEN_OR_END = re.compile(rf"{END}|[^\W\d_]+(?:[{_MARK}]+[^\W\d_]*)*")
 _ASCII_OR_END = re.compile(f"{END}|[A-Za-z]+")
 _MARKS = re.compile(f"[{_MARK}]+")
 _CONTROL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f]")
@@ -47,6 +45,22 @@ _CACHE_MOST = 500_000
 _SLICE = 4_000_000
 
 
+@lru_cache(maxsize=2)
+def letter_pattern(all_planes: bool) -> re.Pattern:
+    """Runs of letters with their accents, or END. The class of the first plane is a bitmap to the regex engine, that of all is slower."""
+    known = [n for n in range(0x110000 if all_planes else 0x10000) if unicodedata.category(chr(n))[0] == "L"]
+    cuts = [i for i, (a, b) in enumerate(zip([-2, *known], known)) if b != a + 1]
+    letters = "".join(f"\\U{known[lo]:08x}-\\U{known[hi - 1]:08x}" for lo, hi in zip(cuts, [*cuts[1:], len(known)]))
+    return re.compile(rf"[{letters}][{letters}{_MARK}]*|{END}")
+
+
+def pattern_for(text: str) -> re.Pattern:
+    if text.isascii():
+        return _ASCII_OR_END
+    # Two bytes a character in UTF-16, unless some character lies beyond the first plane.
+    return letter_pattern(len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text))
+
+
 @lru_cache(maxsize=None)
 def compatible(ch: str) -> str:
     """What one character becomes, by rule from its Unicode properties; itself if nothing applies."""
@@ -132,7 +146,7 @@ class Shapes:
 def tokens_and_ends(texts: list[str]) -> list[str]:
     """The letter tokens of plain texts in order, END after each text."""
     joined = END.join([*texts, ""])
-    return (_ASCII_OR_END if joined.isascii() else _TOKEN_OR_END).findall(joined)
+    return pattern_for(joined).findall(joined)
 
 
 def slices(texts: list[str]) -> Iterator[list[int]]:
@@ -318,7 +332,8 @@ class Canonicaliser:
                     touched.add(doc)
             change = self.changes
             for k in touched:
-                plains[group[k]] = _TOKEN.sub(lambda m: change.get(m.group(), m.group()), plains[group[k]])
+                text = plains[group[k]]
+                plains[group[k]] = pattern_for(text).sub(lambda m: change.get(m.group(), m.group()), text)
         out = list(texts)
         for i, t in zip(places, plains):
             out[i] = t

@@ -255,6 +255,13 @@ def test_the_lattice_decides(spark, monkeypatch):
     assert a != b or c != d
 
 
+def test_tokens_of_all_planes():
+    texts = ["cafe\u0301 r\u00e9sum\u00e9-2x\u00b2 \u0434\u0430_a", "x\U0001d7d8 \U00010428\U00010429a b", "plain", ""]
+    tokens = lookalikes.tokens_and_ends(texts)
+    assert tokens == ["cafe\u0301", "r\u00e9sum\u00e9", "x", "\u0434\u0430", "a", "\x00", "x", "\U00010428\U00010429a", "b", "\x00", "plain", "\x00", "\x00"]
+    assert lookalikes.tokens_and_ends(texts[:1]) == tokens[:6]  # by another class of letters, to the same tokens
+
+
 def test_readings_come_from_the_corpus(spark):
     """A Cyrillic corpus reads an ambiguous word in Cyrillic, a Latin one in Latin; both spellings get one form."""
     cyrillic = lookalikes.train(spark.createDataFrame([("\u0441\u043e\u0441\u043d\u0430 \u0440\u043e\u0441\u0430 \u043e\u0441\u0430 \u043a\u043e\u0441\u0430",)] * 9 + [("the end",)], "text string"), "text")
