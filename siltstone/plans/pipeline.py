@@ -45,11 +45,15 @@ def fields_of(events: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, sf_dir: str, documented: bool = False) -> Pipeline:
-    """All derived tables of the telemetry. Documents are read once; alerts, clusters and evidence are written once.
+    """All derived tables of the telemetry."""
+    return derive(table(spark, sf_dir, "telemetry"), documented)
+
+
+def derive(events: DataFrame, documented: bool = False) -> Pipeline:
+    """All derived tables of events. Documents are read once; alerts, clusters and evidence are written once.
 
     The incident of a cluster has the id of the cluster's first alert. event_count is the size of its evidence.
     """
-    events = table(spark, sf_dir, "telemetry")
     fields = fields_of(events)
     alerts = write_read(marked_alerts(rules.fired(fields, codes=rules.CANDIDATE_CODES)), "marked")
     clusters = write_read(correlate.correlate(alerts, documented), "clusters")

@@ -508,6 +508,29 @@ def test_catalogues(spark, tmp_path):
         catalogues.techniques(spark, str(tmp_path / "twice.json"))
 
 
+def test_workbooks(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cells = [("A1", "s", 0), ("A2", "s", 1), ("B2", "s", 2), ("A3", "", "1.5"), ("B3", "s", 3), ("B5", "inline", "T1105 only")]
+    by_row = {}
+    for ref, kind, value in cells:
+        cell = f'<c r="{ref}" t="inlineStr"><is><t>{value}</t></is></c>' if kind == "inline" else f'<c r="{ref}"{" t=" + chr(34) + "s" + chr(34) if kind else ""}><v>{value}</v></c>'
+        by_row.setdefault(ref[1:], []).append(cell)
+    sheet = f"<worksheet {ns}><sheetData>" + "".join(f'<row r="{k}">{"".join(v)}</row>' for k, v in by_row.items()) + '<row r="6"><c r="A6"/></row></sheetData></worksheet>'
+    strings = f"<sst {ns}>" + "".join(f"<si>{t}</si>" for t in ("<t>Plan</t>", "<t>Step</t>", "<t>Detail</t>", "<r><t>uses T1059</t></r><r><t>.001</t></r>")) + "</sst>"
+    with zipfile.ZipFile(tmp_path / "plan.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Day 1" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", strings)
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+    steps = catalogues.steps_of_sheet(spark, str(tmp_path / "plan.xlsx"), "Step", "Detail")
+    assert [tuple(r) for r in steps.collect()] == [("1.5", "uses T1059.001"), (None, "T1105 only")]
+    assert {r["technique_id"] for r in catalogues.ground_truth(steps, "d", "step", "text").collect()} == {"T1059.001", "T1105"}
+    with pytest.raises(KeyError):
+        list(catalogues.sheet_rows(str(tmp_path / "plan.xlsx"), "Day 2"))
+    with pytest.raises(ValueError):
+        catalogues.steps_of_sheet(spark, str(tmp_path / "plan.xlsx"), "Step", "nothing")
+
+
 def test_records(spark):
     flat = {"Channel": "Microsoft-Windows-Sysmon/Operational", "EventID": 3, "UtcTime": "2024-02-05 12:00:00.5", "EventTime": "2024-02-05 08:00:00", "Hostname": "h", "Image": "C:\\a\\b.exe", "ProcessId": "0x1f", "DestinationPort": "99999", "DestinationIp": "10.0.0.1", "RuleName": "-", "User": "D\\ann", "SeverityValue": 4}
     nested = {"@timestamp": "2024-02-05T12:00:00Z", "winlog": {"event_id": 4720, "channel": "Security", "event_data": {"SubjectUserName": "bob", "SubjectDomainName": "D"}}, "host": {"name": "g"}}
