@@ -8,7 +8,8 @@ their scalar children, pivoted into columns, and keeps the link to the enclosing
 
 Defined results: a null, empty or unreadable document gives no row; a document stored as a JSON
 string that holds the document (once or several times over) counts as that document; of equal keys
-in one object the last counts; a lone surrogate becomes '?'; any depth is read.
+in one object the last counts; a lone surrogate becomes '?'; any depth is read. Every row counts by
+itself: `row` numbers the source rows, so rows of one key, or without one, are never mixed.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ import sys
 from collections.abc import Iterator
 from json.decoder import scanstring
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +30,7 @@ from pyspark.sql import types as T
 from siltstone.session import write_read
 
 NODE_COLUMNS = {
+    "row": T.LongType(),
     "node": T.LongType(),
     "parent": T.LongType(),
     "label": T.StringType(),
@@ -180,7 +184,7 @@ class _Rows:
 
 
 def document_nodes(root) -> list[tuple]:
-    """Rows in the order of NODE_COLUMNS for everything below the root (node 0)."""
+    """Rows in the order of NODE_COLUMNS, from node on, for everything below the root (node 0)."""
     rows = _Rows()
     for _ in rows.add_document(root):
         pass
@@ -207,6 +211,7 @@ def adjacency(df: DataFrame, key: str, documents: list[str]) -> DataFrame:
     def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.set_int_max_str_digits(0)
         kinds = pa.array(KINDS)
+        before = TaskContext.get().partitionId() << 33  # number of the batch's first row
         where: list[int] = []
         numbers: list[int] = []
         rows = _Rows()
@@ -214,7 +219,7 @@ def adjacency(df: DataFrame, key: str, documents: list[str]) -> DataFrame:
         def built(keys: pa.Array, name: str) -> pa.RecordBatch:
             n = len(rows.parent)
             arrays = [
-                keys.take(pa.array(where, pa.int64())), pa.repeat(name, n), pa.array(numbers, pa.int64()), pa.array(rows.parent, pa.int64()), _array(rows.label, pa.string()),
+                keys.take(pa.array(where, pa.int64())), pa.repeat(name, n), pa.array(np.array(where, dtype=np.int64) + before), pa.array(numbers, pa.int64()), pa.array(rows.parent, pa.int64()), _array(rows.label, pa.string()),
                 pa.array(rows.ordinal, pa.int64()), kinds.take(pa.array(rows.kind, pa.int8())), _array(rows.scalar, pa.string()),
             ]
             for column in (where, numbers, rows.parent, rows.label, rows.ordinal, rows.kind, rows.scalar):
@@ -237,6 +242,7 @@ def adjacency(df: DataFrame, key: str, documents: list[str]) -> DataFrame:
                             yield built(keys, name)
                 if rows.parent:
                     yield built(keys, name)
+            before += batch.num_rows
 
     return df.select(key, *documents).mapInArrow(shred, schema)
 
@@ -252,7 +258,7 @@ def object_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def node_paths(nodes: DataFrame, key: str) -> DataFrame:
-    """Every container node with its paths: key, doc, node, label, ordinal, kind, node_path, parent_path.
+    """Every container node with its paths: key, doc, row, node, label, ordinal, kind, node_path, parent_path.
 
     node_path joins the labels, or positions in arrays, from the root down; parent_path is the path of
     the closest enclosing object, '/' for the root. The containers of one document meet in one task
@@ -260,27 +266,27 @@ def node_paths(nodes: DataFrame, key: str) -> DataFrame:
     in which parents come first: one shuffle and one pass whatever the depth, where joins on the parent
     link would take one for each level.
     """
-    kept = [key, "doc", "node", "parent", "label", "ordinal", "kind"]
-    rows = nodes.where(F.col("kind").isin("object", "array")).select(kept).repartition(key, "doc").sortWithinPartitions(key, "doc", "node")
+    kept = [key, "doc", "row", "node", "parent", "label", "ordinal", "kind"]
+    rows = nodes.where(F.col("kind").isin("object", "array")).select(kept).repartition("row", "doc").sortWithinPartitions("row", "doc", "node")
     of = {f.name: f for f in rows.schema}
     text = T.StringType()
-    schema = T.StructType([*(of[c] for c in (key, "doc", "node", "label", "ordinal", "kind")), T.StructField("node_path", text), T.StructField("parent_path", text)])
+    schema = T.StructType([*(of[c] for c in (key, "doc", "row", "node", "label", "ordinal", "kind")), T.StructField("node_path", text), T.StructField("parent_path", text)])
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, path, near = None, {}, {}
         for batch in batches:
             paths, parents = [], []
-            columns = [batch.column(i).to_pylist() for i in range(len(kept))]
-            for own_key, doc, node, parent, label, ordinal, kind in zip(*columns):
-                if (own_key, doc) != current:
-                    current, path, near = (own_key, doc), {0: ""}, {0: "/"}
+            columns = [batch.column(i).to_pylist() for i in range(1, len(kept))]
+            for doc, row, node, parent, label, ordinal, kind in zip(*columns):
+                if (row, doc) != current:
+                    current, path, near = (row, doc), {0: ""}, {0: "/"}
                 step = f"{path[parent]}/{label if ordinal is None else ordinal}"
                 above = near[parent]
                 path[node] = step
                 near[node] = step if kind == "object" else above
                 paths.append(step)
                 parents.append(above)
-            arrays = [batch.column(i) for i in (0, 1, 2, 4, 5, 6)]
+            arrays = [batch.column(i) for i in (0, 1, 2, 3, 5, 6, 7)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(paths, pa.string()), pa.array(parents, pa.string())], schema.names)
 
     return rows.mapInArrow(follow, schema)
@@ -292,17 +298,17 @@ def entity_table(nodes: DataFrame, key: str, label: str, attributes: list[str],
     nodes is a stored adjacency table, as it is read twice: for the object nodes with their paths
     (paths, if they are there already), and for the scalar children. Those are reduced to one row per
     object before the shuffle, as the nodes of a document lie together, and joined to the object nodes
-    on (key, doc, node). An attribute that an object lacks, or that is no scalar there, is null.
+    on (row, doc, node). An attribute that an object lacks, or that is no scalar there, is null.
     Attribute columns are prefixed with `a_`, so no name clashes with the link columns.
     """
     paths = node_paths(nodes, key) if paths is None else paths
-    objects = object_nodes(paths).where(F.col("label") == label).select(key, "doc", "node", "node_path", "parent_path", "ordinal")
+    objects = object_nodes(paths).where(F.col("label") == label).select(key, "doc", "row", "node", "node_path", "parent_path", "ordinal")
     # An object's scalar children carry its node as parent; the scalars of its arrays do not.
     held = nodes.where(F.col("kind").isin("string", "number", "boolean") & F.col("label").isin(attributes) & F.col("ordinal").isNull())
-    wide = held.groupBy(key, "doc", F.col("parent").alias("node")).agg(
+    wide = held.groupBy("row", "doc", F.col("parent").alias("node")).agg(
         *(F.max(F.when(F.col("label") == a, F.col("scalar"))).alias(f"a_{a}") for a in attributes)
     )
-    return objects.join(wide, [key, "doc", "node"], "left").select(key, "doc", "node_path", "parent_path", "ordinal", *(F.col(f"a_{a}") for a in attributes))
+    return objects.join(wide, ["row", "doc", "node"], "left").select(key, "doc", "node_path", "parent_path", "ordinal", *(F.col(f"a_{a}") for a in attributes))
 
 
 def scalar_values(nodes: DataFrame, key: str, paths: DataFrame | None = None) -> DataFrame:
@@ -312,7 +318,7 @@ def scalar_values(nodes: DataFrame, key: str, paths: DataFrame | None = None) ->
     """
     paths = node_paths(nodes, key) if paths is None else paths
     held = nodes.where(F.col("kind").isin("string", "number", "boolean") & F.col("ordinal").isNotNull())
-    arrays = paths.where(F.col("kind") == "array").select(key, "doc", F.col("node").alias("parent"), "parent_path")
+    arrays = paths.where(F.col("kind") == "array").select("row", "doc", F.col("node").alias("parent"), "parent_path")
     # A root that is an array has no row; its elements lie under '/'.
-    joined = held.join(arrays, [key, "doc", "parent"], "left")
+    joined = held.join(arrays, ["row", "doc", "parent"], "left")
     return joined.select(key, "doc", F.coalesce("parent_path", F.lit("/")).alias("parent_path"), "label", "ordinal", "scalar")

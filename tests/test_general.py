@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siltstone.operators.eager import eager_join_aggregate, key_states, longest_gap_by_key
 from siltstone.operators.features import entity_features, features_long
 from siltstone.operators.sessions import SessionTable, local_sessions, split_batches
-from siltstone.operators.shred import _parse_deep, adjacency, document_nodes, entity_table, node_paths, object_nodes, parse_document, scalar_values
+from siltstone.operators.shred import _parse_deep, adjacency, document_nodes, entity_table, node_paths, object_nodes, parse_document, scalar_values, stored_adjacency
 from siltstone.operators.timestamps import clock_zone, normalise
 from siltstone.session import scratch_path
 
@@ -54,6 +54,18 @@ def test_adjacency_rows_and_wide_documents(spark):
     assert scalar_values(nodes, "id").where("parent_path = '/y'").count() == 60_000
 
 
+def test_rows_of_one_key_are_not_mixed(spark):
+    texts = ['{"a":{"b":{"n":1}}}', '{"c":[{"d":{}}],"e":{"n":2}}', '{"a":{"b":{"n":3}}}', None]
+    rows = spark.createDataFrame([(k, t, "clash", 0) for k in (1, 1, None) for t in texts], "id bigint, d string, doc string, row int").repartition(3)
+    nodes = adjacency(rows.select("id", "d", "doc", "row"), "id", ["d"])
+    got = sorted((str(r["id"]), r["node_path"], r["parent_path"]) for r in object_nodes(node_paths(nodes, "id")).collect())
+    one = [("/a", "/"), ("/a/b", "/a"), ("/c/0", "/"), ("/c/0/d", "/c/0"), ("/e", "/"), ("/a", "/"), ("/a/b", "/a")]
+    assert got == sorted((k, *p) for k in ("1", "1", "None") for p in one)
+    stored = stored_adjacency(rows, "id", ["d"])
+    assert sorted(r["a_n"] for r in entity_table(stored, "id", "b", ["n"]).collect()) == ["1", "1", "1", "3", "3", "3"]
+    assert [r["a_n"] for r in entity_table(stored, "id", "e", ["n"]).collect()] == ["2"] * 3
+
+
 def test_many_wrappings():
     text = "[{}]"
     for _ in range(8):
