@@ -384,7 +384,8 @@ def look_alike_pairs(forms: DataFrame, id_col: str, text_key: str, form_key: str
 
     Pairs are formed between the distinct texts of a form and then expanded by the rows of each text;
     byte-identical copies are never compared with each other. The texts of a form that has very many are
-    split into blocks, and pairs of blocks are joined, so no task forms all pairs of one form.
+    split into blocks, and pairs of blocks are joined, so no task forms all pairs of one form. Rows of one
+    id make no pair with each other; a row that is there twice makes its pairs twice.
     """
     rows = forms.select(F.col(id_col).alias("id"), F.col(text_key).alias("t"), F.col(form_key).alias("f")).where("t is not null and f is not null")
     classes, texts = look_alike_classes(rows, "id", "t", "f")
@@ -395,4 +396,4 @@ def look_alike_pairs(forms: DataFrame, id_col: str, text_key: str, form_key: str
     pairs = a.join(b, ["f", "i", "j"]).where("ta < tb").select("ta", "tb")
     left = pairs.join(rows.select(F.col("t").alias("ta"), F.col("id").alias("ia")), "ta")
     both = left.join(rows.select(F.col("t").alias("tb"), F.col("id").alias("ib")), "tb")
-    return both.select(F.least("ia", "ib").alias("doc_a"), F.greatest("ia", "ib").alias("doc_b"))
+    return both.where("ia <> ib").select(F.least("ia", "ib").alias("doc_a"), F.greatest("ia", "ib").alias("doc_b"))

@@ -147,12 +147,13 @@ def pack(items: DataFrame, id_col: str, size_col: str, specs: list[tuple[int, in
     if not specs:
         raise ValueError("no container specs")
     spark = items.sparkSession
-    cut = write_read(pieces(items, id_col, size_col, specs), "pieces")
+    # Numbers tell pieces apart, so that items of one id are packed each by itself.
+    cut = write_read(pieces(items, id_col, size_col, specs).withColumn("number", F.monotonically_increasing_id()), "pieces")
     bounds = write_read(spec_bounds(cut), "bounds")
     least = {r["spec_id"]: r["least_containers"] for r in bounds.collect()}
     sums = cut.groupBy("spec_id").agg(F.count_if("whole").alias("whole"), F.count_if(~F.col("whole")).alias("n")).collect()
-    done = [cut.where("whole").select("spec_id", "item_id", "piece", "start", "size", F.concat_ws("-", F.lit("full"), "item_id", "piece").alias("container"))]
-    pool = cut.where("not whole").drop("whole")
+    done = [cut.where("whole").select("spec_id", "item_id", "piece", "start", "size", F.concat_ws("-", F.lit("full"), "number").alias("container"))]
+    pool = cut.where("not whole").drop("whole", "number")
     finished = {r["spec_id"]: r["whole"] for r in sums}  # containers that no round touches any more
     waiting = {r["spec_id"]: r["n"] for r in sums if r["n"]}
     before: dict[int, int] = {}

@@ -120,6 +120,12 @@ def test_nothing_to_pack(spark):
     assert packed.pieces.count() == packed.rounds.count() == packing.packing_report(packed, [(1, 10)]).count() == 0
 
 
+def test_items_of_one_id_are_packed_each(spark):
+    items = spark.createDataFrame([(1, 25), (1, 25), (None, 10), (None, 10), (2, 3)], "doc_id bigint, n bigint").withColumn("number", F.lit("x"))
+    rows = packing.pack(items, "doc_id", "n", [(1, 10)]).pieces.groupBy("container").agg(F.sum("size").alias("n")).collect()
+    assert sum(r["n"] for r in rows) == 73 and max(r["n"] for r in rows) == 10 and len(rows) == 8
+
+
 def test_exchange_saves_containers(spark):
     """Partitions left alone need more containers than partitions that exchange; the exchange ends certified or without a gain."""
     r = random.Random(1)
@@ -289,3 +295,5 @@ def test_pairs(spark, model):
     got = sorted(map(tuple, lookalikes.look_alike_pairs(keys, "doc_id", "t", "f").collect()))
     assert got == [(1, 2), (1, 4), (2, 3), (2, 4), (3, 4)]
     assert lookalikes.look_alike_pairs(keys.limit(0), "doc_id", "t", "f").count() == 0
+    again = keys.union(spark.createDataFrame([(1, "other", keys.where("doc_id = 1").first()["f"])], keys.schema))
+    assert all(r["doc_a"] < r["doc_b"] for r in lookalikes.look_alike_pairs(again, "doc_id", "t", "f").collect())
