@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.normalize import is_correlating_user, is_ignorable_ip, is_machine_account
@@ -98,13 +98,16 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         # Small star: smaller neighbours of u, and u, hang on the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        old, state = state, write_read(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        # Done when the set of edges stays the same: compared by count and order-free hashes, taken as it is written.
+        seen, old = Observation(), state
+        hashes = F.bit_xor(F.xxhash64("u", "v")).alias("h"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31))).alias("s")
+        state = write_read(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().observe(seen, F.count(F.lit(1)).alias("n"), *hashes), "edges")
         drop_written(old)
-        # Done when the set of edges stays the same: compared by count and an order-free hash.
-        row = state.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31))).alias("s")).first()
-        if tuple(row) == signature:
+        row = seen.get
+        row = (row["n"], row["h"], row["s"])
+        if row == signature:
             break
-        signature = tuple(row)
+        signature = row
     else:
         raise RuntimeError("components did not settle")
     label = state.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("_m"))
