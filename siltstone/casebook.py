@@ -28,6 +28,7 @@ INCIDENTS = "id bigint, title string, first_seen timestamp, last_seen timestamp,
 SENTENCES = "id bigint, incident_id bigint, seq int, text string, evidence_event_ids array<bigint>, technique_id string"
 VERDICTS = "sentence_id bigint, supported boolean, reason string, created_at timestamp"
 TRUTH = "technique_id string"
+# Why an event is evidence, by tier.
 TIER_WORDS = {0: "alerting", 1: "same_process_60s", 2: "same_user_host_30s", 3: "process_lineage"}
 
 
