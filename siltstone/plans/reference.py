@@ -655,7 +655,7 @@ _TEXT_QUERY = "encoded powershell script observed on the endpoint during shift h
 _STOP = "['a','an','and','are','as','at','be','by','for','from','in','is','it','no','not','of','on','or','that','the','this','to','was','were','with']"
 _STEMS = rf"list_transform(list_filter(regexp_extract_all(lower({{t}}), '[\p{{{{L}}}}\p{{{{N}}}}]{{{{2,}}}}'), lambda w: not list_contains({_STOP}, w)), lambda w: regexp_replace(w, '^(.{{{{3,}}}}?)(?:ing|ed|es|s|e)$', '\1'))".replace("{{{{", "{{").replace("}}}}", "}}")
 _KEYWORD = f"""q as (select list_distinct({_STEMS.format(t="'" + _TEXT_QUERY + "'")}) w), st as (select doc_id, {_STEMS.format(t="text")} s from documents where text is not null),
-kw as (select doc_id, round(len(h) * 0.1, 9) score from (select doc_id, s, list_filter(s, lambda x: list_contains(w, x)) h from st, q) where len(h) > 0),
+kw as (select doc_id, round(len(h) * 0.1::double, 9) score from (select doc_id, s, list_filter(s, lambda x: list_contains(w, x)) h from st, q) where len(h) > 0),
 kr as (select *, row_number() over (order by score desc, doc_id) as rank from kw order by score desc, doc_id limit 50)"""
 
 
@@ -665,7 +665,7 @@ def keyword_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KEYWORD_ALL = f"""st as (select doc_id, {_STEMS.format(t="text")} s from documents where text is not null), qs as (select doc_id query_id, list_distinct(s) w from st where doc_id % 50 = 0),
-kw as (select query_id, doc_id, round(len(h) * 0.1, 9) score from (select query_id, doc_id, s, list_filter(s, lambda x: list_contains(w, x)) h from st, qs) where len(h) > 0),
+kw as (select query_id, doc_id, round(len(h) * 0.1::double, 9) score from (select query_id, doc_id, s, list_filter(s, lambda x: list_contains(w, x)) h from st, qs) where len(h) > 0),
 kr as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from kw) where rank <= 50)"""
 
 
